@@ -19,5 +19,5 @@ def keep_listed_sessions(rows: DataFrame, listed: DataFrame) -> DataFrame:
 
 def listed_lines(lines: DataFrame, listed: DataFrame) -> DataFrame:
     """Whole lines of listed sessions; neither the header rule nor the width rule applies."""
-    fields = text.csv_fields(F.col("value"))
-    return keep_listed_sessions(lines.withColumn("session_id", fields[0]), listed)
+    first = text.csv_fields(F.col("value"))[0]
+    return keep_listed_sessions(lines.withColumn("session_id", first), listed)

@@ -2,37 +2,47 @@
 
 A job is a pair of functions from DataFrame to DataFrame and a way to write the result.  The first
 phase runs once over all units that are not stored yet; the second reads everything stored.
+
+Several jobs over the same logs should name a ``rows_folder``: the text is then parsed once into
+Parquet, and each job reads only the columns it needs from there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from functools import partial
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trailmine.operators.counts import count_sequences, merge_counts
 from trailmine.operators.distinct import distinct_sessions, distinct_sessions_by_unit
 from trailmine.operators.events import label_events
+from trailmine.operators.filters import listed_lines
 from trailmine.operators.reports import report_rows
 from trailmine.operators.sequences import anchored_sequences
 from trailmine.params import SequenceParams
 from trailmine.sinks.counts import stored_units, write_by_unit
+from trailmine.sinks.logs import store_rows, write_filtered_log
 from trailmine.sinks.reports import write_list, write_report
 from trailmine.sources.counts import COUNTS_SCHEMA, HOUR_COUNTS_SCHEMA
-from trailmine.sources.logs import parse_rows, read_lines, session_ids
+from trailmine.sources.logs import parse_rows, read_lines, read_stored_rows, session_ids
+from trailmine.sources.session_lists import YEARS, read_session_lists
 
 
 @dataclass(frozen=True)
 class Job:
-    """``preprocess`` turns lines of logs into rows with a ``unit``, of the given schema;
-    ``process`` turns all of those into the result; ``write`` stores the result."""
+    """``preprocess`` turns a log into rows with a ``unit``, of the given schema; ``process`` turns
+    all of those into the result; ``write`` stores the result.  The log comes as parsed rows, or
+    with ``needs_lines`` as lines, those too short to parse included."""
 
     preprocess: Callable[[DataFrame, SequenceParams], DataFrame]
     process: Callable[[DataFrame, SequenceParams], DataFrame]
     write: Callable[[DataFrame, str, SequenceParams, bool, str], None]
     schema: str
+    needs_lines: bool = False
 
 
 def count_rows(rows: DataFrame, params: SequenceParams, by_hour: bool = False) -> DataFrame:
@@ -49,10 +59,6 @@ def report_counts(counted: DataFrame, params: SequenceParams) -> DataFrame:
     return counted.transform(merge_counts).transform(report_rows, params)
 
 
-def _count_lines(lines: DataFrame, params: SequenceParams, by_hour: bool) -> DataFrame:
-    return count_rows(parse_rows(lines), params, by_hour)
-
-
 def _write_report(
     rows: DataFrame, folder: str, params: SequenceParams, single_file: bool, mode: str
 ) -> None:
@@ -67,16 +73,17 @@ def _write_list(
 
 JOBS: dict[str, Job] = {
     "SearchTopics": Job(
-        partial(_count_lines, by_hour=False), report_counts, _write_report, COUNTS_SCHEMA
+        partial(count_rows, by_hour=False), report_counts, _write_report, COUNTS_SCHEMA
     ),
     "SearchTopicsByHour": Job(
-        partial(_count_lines, by_hour=True), report_counts, _write_report, HOUR_COUNTS_SCHEMA
+        partial(count_rows, by_hour=True), report_counts, _write_report, HOUR_COUNTS_SCHEMA
     ),
     "DistinctSession": Job(
         lambda lines, params: distinct_sessions_by_unit(session_ids(lines)),
         lambda sessions, params: distinct_sessions(sessions),
         _write_list,
         "unit string, session_id string",
+        needs_lines=True,
     ),
 }
 
@@ -87,12 +94,29 @@ def find_job(action: str, jobs: Mapping[str, Job] = JOBS) -> Job:
     return jobs[action]
 
 
-def preprocess(spark: SparkSession, params: SequenceParams, jobs: Mapping[str, Job] = JOBS) -> None:
+def store_log(spark: SparkSession, raw_folder: str, rows_folder: str) -> None:
+    """Parse the units of a log that are not stored as rows yet."""
+    skip = stored_units(spark, rows_folder)
+    store_rows(parse_rows(read_lines(spark, raw_folder, skip_units=skip)), rows_folder)
+
+
+def preprocess(
+    spark: SparkSession,
+    params: SequenceParams,
+    jobs: Mapping[str, Job] = JOBS,
+    rows_folder: str | None = None,
+) -> None:
     """Prepare the units whose results are not stored yet, all in one Spark job."""
     job = find_job(params.action, jobs)
     folder = f"{params.job_folder}/preprocessed"
-    lines = read_lines(spark, params.raw_folder, skip_units=stored_units(spark, folder))
-    write_by_unit(job.preprocess(lines, params), folder)
+    skip = stored_units(spark, folder)
+    if rows_folder is None or job.needs_lines:
+        log = read_lines(spark, params.raw_folder, skip_units=skip)
+        log = log if job.needs_lines else parse_rows(log)
+    else:
+        store_log(spark, params.raw_folder, rows_folder)
+        log = read_stored_rows(spark, rows_folder).where(~F.col("unit").isin(skip))
+    write_by_unit(job.preprocess(log, params), folder)
 
 
 def process(
@@ -117,6 +141,23 @@ def run(
     jobs: Mapping[str, Job] = JOBS,
     single_file: bool = False,
     keep_existing: bool = True,
+    rows_folder: str | None = None,
 ) -> None:
-    preprocess(spark, params, jobs)
+    preprocess(spark, params, jobs, rows_folder)
     process(spark, params, jobs, single_file, keep_existing)
+
+
+def filter_log(
+    spark: SparkSession,
+    lists_folder: str,
+    raw_folder: str,
+    output_folder: str,
+    years: Iterable[str] = YEARS,
+) -> None:
+    """Write the lines of listed sessions, file by file; only files that have a list are read."""
+    listed = read_session_lists(spark, lists_folder, years)
+    names = sorted({unquote(path).rsplit("/", 1)[1][1:] for path in listed.inputFiles()})
+    lines = read_lines(
+        spark, [f"{raw_folder.rstrip('/')}/{name}" for name in names], keep_headers=True
+    )
+    write_filtered_log(listed_lines(lines, listed), output_folder)

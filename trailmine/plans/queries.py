@@ -97,12 +97,13 @@ def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 9, "")
         .otherwise(line)
     )
-    return table.select(
+    lines = table.select(
         value.alias("value"),
         F.trunc(F.col("ts").cast("date"), "week").alias("unit"),
         F.col("ts").alias("part"),
         F.col("event_id").alias("pos"),
     )
+    return logs.drop_headers(lines).withColumn("fields", text.tab_fields(F.col("value")))
 
 
 def label_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +114,7 @@ def label_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs.parse_rows(logs.drop_headers(_log_lines(spark, sf_dir)))
+    rows = logs.parse_rows(_log_lines(spark, sf_dir))
     return events.label_events(rows).select(
         _unit(), "session_id", F.col("pos").alias("event_id"), "is_search", "label",
         F.hour("ts").alias("event_hour"),
@@ -121,7 +122,7 @@ def parsed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = logs.session_ids(logs.drop_headers(_log_lines(spark, sf_dir)))
+    ids = logs.session_ids(_log_lines(spark, sf_dir))
     return distinct.distinct_sessions_by_unit(ids).select(_unit(), "session_id")
 
 
@@ -132,7 +133,7 @@ def session_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sessions_without_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs.parse_rows(logs.drop_headers(_log_lines(spark, sf_dir)))
+    rows = logs.parse_rows(_log_lines(spark, sf_dir))
     broken = rows.withColumn("ts", F.when(F.col("session_id").cast("int") % 7 != 0, F.col("ts")))
     return events.sessions_without_hour(events.label_events(broken)).select(_unit(), "n_sessions")
 

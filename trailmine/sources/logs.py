@@ -35,11 +35,14 @@ def read_lines(
     skip_units: Iterable[str] = (),
     keep_headers: bool = False,
 ) -> DataFrame:
-    """Lines of all logs below ``path``, with unit, file and place.
+    """Lines of all logs below ``path``, with their fields, unit, file and place.
 
     ``path`` is a folder, a glob or a list of them.  ``skip_units`` leaves whole files out before
-    they are opened.  Header lines are dropped wherever they stand.  Both the plain layout (``20110131.txt``) and the layout of filtered logs
-    (``raw_file=20110131.txt/part-…``) are read.
+    they are opened.  Header lines are dropped wherever they stand.  Both the plain layout
+    (``20110131.txt``) and the layout of filtered logs (``raw_file=20110131.txt/part-…``) are read.
+
+    Lines are split in the projection that numbers them: filters do not move below the numbering,
+    so no later filter makes Spark split a line again.
     """
     scan = spark.read.option("pathGlobFilter", "*.txt").text(path)
     if RAW_FILE in scan.columns:
@@ -54,6 +57,7 @@ def read_lines(
         scan = drop_headers(scan)
     return scan.select(
         "value",
+        text.tab_fields(F.col("value")).alias("fields"),
         unit.alias("unit"),
         raw_file.alias(RAW_FILE),
         F.struct(
@@ -72,19 +76,15 @@ def drop_headers(lines: DataFrame) -> DataFrame:
 def parse_rows(lines: DataFrame) -> DataFrame:
     """Rows of at least seven columns (schema ``ROW_SCHEMA``)."""
     fields = F.col("fields")
-    return (
-        lines.withColumn("fields", text.tab_fields(F.col("value")))
-        .where(F.size(fields) >= text.MIN_FIELDS)
-        .select(
-            "unit",
-            fields[0].alias("session_id"),
-            fields[3].alias("event_type"),
-            text.parse_time(fields[4]).alias("ts"),
-            fields[5].alias("query"),
-            fields[6].alias("title"),
-            "part",
-            "pos",
-        )
+    return lines.where(F.size(fields) >= text.MIN_FIELDS).select(
+        "unit",
+        fields[0].alias("session_id"),
+        fields[3].alias("event_type"),
+        text.parse_time(fields[4]).alias("ts"),
+        fields[5].alias("query"),
+        fields[6].alias("title"),
+        "part",
+        "pos",
     )
 
 
@@ -96,9 +96,8 @@ def read_log(
 
 def session_ids(lines: DataFrame) -> DataFrame:
     """Unit and session id of every line, short lines and all event types included."""
-    return lines.select(
-        "unit", text.tab_fields(F.col("value"))[0].alias("session_id")
-    ).where(F.col("session_id") != "")
+    ids = lines.select("unit", F.col("fields")[0].alias("session_id"))
+    return ids.where(F.col("session_id") != "")
 
 
 def read_stored_rows(spark: SparkSession, folder: str) -> DataFrame:
