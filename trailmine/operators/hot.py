@@ -37,17 +37,17 @@ def largest(counted: DataFrame, keys: list[str], size: str, more_than: int) -> D
     return counted.where(F.col(size) > more_than).orderBy(F.desc(size), *keys).limit(MAX_HOT)
 
 
-def _clock(part: Column, part_type: T.DataType) -> Column:
+def _clock(column: str, part_type: T.DataType) -> str:
     """A number that never falls when ``part`` rises."""
     if isinstance(part_type, T.TimestampType):
-        return F.unix_micros(part).cast("double")
+        return f"CAST(unix_micros({column}) AS double)"
     if isinstance(part_type, T.TimestampNTZType):
         # Read field by field, since a cast to an instant may fall where clocks change.
-        seconds = F.unix_date(part.cast("date")) * 86400 + (
-            F.hour(part) * 3600 + F.minute(part) * 60 + F.second(part)
+        return (
+            f"CAST(unix_date(CAST({column} AS date)) * 86400 + "
+            f"hour({column}) * 3600 + minute({column}) * 60 + second({column}) AS double)"
         )
-        return seconds.cast("double")
-    return part.cast("double")
+    return f"CAST({column} AS double)"
 
 
 def split_hot_sessions(
@@ -65,30 +65,27 @@ def split_hot_sessions(
     """
     hot_after = HOT_AFTER if hot_after is None else hot_after
     chunk_rows = CHUNK_ROWS if chunk_rows is None else chunk_rows
-    part_type = events.schema["part"].dataType
-    part = F.col("part")
+    schema = events.schema
+    part_type = schema["part"].dataType
     if isinstance(part_type, T.StructType):
         hot = hot_keys(events, SESSION, hot_after)
-        chunk = part
+        chunk = "part"
     else:
-        hot = hot_keys(
-            events, SESSION, hot_after, F.min(part).alias("low"), F.max(part).alias("high")
-        )
-        at, low, high = (_clock(F.col(c), part_type) for c in ("part", "low", "high"))
-        steps = F.ceil(F.col("n_rows") / chunk_rows)
-        chunk = F.floor((at - low) * steps / (high - low + 1))
-    marks = ["n_rows", "low", "high"]
+        hot = hot_keys(events, SESSION, hot_after, F.expr("min(part) AS low"),
+                       F.expr("max(part) AS high"))
+        at, low, high = (_clock(column, part_type) for column in ("part", "low", "high"))
+        chunk = f"floor(({at} - {low}) * ceil(n_rows / {chunk_rows}) / ({high} - {low} + 1))"
+    kept = [*schema.names, f"IF(n_rows IS NULL, NULL, {chunk}) AS chunk"]
     if with_start:
         starts = (
             events.join(F.broadcast(hot.select(*SESSION)), SESSION)
             .groupBy(*SESSION)
-            .agg(F.min_by("ts", F.struct("part", "pos")).alias("start_ts"))
+            .agg(F.expr("min_by(ts, struct(part, pos)) AS start_ts"))
         )
         hot = hot.join(starts, SESSION, "left")
-    chunk = F.when(F.col("n_rows").isNotNull(), chunk).alias("chunk")
-
-    def cut(how: str) -> DataFrame:
-        joined = events.join(F.broadcast(hot), SESSION, how)
-        return joined.withColumn("chunk", chunk).drop(*marks)
-
-    return cut("left"), cut("inner")
+        kept.append("start_ts")
+    hot = F.broadcast(hot)
+    return (
+        events.join(hot, SESSION, "left").selectExpr(*kept),
+        events.join(hot, SESSION).selectExpr(*kept),
+    )

@@ -12,76 +12,62 @@ found twice or lost, wherever the cuts are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmine.operators.hot import CHUNK, SESSION, split_hot_sessions
 
 
-def _look_back(events: DataFrame, keys: list[str], longest: int) -> DataFrame:
-    """Add ``recent``: this event and the up to ``longest - 1`` before it."""
-    order = Window.partitionBy(*keys).orderBy("part", "pos").rowsBetween(1 - longest, 0)
-    item = F.struct("is_search", "label", "chunk")
-    return events.withColumn("recent", F.collect_list(item).over(order))
+def _look_back(events: DataFrame, keys: list[str], longest: int, *columns: str) -> DataFrame:
+    """Unit, session, ``recent`` (this event and the up to ``longest - 1`` before), ``columns``."""
+    recent = (
+        f"collect_list(struct(is_search, label, chunk)) OVER (PARTITION BY {', '.join(keys)} "
+        f"ORDER BY part, pos ROWS BETWEEN {longest - 1} PRECEDING AND CURRENT ROW) AS recent"
+    )
+    return events.selectExpr(*SESSION, recent, *columns)
 
 
 def _chunk_ends(hot: DataFrame, longest: int) -> DataFrame:
     """Events with fewer than ``longest - 1`` events before or after them in their chunk."""
-    order = Window.partitionBy(*CHUNK).orderBy("part", "pos")
-    one, reach = F.lit(1), longest - 1
-    return (
-        hot.withColumn("is_head", F.lag(one, reach).over(order).isNull())
-        .withColumn("is_tail", F.lead(one, reach).over(order).isNull())
-        .where(F.col("is_head") | F.col("is_tail"))
-        .drop("is_head", "is_tail")
-    )
+    order = f"OVER (PARTITION BY {', '.join(CHUNK)} ORDER BY part, pos)"
+    reach = longest - 1
+    return hot.selectExpr(
+        "*", f"lag(1, {reach}) {order} AS before", f"lead(1, {reach}) {order} AS after"
+    ).where("before IS NULL OR after IS NULL")
 
 
 def _recent_runs(
     events: DataFrame,
     longest: int,
-    expand,
+    expand: Callable[[DataFrame], DataFrame],
     by_hour: bool,
     hot_after: int | None,
     chunk_rows: int | None,
 ) -> DataFrame:
     """Runs of events ending at each event, as ``expand`` picks them from ``recent``.
 
-    ``expand`` turns a DataFrame with ``recent`` into one with ``run``, an array of events.
+    ``expand`` adds ``run``, an array of events, to a DataFrame with ``recent``.
     """
     spread, hot = split_hot_sessions(events, hot_after, chunk_rows, with_start=by_hour)
-    keep = [*SESSION, "run"]
-    inside = _look_back(spread, CHUNK, longest)
+    start, hour = [], []
     if by_hour:
-        so_far = (
-            Window.partitionBy(*CHUNK)
-            .orderBy("part", "pos")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        first = (
+            f"first(ts) OVER (PARTITION BY {', '.join(CHUNK)} ORDER BY part, pos "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
         )
-        start = F.when(F.col("chunk").isNull(), F.first("ts").over(so_far))
-        inside = inside.withColumn("hour", F.hour(start.otherwise(F.col("start_ts"))))
-        keep.append("hour")
-    found = expand(inside).select(*keep)
+        start = [f"hour(IF(chunk IS NULL, {first}, start_ts)) AS hour"]
+        hour = ["hour"]
+    keep = [*SESSION, *hour, "run"]
+    found = expand(_look_back(spread, CHUNK, longest, *start)).select(*keep)
     if longest > 1:
-        ends = _look_back(_chunk_ends(hot, longest), SESSION, longest)
-        if by_hour:
-            ends = ends.withColumn("hour", F.hour("start_ts"))
-        run = F.col("run")
-        crossing = expand(ends).where(run[0]["chunk"] < F.element_at(run, -1)["chunk"])
-        found = found.unionByName(crossing.select(*keep))
-    return found.where(F.col("hour").isNotNull()) if by_hour else found
-
-
-def _last_search(longest: int) -> Column:
-    """How many events ago the last search was, 1 for this event; NULL if not in reach."""
-    return F.coalesce(
-        *[
-            F.when(F.try_element_at("recent", F.lit(-n))["is_search"], n)
-            for n in range(1, longest + 1)
-        ]
-    )
+        start = ["hour(start_ts) AS hour"] if by_hour else []
+        ends = expand(_look_back(_chunk_ends(hot, longest), SESSION, longest, *start))
+        crossing = ends.where("run[0].chunk < element_at(run, -1).chunk")
+        found = found.unionAll(crossing.select(*keep))
+    return found.where("hour IS NOT NULL") if by_hour else found
 
 
 def anchored_sequences(
@@ -97,29 +83,29 @@ def anchored_sequences(
     At most one such sequence ends at an event: the one that starts at the last search.
     Returns ``unit, session_id, query, topics, len`` and with ``by_hour`` the hour of the session.
     """
+    # How many events back the last search is, 1 for this event; NULL if it is out of reach.
+    back = [f"IF(try_element_at(recent, -{n}).is_search, {n}, NULL)" for n in range(1, longest + 1)]
 
     def expand(df: DataFrame) -> DataFrame:
-        n = F.col("n_events")
-        return (
-            df.withColumn("n_events", _last_search(longest))
-            .where(n >= min_seq)
-            .withColumn("run", F.slice("recent", -n, n))
-        )
+        known = df.selectExpr("*", f"coalesce({', '.join(back)}) AS n").where(f"n >= {min_seq}")
+        return known.selectExpr("*", "slice(recent, -n, n) AS run")
 
     runs = _recent_runs(events, longest, expand, by_hour, hot_after, chunk_rows)
-    return runs.select(
-        *SESSION, *(["hour"] if by_hour else []), *_query_and_topics(F.col("run")["label"], longest)
-    )
+    labelled = runs.selectExpr(*SESSION, *(["hour"] if by_hour else []), "run.label AS labels")
+    return _query_and_topics(labelled, longest)
 
 
-def _query_and_topics(labels: Column, longest: int) -> list[Column]:
-    """Query, topics, and their number, known here and cheaper to filter on than the array."""
-    topics = F.coalesce(F.slice(labels, 2, longest), F.array().cast("array<string>"))
-    return [
-        labels[0].alias("query"),
-        topics.alias("topics"),
-        (F.size(labels) - 1).alias("len"),
-    ]
+def _query_and_topics(labelled: DataFrame, longest: int) -> DataFrame:
+    """Take ``labels`` apart.
+
+    The number of topics is known here, and cheaper to filter on than the array.
+    """
+    return labelled.selectExpr(
+        *[column for column in labelled.columns if column != "labels"],
+        "labels[0] AS query",
+        f"coalesce(slice(labels, 2, {longest}), CAST(array() AS array<string>)) AS topics",
+        "size(labels) - 1 AS len",
+    )
 
 
 def session_ngrams(
@@ -136,21 +122,19 @@ def session_ngrams(
     the hour of the session.
     """
 
+    runs = [
+        f"IF(size(recent) >= {n}, slice(recent, -{n}, {n}), NULL)"
+        for n in range(min_seq, longest + 1)
+    ]
+
     def expand(df: DataFrame) -> DataFrame:
-        runs = [
-            F.when(F.size("recent") >= n, F.slice("recent", -n, n))
-            for n in range(min_seq, longest + 1)
-        ]
-        return df.withColumn("run", F.explode(F.array_compact(F.array(*runs))))
+        return df.selectExpr("*", f"explode(array_compact(array({', '.join(runs)}))) AS run")
 
     found = _recent_runs(events, longest, expand, by_hour, hot_after, chunk_rows)
-    run = F.col("run")
-    return found.select(
+    return found.selectExpr(
         *SESSION,
         *(["hour"] if by_hour else []),
-        F.arrays_zip(
-            run["is_search"].alias("is_search"), run["label"].alias("label")
-        ).alias("items"),
+        "arrays_zip(run.is_search, run.label) AS items",
     )
 
 
@@ -164,7 +148,6 @@ def starts_with_only_search(items: Column, longest: int) -> Column:
 
 def valid_ngrams(ngrams: DataFrame, longest: int = 5) -> DataFrame:
     """Runs that start with their only search, in the form of `anchored_sequences`."""
-    return ngrams.where(starts_with_only_search(F.col("items"), longest)).select(
-        *[c for c in ngrams.columns if c != "items"],
-        *_query_and_topics(F.col("items")["label"], longest),
-    )
+    valid = ngrams.where(starts_with_only_search(F.col("items"), longest))
+    others = [column for column in ngrams.columns if column != "items"]
+    return _query_and_topics(valid.selectExpr(*others, "items.label AS labels"), longest)

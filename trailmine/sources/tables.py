@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trailmine.functions import text
 
@@ -15,21 +14,18 @@ def rows_from_events(events: DataFrame) -> DataFrame:
     The query text is taken from ``props``; it comes in two spellings so that folding matters.
     The load unit is the week, named by its Monday, a date.  Events are ordered by ``(ts, event_id)``.
     """
-    k = F.get_json_object("props", "$.k").cast("int")
-    is_click = F.col("event_type") == "click"
-    return events.select(
-        F.trunc(F.col("ts").cast("date"), "week").alias("unit"),
-        F.col("user_id").alias("session_id"),
-        F.when(is_click, text.SEARCH_TYPE).otherwise(text.TOPIC_TYPE).alias("event_type"),
-        F.col("ts"),
-        F.when(
-            is_click, F.concat(F.when(k % 2 == 0, "Q").otherwise("q"), (k % 3).cast("string"))
-        )
-        .otherwise("")
-        .alias("query"),
-        F.when(is_click, "").otherwise(F.col("event_type")).alias("title"),
-        F.col("ts").alias("part"),
-        F.col("event_id").alias("pos"),
+    is_click = "event_type = 'click'"
+    k = "CAST(get_json_object(props, '$.k') AS int)"
+    query = f"IF({k} % 2 = 0, 'Q', 'q') || CAST({k} % 3 AS string)"
+    return events.selectExpr(
+        "trunc(CAST(ts AS date), 'week') AS unit",
+        "user_id AS session_id",
+        f"IF({is_click}, '{text.SEARCH_TYPE}', '{text.TOPIC_TYPE}') AS event_type",
+        "ts",
+        f"IF({is_click}, {query}, '') AS query",
+        f"IF({is_click}, '', event_type) AS title",
+        "ts AS part",
+        "event_id AS pos",
     )
 
 
