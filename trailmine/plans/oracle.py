@@ -199,9 +199,9 @@ apart AS (
 SELECT unit, session_id, event_id, is_search, label,
        strftime(ts, '%Y-%m-%d %H:%M:%S') AS time_text FROM labelled""",
         "parsed_log": with_events(LOG) + """
-SELECT unit, CAST(session_id AS VARCHAR) AS session_id, event_id, kind = 'click' AS is_search,
-       CASE WHEN kind = 'click' THEN 'q' || (k % 3) ELSE title END AS label,
-       CAST(hour(ts) AS INTEGER) AS event_hour
+SELECT unit, CAST(session_id AS VARCHAR) AS session_id,
+       row_number() OVER (PARTITION BY unit, session_id ORDER BY ts, event_id) AS place,
+       kind = 'click' AS is_search, CASE WHEN kind = 'click' THEN 'q' || (k % 3) ELSE title END AS label
 FROM kept""",
         "log_sessions": with_events(LOG) + """
 SELECT DISTINCT unit, CAST(session_id AS VARCHAR) AS session_id FROM log""",

@@ -70,7 +70,8 @@ def _ranked(rows: DataFrame) -> DataFrame:
 def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table as lines of a raw log, with the odd cases that a log has."""
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = F.get_json_object("props", "$.k").cast("int")
+    # The line is needed for filters too, and Spark computes it again there, so no JSON parsing.
+    k = F.translate("props", '{"k": }', "").cast("int")
     kind = F.col("event_type")
     event_type = (
         F.when(kind == "click", "Search/Lucene")
@@ -86,7 +87,7 @@ def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("user"),
         F.lit("address"),
         event_type,
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
+        F.substring(F.col("ts").cast("string"), 1, 19),
         F.concat(F.lit("q"), (k % 3).cast("string")),
         title,
         F.when(k % 10 == 0, "more").otherwise(""),
@@ -97,13 +98,9 @@ def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 9, "")
         .otherwise(line)
     )
-    lines = table.select(
-        value.alias("value"),
-        F.trunc(F.col("ts").cast("date"), "week").alias("unit"),
-        F.col("ts").alias("part"),
-        F.col("event_id").alias("pos"),
-    )
-    return logs.drop_headers(lines).withColumn("fields", text.tab_fields(F.col("value")))
+    lines = logs.drop_headers(table.select(value.alias("value"), "ts"))
+    unit = F.trunc(F.col("ts").cast("date"), "week")
+    return logs.number_lines(lines, unit.alias("unit"), F.col("ts").alias("part"))
 
 
 def label_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,10 +112,7 @@ def label_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parsed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = logs.parse_rows(_log_lines(spark, sf_dir))
-    return events.label_events(rows).select(
-        _unit(), "session_id", F.col("pos").alias("event_id"), "is_search", "label",
-        F.hour("ts").alias("event_hour"),
-    )
+    return _sequences_of(events.ordered_events(events.label_events(rows)))
 
 
 def log_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

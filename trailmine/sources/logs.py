@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmine.functions import text
@@ -40,9 +40,6 @@ def read_lines(
     ``path`` is a folder, a glob or a list of them.  ``skip_units`` leaves whole files out before
     they are opened.  Header lines are dropped wherever they stand.  Both the plain layout
     (``20110131.txt``) and the layout of filtered logs (``raw_file=20110131.txt/part-…``) are read.
-
-    Lines are split in the projection that numbers them: filters do not move below the numbering,
-    so no later filter makes Spark split a line again.
     """
     scan = spark.read.option("pathGlobFilter", "*.txt").text(path)
     if RAW_FILE in scan.columns:
@@ -55,9 +52,8 @@ def read_lines(
         scan = scan.where(~unit.isin(skipped))
     if not keep_headers:
         scan = drop_headers(scan)
-    return scan.select(
-        "value",
-        text.tab_fields(F.col("value")).alias("fields"),
+    return number_lines(
+        scan,
         unit.alias("unit"),
         raw_file.alias(RAW_FILE),
         F.struct(
@@ -65,6 +61,19 @@ def read_lines(
             piece.alias("piece"),
             F.col("_metadata.file_block_start").alias("block"),
         ).alias("part"),
+    )
+
+
+def number_lines(lines: DataFrame, *columns: Column) -> DataFrame:
+    """Lines with the given columns, their ``fields``, and ``pos``, which rises within a task.
+
+    Splitting goes with numbering because filters do not move below the numbering, so no later
+    filter makes Spark split a line again.
+    """
+    return lines.select(
+        "value",
+        text.tab_fields(F.col("value")).alias("fields"),
+        *columns,
         F.monotonically_increasing_id().alias("pos"),
     )
 
@@ -74,9 +83,13 @@ def drop_headers(lines: DataFrame) -> DataFrame:
 
 
 def parse_rows(lines: DataFrame) -> DataFrame:
-    """Rows of at least seven columns (schema ``ROW_SCHEMA``)."""
+    """Rows of at least seven columns (schema ``ROW_SCHEMA``).
+
+    Numbers are never negative; asking for it keeps the numbering, and with it the one splitting,
+    in plans that need no order.
+    """
     fields = F.col("fields")
-    return lines.where(F.size(fields) >= text.MIN_FIELDS).select(
+    return lines.where((F.size(fields) >= text.MIN_FIELDS) & (F.col("pos") >= 0)).select(
         "unit",
         fields[0].alias("session_id"),
         fields[3].alias("event_type"),
@@ -96,7 +109,7 @@ def read_log(
 
 def session_ids(lines: DataFrame) -> DataFrame:
     """Unit and session id of every line, short lines and all event types included."""
-    ids = lines.select("unit", F.col("fields")[0].alias("session_id"))
+    ids = lines.select("unit", F.substring_index("value", "\t", 1).alias("session_id"))
     return ids.where(F.col("session_id") != "")
 
 
