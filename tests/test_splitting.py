@@ -148,6 +148,18 @@ def test_events_without_time_start_no_session(spark):
     assert [r["sub_session"] for r in gaps.orderBy("pos").collect()] == [0, 0, 0]
 
 
+def test_events_without_place_come_first(spark):
+    times = [None, None, START, START + timedelta(hours=1), None, START + timedelta(hours=2)]
+    labels = [(True, "q"), (False, "a"), (False, "c"), (False, "d"), (False, "b"), (False, "e")]
+    sessions = {("u", 1): [(*label, at) for label, at in zip(labels, times)]}
+    table = as_table(spark, sessions, False)
+    for split in SPLITS:
+        found = sequences.anchored_sequences(table, 2, 6, **split)
+        assert sorted("".join(r["topics"]) for r in found.collect()) == [
+            "a", "ab", "abc", "abcd", "abcde",
+        ]
+
+
 def test_chunks_follow_the_order_and_stay_small(spark):
     table = spark.range(100_000).selectExpr(
         "'u' AS unit", "id % 3 DIV 2 AS session_id", "true AS is_search", "'q' AS label",
@@ -183,7 +195,7 @@ def test_numbers_and_instants_order_sessions_too(spark):
     seconds = table.selectExpr("* EXCEPT (part)", "unix_date(CAST(part AS date)) * 86400L + "
                                "hour(part) * 3600 + minute(part) * 60 + second(part) AS part")
     instants = table.selectExpr("* EXCEPT (part)", "CAST(part AS timestamp) AS part")
-    expected = sequences.anchored_sequences(table)
+    expected = sequences.anchored_sequences(table, by_hour=True)
     for other in (seconds, instants):
-        found = sequences.anchored_sequences(other, hot_after=5, chunk_rows=3)
+        found = sequences.anchored_sequences(other, by_hour=True, hot_after=5, chunk_rows=3)
         assert found.exceptAll(expected).count() == expected.exceptAll(found).count() == 0

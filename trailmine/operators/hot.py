@@ -50,6 +50,22 @@ def _clock(column: str, part_type: T.DataType) -> str:
     return f"CAST({column} AS double)"
 
 
+def _session_starts(events: DataFrame, hot: DataFrame, by_block: bool) -> DataFrame:
+    """Time of the first event of hot sessions.
+
+    The last step sorts, so few rows are left to it: the first of each block, or those of the
+    lowest place.
+    """
+    first = events.join(F.broadcast(hot), SESSION)
+    if by_block:
+        first = first.groupBy(*SESSION, "part").agg(
+            F.expr("min_by(ts, pos) AS ts"), F.expr("min(pos) AS pos")
+        )
+    else:
+        first = first.where("part IS NULL OR part = low")
+    return first.groupBy(*SESSION).agg(F.expr("min_by(ts, struct(part, pos)) AS start_ts"))
+
+
 def split_hot_sessions(
     events: DataFrame,
     hot_after: int | None = None,
@@ -61,29 +77,34 @@ def split_hot_sessions(
     Returns all events, with a NULL chunk for ordinary sessions, and the events of hot sessions
     alone.  Chunks follow the order of events: with ``part`` a block of a file the block is the
     chunk, otherwise the span of ``part`` is cut into even steps.  ``with_start`` adds
-    ``start_ts``, the time of the first event of a hot session.
+    ``start_ts``, the time of the first event of a hot session.  Where ``part`` is a time, it is
+    the time of the event.
     """
     hot_after = HOT_AFTER if hot_after is None else hot_after
     chunk_rows = CHUNK_ROWS if chunk_rows is None else chunk_rows
     schema = events.schema
     part_type = schema["part"].dataType
-    if isinstance(part_type, T.StructType):
+    by_block = isinstance(part_type, T.StructType)
+    by_time = isinstance(part_type, (T.TimestampType, T.TimestampNTZType))
+    if by_block:
         hot = hot_keys(events, SESSION, hot_after)
         chunk = "part"
     else:
-        hot = hot_keys(events, SESSION, hot_after, F.expr("min(part) AS low"),
-                       F.expr("max(part) AS high"))
+        bounds = ["min(part) AS low", "max(part) AS high", "count(part) AS n_placed"]
+        hot = hot_keys(events, SESSION, hot_after, *map(F.expr, bounds))
         at, low, high = (_clock(column, part_type) for column in ("part", "low", "high"))
-        chunk = f"floor(({at} - {low}) * ceil(n_rows / {chunk_rows}) / ({high} - {low} + 1))"
+        step = f"floor(({at} - {low}) * ceil(n_rows / {chunk_rows}) / ({high} - {low} + 1))"
+        # Events without a place come first in their session, so their chunk does too.
+        chunk = f"coalesce({step}, -1)"
     kept = [*schema.names, f"IF(n_rows IS NULL, NULL, {chunk}) AS chunk"]
     if with_start:
-        starts = (
-            events.join(F.broadcast(hot.select(*SESSION)), SESSION)
-            .groupBy(*SESSION)
-            .agg(F.expr("min_by(ts, struct(part, pos)) AS start_ts"))
-        )
-        hot = hot.join(starts, SESSION, "left")
         kept.append("start_ts")
+        if by_time:
+            time = schema["ts"].dataType.simpleString()
+            first = f"IF(n_placed = n_rows, CAST(low AS {time}), NULL) AS start_ts"
+            hot = hot.selectExpr("*", first)
+        else:
+            hot = hot.join(_session_starts(events, hot, by_block), SESSION, "left")
     hot = F.broadcast(hot)
     return (
         events.join(hot, SESSION, "left").selectExpr(*kept),
