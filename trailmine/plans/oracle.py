@@ -209,8 +209,10 @@ SELECT DISTINCT unit, CAST(session_id AS VARCHAR) AS session_id FROM log""",
 SELECT unit, session_id, CAST(hour(min(ts)) AS INTEGER) AS session_hour
 FROM labelled GROUP BY unit, session_id""",
         "sessions_without_hour": with_events(LOG) + """
-SELECT unit, count(DISTINCT CASE WHEN session_id % 7 = 0 THEN session_id END) AS n_sessions
-FROM kept GROUP BY unit""",
+SELECT unit, count(*) FILTER (first_kind = 'signup') AS n_sessions
+FROM (SELECT unit, arg_min(kind, (ts, event_id)) AS first_kind FROM kept
+      GROUP BY unit, session_id)
+GROUP BY unit""",
         "session_sequences": with_events(placed()) + ordered,
         "session_sequences_split": with_events(placed()) + ordered,
         "session_ngrams": with_events(NGRAMS) + ngrams,

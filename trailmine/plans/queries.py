@@ -128,7 +128,8 @@ def session_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sessions_without_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = logs.parse_rows(_log_lines(spark, sf_dir))
-    broken = rows.withColumn("ts", F.when(F.col("session_id").cast("int") % 7 != 0, F.col("ts")))
+    # As if the times of one kind of event could not be read.
+    broken = rows.withColumn("ts", F.when(F.col("title") != "signup", F.col("ts")))
     return events.sessions_without_hour(events.label_events(broken)).select(_unit(), "n_sessions")
 
 
