@@ -320,6 +320,19 @@ def test_support_bands_and_row_counts(spark):
     }
 
 
+def test_events_without_session_take_no_part(spark):
+    table = spark.createDataFrame(
+        [(None, "Search/Lucene", "q", ""), (None, "TopicView/full", "", "a"),
+         ("", "Search/Lucene", "q", ""), ("", "TopicView/full", "", "b")],
+        "session_id string, event_type string, query string, title string",
+    ).selectExpr(
+        "'u' AS unit", "*", "CAST(NULL AS timestamp_ntz) AS ts", "1 AS part",
+        "IF(query = 'q', 1, 2) AS pos",
+    )
+    found = anchored_sequences(events.label_events(table)).collect()
+    assert [(r["session_id"], r["topics"]) for r in found] == [("", ["b"])]
+
+
 def test_rejected_settings():
     for wrong in (
         {"min_seq": 0}, {"max_seq": 2}, {"results_limit": 0}, {"output_type": "XML"},

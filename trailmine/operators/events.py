@@ -14,10 +14,14 @@ from trailmine.operators.hot import CHUNK, SESSION, split_hot_sessions
 
 
 def label_events(rows: DataFrame) -> DataFrame:
-    """Keep searches and topic views; the label is the query of a search, else the title."""
+    """Keep searches and topic views; the label is the query of a search, else the title.
+
+    A table may hold events without a session; logs cannot.  They take part in no sequence.
+    """
     event_type = F.col("event_type")
     is_search = text.is_search_event(event_type)
-    return rows.where(text.is_sequence_event(event_type)).select(
+    kept = text.is_sequence_event(event_type) & F.col("session_id").isNotNull()
+    return rows.where(kept).select(
         "unit",
         "session_id",
         is_search.alias("is_search"),
