@@ -21,12 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmine.llm.bloom import MAX_BITS, filter_blocks, half_size, key_bits, look_up
 from trailmine.llm.common import SPACES, settle
 
-BITS_PER_ROW = 16
-MAX_BITS = 1 << 31
-BLOCK_BITS = 1 << 15  # of a bitmap of `bitmap_construct_agg`
-
 
 def text_hash(text: Column) -> Column:
     """SHA-256 of the normalised text, in hexadecimal digits."""
@@ -34,41 +31,12 @@ def text_hash(text: Column) -> Column:
     return F.sha2(one_space.cast("binary"), 256)
 
 
-def _bits(key: Column, half: int) -> list[Column]:
-    """Two bits of a key, one in each half of the filter."""
-    return [
-        F.pmod(F.xxhash64(F.lit(salt), key), F.lit(half)) + F.lit(salt * half) for salt in (0, 1)
-    ]
-
-
-def repeat_filter(rows: DataFrame, key: str, half: int) -> DataFrame:
-    """The Bloom filter of keys that occur more than once: ``block, bitmap``."""
-    bit = rows.select(F.explode(F.array(*_bits(F.col(key), half))).alias("bit"))
-    repeated = bit.groupBy("bit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return repeated.groupBy(F.expr(f"bit div {BLOCK_BITS}").alias("block")).agg(
-        F.expr(f"bitmap_construct_agg(bit % {BLOCK_BITS})").alias("bitmap")
-    )
-
-
 def maybe_repeated(rows: DataFrame, key: str, n_rows: int, max_bits: int = MAX_BITS) -> DataFrame:
     """Adds ``maybe``: false only for keys that certainly occur once."""
-    wanted = max(BLOCK_BITS, BITS_PER_ROW // 2 * n_rows)
-    half = min(1 << (wanted - 1).bit_length(), max_bits // 2)
-    blocks = settle(repeat_filter(rows, key, half), "repeat-filter")
-    found = rows
-    for i, bit in enumerate(_bits(F.col(key), half)):
-        # At most max_bits / 8 bytes, whatever the input.
-        block = F.broadcast(blocks.selectExpr(f"block AS _block{i}", f"bitmap AS _bitmap{i}"))
-        found = found.withColumn(f"_bit{i}", bit)
-        found = found.join(block, F.expr(f"_bit{i} div {BLOCK_BITS}") == F.col(f"_block{i}"), "left")
-    is_set = [
-        f"shiftright(CAST(conv(hex(substring(_bitmap{i}, "
-        f"CAST(_bit{i} % {BLOCK_BITS} div 8 AS int) + 1, 1)), 16, 10) AS int), "
-        f"CAST(_bit{i} % 8 AS int)) & 1 = 1"
-        for i in (0, 1)
-    ]
-    maybe = F.coalesce(F.expr(" AND ".join(is_set)), F.lit(False))
-    return found.select(*[F.col(c) for c in rows.columns], maybe.alias("maybe"))
+    half = half_size(n_rows, max_bits)
+    bits = rows.select(F.explode(F.array(*key_bits(F.col(key), half))).alias("bit"))
+    repeated = bits.groupBy("bit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return look_up(rows, F.col(key), filter_blocks(repeated), half, "maybe")
 
 
 def exact_groups(
@@ -87,8 +55,13 @@ def exact_groups(
     shuffled = (
         marked.where("maybe").groupBy("text_sha256", "_id").agg(F.count(F.lit(1)).alias("n"))
     )
-    groups = shuffled.groupBy("text_sha256").agg(
-        F.min("_id").alias("keep_id"), F.sum("n").alias("group_size")
+    # As a stored table it is broadcast if small; else both sides are exchanges, and the rows of a
+    # large group are split.
+    groups = settle(
+        shuffled.groupBy("text_sha256").agg(
+            F.min("_id").alias("keep_id"), F.sum("n").alias("group_size")
+        ),
+        "text-groups",
     )
     grouped = shuffled.join(groups, "text_sha256").selectExpr(
         "_id", "keep_id", "group_size", "text_sha256", "explode(sequence(1L, n)) AS copy"

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmine.llm import exact_dedup, mixing, packing
+from trailmine.llm import ann, exact_dedup, jaccard_join, mixing, packing, toxicity
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 
@@ -26,10 +26,38 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _held_out(doc_id: str = "doc_id") -> Column:
+    """A quarter of the documents, by id; labels of these are never learned from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    return toxicity.train(docs, _table(spark, sf_dir, "labels"), ~_held_out())
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity_model(spark, docs, sf_dir)
+    scored = docs.select("doc_id", toxicity.toxic_score(model, F.col("text")).alias("score"))
+    return scored.select(
+        "doc_id", _held_out().alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(_table(spark, sf_dir, "documents"))
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path(WORD_TOKENIZER)
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer)
@@ -38,6 +66,9 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op4_toxicity": op4_toxicity,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+        "op8_nearest_neighbours": op8_nearest_neighbours,
         "op10_pack_documents": op10_pack_documents,
     }
