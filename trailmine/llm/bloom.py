@@ -56,11 +56,15 @@ def look_up(rows: DataFrame, key: Column, blocks: DataFrame, half: int, name: st
     return found.select(*[F.col(c) for c in rows.columns], both.alias(name))
 
 
-def rows_with_keys(rows: DataFrame, key: str, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    """Rows whose ``key`` is maybe among the column ``key`` of ``wanted``: a semi-join that moves
-    no row, and lets about one row in fifty pass that it need not."""
+def split_by_keys(
+    rows: DataFrame, key: str, wanted: DataFrame, n_wanted: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``key`` is maybe among the column ``key`` of ``wanted``, and all others.
+
+    Moves no row; about one row in fifty is among the first without need.  NULL is maybe wanted.
+    """
     half = half_size(n_wanted)
     bits = wanted.select(F.explode(F.array(*key_bits(F.col(key), half))).alias("bit"))
-    return look_up(rows, F.col(key), filter_blocks(bits), half, "_maybe").where("_maybe").drop(
-        "_maybe"
-    )
+    found = look_up(rows, F.col(key), filter_blocks(bits), half, "_maybe")
+    maybe = F.col("_maybe") | F.col(key).isNull()
+    return found.where(maybe).drop("_maybe"), found.where(~maybe).drop("_maybe")

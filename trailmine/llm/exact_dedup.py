@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmine.llm.bloom import MAX_BITS, filter_blocks, half_size, key_bits, look_up
+from trailmine.llm.bloom import MAX_BITS, filter_blocks, half_size, key_bits, look_up, split_by_keys
 from trailmine.llm.common import SPACES, settle
 
 
@@ -75,18 +75,21 @@ def drop_copies(
 ) -> DataFrame:
     """``docs`` without the rows that `exact_groups` does not keep.
 
-    Only keys of repeated rows are joined, so rows of single texts meet at most a small table.
+    Rows whose id is maybe one of a repeated text are joined by id and hash; all others pass.
     """
     groups = exact_groups(docs, id_col, text_col, max_bits)
-    many = settle(
+    copies = settle(
         groups.where("group_size > 1")
         .groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-        .agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")),
-        "repeated-texts",
+        .agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
+        .where("NOT _kept OR _n > 1"),
+        "text-copies",
     )
-    keyed = docs.withColumn("_own_sha", text_hash(F.col(text_col)))
-    same = keyed[id_col].eqNullSafe(many["_id"]) & (keyed["_own_sha"] == many["_sha"])
-    marked = keyed.join(many, same, "left")
-    once = marked.where("_kept IS NULL OR (_kept AND _n = 1)").select(*docs.columns)
-    again = marked.where("_kept AND _n > 1").dropDuplicates(["_id", "_sha"]).select(*docs.columns)
-    return once.unionByName(again)
+    wanted = copies.select(F.col("_id").alias(id_col))
+    maybe, stay = split_by_keys(docs, id_col, wanted, copies.count())
+    keyed = maybe.withColumn("_own_sha", text_hash(F.col(text_col)))
+    same = keyed[id_col].eqNullSafe(copies["_id"]) & (keyed["_own_sha"] == copies["_sha"])
+    marked = keyed.join(copies, same, "left")
+    once = marked.where("_sha IS NULL").select(*docs.columns)
+    again = marked.where("_kept").dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    return stay.unionByName(once).unionByName(again)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmine.llm.bloom import rows_with_keys
+from trailmine.llm.bloom import split_by_keys
 from trailmine.llm.common import settle
 from trailmine.llm.components import components
 
@@ -455,7 +455,7 @@ def similar_components(
         F.min("_id").alias("_id"), F.max("n").alias("n")
     )
     partners = settle(classes.join(wanted, "digest"), "set-classes")
-    texts = rows_with_keys(given, "_id", partners, partners.count())
+    texts, _ = split_by_keys(given, "_id", partners, partners.count())
     sets = settle(
         _sets(texts, words).join(wanted, "digest", "left_semi").dropDuplicates(["digest"]), "sets"
     )
@@ -481,3 +481,20 @@ def similar_components(
     return linked.union(alone).select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"
     )
+
+
+def one_of_each_component(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS
+) -> DataFrame:
+    """``docs`` without the rows whose component has a lower id.
+
+    Rows are told by id, which should be unique; rows with a NULL id stay.  Only rows that are maybe
+    among those to go are joined.
+    """
+    groups = similar_components(docs, id_col, text_col, words)
+    gone = settle(
+        groups.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct(),
+        "near-copies",
+    )
+    maybe, stay = split_by_keys(docs, id_col, gone, gone.count())
+    return stay.unionByName(maybe.join(gone, id_col, "left_anti").select(*docs.columns))
