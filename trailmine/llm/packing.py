@@ -16,8 +16,10 @@ Defined results: a NULL text counts as empty; an empty document has one token, t
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
@@ -31,37 +33,84 @@ END_ID = 0
 WIDTH = 4
 PARTS = 3
 CACHED_WORDS = 400_000
-CACHED_LENGTH = 40
+GROUP_CHARS = 2_000_000
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
-_encoders: dict[str, WordEncoder] = {}
-
-
-class WordEncoder(dict):
-    """Token ids of texts, as little-endian bytes, with a cache of words.
+class WordEncoder:
+    """Token ids of texts, as little-endian bytes, with a cache of words and of their parts.
 
     The tokenizer drops white space and never joins tokens across it, so a text's ids are those of
-    its words, one after another.  The cache starts anew when it is full.
+    its words, one after another.  Plain words, of printable ASCII and Latin-1 letters, are cut as the
+    tokenizer itself cuts them, and unknown parts are encoded together, with spaces between; each
+    part ends with a token that ends a word.  All other words go to the tokenizer as they are.  A
+    cache starts anew when it is full.
     """
 
+    # Fixed value: how the tokenizer cuts words of these characters, in lower case.
+    PARTS = re.compile(
+        r"'s|'t|'re|'ve|'m|'ll|'d|[a-zµªºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-z0-9µªºß-öø-ÿ²³¹¼½¾]+"
+    )
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # Words that may hold a special token are not plain.
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        first = "".join(re.escape(t.content[0]) for t in added)
+        self.plain = re.compile(
+            (f"(?!.*[{first}])" if first else "") + "[\\x21-\\x7eÀ-ÖØ-öø-ÿ]+", re.DOTALL
+        ).fullmatch
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.array(found.ids, "<u4")
+
+    def _learn(self, words: list[bytes]) -> None:
+        if len(self.words) + len(words) > CACHED_WORDS:
+            self.words.clear()
+        if len(self.parts) > CACHED_WORDS:
+            self.parts.clear()
+        texts = [word.decode("utf-8") for word in words]
+        is_plain = list(map(self.plain, texts))
+        for word, text, plain in zip(words, texts, is_plain, strict=True):
+            if not plain:
+                self.words[word] = self._encode(text).tobytes()
+        cut = [self.PARTS.findall(t.lower()) for t, plain in zip(texts, is_plain, strict=True) if plain]
+        unknown = list(set(chain.from_iterable(cut)) - self.parts.keys())
+        if unknown:
+            ids = self._encode(" ".join(unknown))
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(unknown):
+                raise ValueError("the tokenizer does not cut words as expected")
+            data = ids.tobytes()
+            self.parts.update(
+                (p, data[a:b])
+                for p, a, b in zip(unknown, [0, *stops[:-1]], stops, strict=True)
+            )
+        known = self.parts.__getitem__
+        joined = [known(c[0]) if len(c) == 1 else b"".join(map(known, c)) for c in cut]
+        self.words.update(zip(compress(words, is_plain), joined, strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        # Of bytes, split() takes the six characters of ASCII white space alone.
+        cut = [text.encode("utf-8", "replace").split() for text in texts]
+        words = set().union(*cut)
+        unknown = [w for w in words if w not in self.words]
+        if len(unknown) + len(self.words) > CACHED_WORDS:
+            unknown = list(words)
+        self._learn(unknown)
+        known = self.words.__getitem__
+        return [b"".join(map(known, c)) for c in cut]
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        found = np.array(ids, "<u4").tobytes()
-        if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = found
-        return found
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+_encoders: dict[str, WordEncoder] = {}
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -70,6 +119,19 @@ def _encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def _encoded(encoder: WordEncoder, texts: pd.Series) -> Iterator[bytes]:
+    """Ids of each text; texts are taken together up to a number of characters."""
+    group: list[str] = []
+    size = 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= GROUP_CHARS:
+            yield from encoder.encode(group)
+            group, size = [], 0
+    yield from encoder.encode(group)
+
+
 def token_pieces(
     docs: DataFrame,
     tokenizer: str,
@@ -91,8 +153,8 @@ def token_pieces(
         encoder = _encoder(tokenizer)
         for batch in batches:
             rows = []
-            for at, text in enumerate(batch["_text"]):
-                data = encoder.ids(text) + end
+            for at, data in enumerate(_encoded(encoder, batch["_text"])):
+                data += end
                 for piece, start in enumerate(range(0, len(data), step)):
                     part = data[start : start + step]
                     rows.append((at, piece, start // 4, len(part) // 4, zlib.crc32(part), part))

@@ -8,9 +8,28 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmine.llm import ann, exact_dedup, jaccard_join, mixing, packing, toxicity
+from trailmine.llm import (
+    ann,
+    chat,
+    exact_dedup,
+    jaccard_join,
+    licences,
+    mixing,
+    packing,
+    pii,
+    token_counts,
+    toxicity,
+)
 
 WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
+# Only for the registered query; a deployment gives a key of its own.
+PII_KEY = "trailmine"
+TOOLS: chat.Schema = {
+    "search": {"query": ("string", True), "limit": ("integer", False)},
+    "count": {"text": ("string", True), "words": ("integer", True)},
+    "merge": {"inputs": ("array", True), "strict": ("boolean", True)},
+}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +45,15 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = pii.replace_entities(_table(spark, sf_dir, "documents"), PII_KEY)
+    return replaced.select("doc_id", "text", "n_entities")
+
+
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_notices(_table(spark, sf_dir, "documents"))
+
+
 def _held_out(doc_id: str = "doc_id") -> Column:
     """A quarter of the documents, by id; labels of these are never learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -45,6 +73,38 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tool_tables(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results in the turns of a conversation.
+
+    The table has no tool calls, so each user turn becomes one, of a tool and with arguments that
+    follow from its text, and each assistant turn the result of the call before it.  Some calls use
+    the call two turns before, which may not be there, and some have a field of a wrong type.
+    """
+    pick = "pmod(xxhash64(text), 3)"
+    wrong = "pmod(xxhash64(text), 17) = 0"
+    words = "size(split(trim(coalesce(text, '')), ' +'))"
+    before = "concat('c', conv_id, '_', turn - 2)"
+    calls = turns.where("role = 'user'").selectExpr(
+        "conv_id", "turn", "concat('c', conv_id, '_', turn) AS call_id",
+        f"CASE {pick} WHEN 0 THEN 'search' WHEN 1 THEN 'count' ELSE 'merge' END AS tool",
+        f"CASE {pick} WHEN 0 THEN to_json(named_struct('query', substring(text, 1, 60), "
+        f"'limit', {words})) "
+        f"WHEN 1 THEN IF({wrong}, to_json(named_struct('words', 'many', 'text', text)), "
+        f"to_json(named_struct('words', {words}, 'text', text))) "
+        f"ELSE to_json(named_struct('strict', true, 'inputs', "
+        f"array(named_struct('$call', {before})))) END AS arguments",
+    )
+    results = turns.where("role = 'assistant'").selectExpr(
+        "conv_id", "turn", "concat('c', conv_id, '_', turn - 1) AS call_id", "text AS content"
+    )
+    return calls, results
+
+
+def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_tables(_table(spark, sf_dir, "conversations"))
+    return chat.link_tool_calls(calls, results, TOOLS)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +118,26 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def with_derived_edits(docs: DataFrame) -> DataFrame:
+    """Three edits for each document, at places that follow from its id: a passage of its own put in,
+    a passage taken out, and a passage replaced by another."""
+    text = "coalesce(text, '')"
+    place = [f"int(pmod(xxhash64(doc_id, {i}), length({text}) + 1))" for i in range(5)]
+    passage = [f"substring({text}, {place[i]} + 1, 30)" for i in (3, 4)]
+    return docs.selectExpr(
+        "doc_id", "text",
+        f"array(named_struct('at', {place[0]}, 'removed', 0, 'added', {passage[0]}), "
+        f"named_struct('at', {place[1]}, 'removed', 25, 'added', ''), "
+        f"named_struct('at', {place[2]}, 'removed', 12, 'added', {passage[1]})) AS edits",
+    )
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_derived_edits(_table(spark, sf_dir, "documents"))
+    ranks = public_tokenizers.path(BYTE_RANKS)
+    return token_counts.edited_counts(docs, ranks, public_tokenizers.PATTERN)
+
+
 def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path(WORD_TOKENIZER)
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer)
@@ -66,9 +146,13 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_pii_surrogates": op2_pii_surrogates,
+        "op3_licence_scan": op3_licence_scan,
         "op4_toxicity": op4_toxicity,
+        "op5_tool_call_linking": op5_tool_call_linking,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op8_nearest_neighbours": op8_nearest_neighbours,
+        "op9_token_counts": op9_token_counts,
         "op10_pack_documents": op10_pack_documents,
     }
