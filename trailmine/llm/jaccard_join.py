@@ -8,17 +8,20 @@ The result is exact, up to equal 64-bit hashes of different shingles or sets.
 2. All shingles have one order: others by hash, then frequent ones by rising count.  Two similar sets
    share a shingle among the first ``n - ceil(0.8 n) + 1`` of each, their prefixes.  Prefixes are
    turned into index lists, one for each shingle, of ``(class, size, position)``.
-3. Lists are read in order of size.  Each entry is compared with the leader of its stretch and with
-   its predecessor, so a group of near copies costs a number of comparisons in proportion to its
-   entries, not to pairs.  Comparing means intersecting the whole sets.  Links give components.
-   A list of more than ``LIST_CHUNK`` entries is dealt to several tasks, each with the first leader.
-4. Lists with several components are read again, now for all pairs across components.  Entries are
-   in blocks by position.  The position bounds the overlap that is possible, and a block whose best
-   entry cannot reach the threshold is skipped whole.  Long lists are cut into chunks, and every two
-   chunks meet in a task of their own.
-5. A set and its leader are highly similar, with a known overlap.  Of all pairs across components
-   only those of their leaders are intersected; from that answer and the small differences to the
-   leaders follow bounds for the pair itself, which decide most pairs.  The rest are intersected.
+3. Of lists with at most ``SHORT`` entries all pairs count how many prefix shingles they share; with
+   the shingles behind the prefixes that bounds their overlap, and few pairs are left.  In longer
+   lists, read in order of size, each entry is compared with the leader of its stretch and with its
+   predecessor, so a group of near copies costs comparisons in proportion to its entries, not to its
+   pairs.  Comparing means intersecting the whole sets.  A list of more than ``LIST_CHUNK`` entries
+   is dealt to several tasks, each with the first leader.
+4. The entry of a long list with the most links against other comparisons is its hub; all entries
+   are compared with it.  Links so far give components.
+5. Long lists with several components are read again for pairs across components.  Entries are in
+   blocks by position; the position bounds the overlap that is possible, and a block whose best entry
+   cannot reach the threshold is skipped whole.  Two sets compared with one hub have bounds on their
+   overlap from these two answers and the small differences to the hub; only pairs that they do not
+   decide are compared.  Lists of many entries are cut into chunks, and every two chunks meet in a
+   task of their own.
 
 Which shingles count as frequent changes the work alone: any one order gives the same result.
 
@@ -28,6 +31,7 @@ members of classes but name no component; equal rows are in one class.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,8 +49,12 @@ MAX_FREQUENT = 1 << 18
 CACHED_WORDS = 400_000
 BLOCK = 64
 LIST_CHUNK = 20_000
+SHORT = 8
+# Index entries keep 48 bits of a shingle and 16 of its position in one number.
+PLACE_BITS = 16
 # Similar means NUM * union <= DEN * intersection.
 NUM, DEN = 80, 100
+SIMILAR = f"{NUM + DEN} * both >= {NUM} * (n_u + n_v)"
 
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 64)], np.uint64)
 
@@ -193,7 +201,7 @@ def _shared(lists: DataFrame) -> DataFrame:
         for batch in batches:
             if last is not None:
                 batch = pd.concat([last, batch], ignore_index=True)
-            key = batch["shingle"].to_numpy()
+            key = batch["entry"].to_numpy() >> PLACE_BITS
             if not len(key):
                 continue
             same = key[1:] == key[:-1]
@@ -203,8 +211,9 @@ def _shared(lists: DataFrame) -> DataFrame:
         if last is not None and last_shared:
             yield last
 
-    ordered = lists.repartition("shingle").sortWithinPartitions("shingle")
-    return ordered.mapInPandas(run, "shingle long, digest long, n int, at int")
+    shingle = F.shiftright("entry", PLACE_BITS)
+    ordered = lists.repartition(shingle).sortWithinPartitions("entry")
+    return ordered.mapInPandas(run, "entry long, digest long")
 
 
 def _possible(n1: int, rest1: int, n2: np.ndarray, rest2: np.ndarray) -> np.ndarray:
@@ -215,40 +224,48 @@ def _possible(n1: int, rest1: int, n2: np.ndarray, rest2: np.ndarray) -> np.ndar
 
 
 def _near_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs ``u, v`` of list entries with their leader and with their predecessor.
-
-    Rows with ``v`` NULL name entries that have a partner of a fitting size in a list.
-    """
+    """``u, v, short, long``: in how many short lists a pair is, and whether it is to be compared
+    for a long one.  Rows with ``u = v`` tell how many long lists ``u`` is in."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs: set[tuple[int, int]] = set()
-        partners: set[int] = set()
+        counts: Counter = Counter()
+        chosen: set[tuple[int, int]] = set()
+        in_long: Counter = Counter()
 
         def flush() -> pd.DataFrame:
-            found = [*pairs, *((x, None) for x in partners)]
-            out = pd.DataFrame(found, columns=["u", "v"]).astype({"u": "int64", "v": "Int64"})
-            pairs.clear()
-            partners.clear()
-            return out
+            rows = [(u, v, n, 0) for (u, v), n in counts.items()]
+            rows += [(u, v, 0, 1) for u, v in chosen]
+            rows += [(u, u, 0, n) for u, n in in_long.items()]
+            counts.clear()
+            chosen.clear()
+            in_long.clear()
+            return pd.DataFrame(rows, columns=["u", "v", "short", "long"]).astype("int64")
 
         columns = ["shingle", "salt", "digest", "n", "at"]
         for _, _, digests, sizes, places in _runs(batches, columns):
-            rest = (sizes - places - 1).tolist()
             size, name = sizes.tolist(), digests.tolist()
-            lead = 0
-            for i in range(1, len(name)):
-                if NUM * size[i] <= DEN * size[i - 1]:
-                    partners.add(name[i])
-                    partners.add(name[i - 1])
-                if NUM * size[i] > DEN * size[lead]:
-                    lead = i
-                    continue
-                for j in {lead, i - 1}:
-                    overlap = 1 + min(rest[i], rest[j])
-                    if (NUM + DEN) * overlap >= NUM * (size[i] + size[j]) and name[i] != name[j]:
-                        a, b = name[j], name[i]
-                        pairs.add((a, b) if a < b else (b, a))
-            if len(pairs) + len(partners) > 200_000:
+            if len(name) <= SHORT:
+                for i in range(1, len(name)):
+                    for j in range(i):
+                        # In order of size, so the first is the smaller.
+                        if NUM * size[i] <= DEN * size[j]:
+                            a, b = name[j], name[i]
+                            counts[(a, b) if a < b else (b, a)] += 1
+            else:
+                rest = (sizes - places - 1).tolist()
+                in_long.update(name)
+                lead = 0
+                for i in range(1, len(name)):
+                    if NUM * size[i] > DEN * size[lead]:
+                        lead = i
+                        continue
+                    for j in {lead, i - 1}:
+                        overlap = 1 + min(rest[i], rest[j])
+                        total = NUM * (size[i] + size[j])
+                        if (NUM + DEN) * overlap >= total and name[i] != name[j]:
+                            a, b = name[j], name[i]
+                            chosen.add((a, b) if a < b else (b, a))
+            if len(counts) + len(chosen) + len(in_long) > 300_000:
                 yield flush()
         yield flush()
 
@@ -264,17 +281,82 @@ def _near_pairs(lists: DataFrame) -> DataFrame:
     heads = long_.selectExpr(
         "shingle", f"explode(sequence(0, {chunks} - 1)) AS salt", "head.digest", "head.n", "head.at"
     )
-    ordered = (
-        salted.union(heads)
+    if heads.take(1):
+        salted = salted.union(heads).distinct()
+    ordered = salted.repartition("shingle", "salt").sortWithinPartitions(
+        "shingle", "salt", "n", "digest"
+    )
+    found = ordered.mapInPandas(run, "u long, v long, short long, long long")
+    return found.groupBy("u", "v").agg(F.sum("short").alias("short"), F.sum("long").alias("long"))
+
+
+def _worth_comparing(found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs of `_near_pairs` that can be similar.
+
+    Up to the last shingle of the prefix that ends first, two sets share what their prefixes share;
+    behind it at most the rest of that set.
+    """
+    in_long = found.where("u = v").selectExpr("u AS digest", "long AS n_long")
+    known = settle(
+        sizes.join(in_long, "digest", "left").selectExpr(
+            "digest", "n", "coalesce(n_long, 0L) AS n_long",
+            f"({NUM} * n + {DEN - 1}) div {DEN} - 1 AS behind",
+        ),
+        "list-sizes",
+    )
+    a = known.selectExpr("digest AS u", "n AS n_u", "n_long AS long_u", "behind AS behind_u")
+    b = known.selectExpr("digest AS v", "n AS n_v", "n_long AS long_v", "behind AS behind_v")
+    most = "short + least(long_u, long_v) + greatest(behind_u, behind_v)"
+    pairs = found.where("u <> v")
+    return pairs.where("long > 0").select("u", "v").union(
+        pairs.where("long = 0").join(a, "u").join(b, "v")
+        .where(f"{NUM + DEN} * ({most}) >= {NUM} * (n_u + n_v)").select("u", "v")
+    )
+
+
+def _hub_pairs(lists: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs of the hub of each long list with its entries, of those not compared yet."""
+    both = near.selectExpr("u AS digest", f"IF({SIMILAR}, 1, -1) AS score").union(
+        near.selectExpr("v AS digest", f"IF({SIMILAR}, 1, -1) AS score")
+    )
+    score = both.groupBy("digest").agg(F.sum("score").alias("score"))
+    hubs = (
+        lists.join(score, "digest")
+        .groupBy("shingle")
+        .agg(F.max(F.struct("score", "digest", "n")).alias("hub"))
+        .selectExpr("shingle", "hub.digest AS hub", "hub.n AS hub_n")
+    )
+    small, large = "least(n, hub_n)", "greatest(n, hub_n)"
+    return (
+        lists.join(hubs, "shingle")
+        .where(f"hub <> digest AND {NUM} * {large} <= {DEN} * {small}")
+        .selectExpr("least(hub, digest) AS u", "greatest(hub, digest) AS v")
         .distinct()
-        .repartition("shingle", "salt")
-        .sortWithinPartitions("shingle", "salt", "n", "digest")
+        .join(near, ["u", "v"], "left_anti")
+    )
+
+
+def _centres(near: DataFrame) -> DataFrame:
+    """``digest, centre, with_centre, centre_n``: of the sets that a set was compared with, the one
+    with the most comparisons.  That of a hub is itself."""
+    both = near.selectExpr("u AS digest", "v AS other", "n_v AS other_n", "n_u AS n", "both").union(
+        near.selectExpr("v AS digest", "u AS other", "n_u AS other_n", "n_v AS n", "both")
+    )
+    many = settle(both.groupBy("digest").agg(
+        F.count(F.lit(1)).alias("times"), F.max("n").alias("n")), "comparisons")
+    other = both.join(
+        many.selectExpr("digest AS other", "times"), "other"
+    ).selectExpr("digest", "struct(times, other AS centre, both AS with_centre, other_n AS centre_n) AS c")
+    own = many.selectExpr(
+        "digest", "struct(times, digest AS centre, n AS with_centre, n AS centre_n) AS c"
+    )
+    return other.union(own).groupBy("digest").agg(F.max("c").alias("c")).selectExpr(
+        "digest", "c.centre", "c.with_centre", "c.centre_n"
     )
-    return ordered.mapInPandas(run, "u long, v long").distinct()
 
 
 def _cross_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs of entries of a list that are of different components and can be similar.
+    """Pairs of entries of a list that are of different components and can be similar.
 
     In a task for two chunks of a list, pairs are of one entry of each.
     """
@@ -287,15 +369,18 @@ def _cross_pairs(lists: DataFrame) -> DataFrame:
             pairs.clear()
             return out
 
-        columns = ["shingle", "cell", "digest", "n", "at", "component", "chunk", "of"]
-        for _, cells, name, size, place, component, chunk, of in _runs(batches, columns):
-            if (component == component[0]).all():
+        columns = ["shingle", "cell", "digest", "n", "at", "component", "chunk", "of", "centre",
+                   "with_centre"]
+        for run_ in _runs(batches, columns):
+            if (run_[5] == run_[5][0]).all():
                 continue
-            order = np.argsort(place, kind="stable")
-            name, size, component = name[order], size[order], component[order]
-            chunk = chunk[order]
-            within = cells[0] // of[0] == cells[0] % of[0]
-            rest = size - place[order] - 1
+            order = np.argsort(run_[4], kind="stable")
+            name, size, place, component, chunk, _, centre, inside = (
+                x[order] for x in run_[2:]
+            )
+            cell, of = int(run_[1][0]), int(run_[7][0])
+            within = cell // of == cell % of
+            rest, outside = size - place - 1, size - inside
             starts = np.arange(0, len(name), BLOCK)
             most_rest = np.maximum.reduceat(rest, starts)
             least_size = np.minimum.reduceat(size, starts)
@@ -317,6 +402,11 @@ def _cross_pairs(lists: DataFrame) -> DataFrame:
                     fits &= component[a:b] != component[i]
                     if not within:
                         fits &= chunk[a:b] != chunk[i]
+                    # Within the centre they share what both do, outside what the smaller rest holds.
+                    most = np.minimum(inside[a:b], inside[i]) + np.minimum(
+                        outside[a:b], outside[i])
+                    fits &= (centre[a:b] != centre[i]) | (
+                        (NUM + DEN) * most >= NUM * (n + size[a:b]))
                     x = int(name[i])
                     for y in name[a:b][fits].tolist():
                         pairs.add((x, y) if x < y else (y, x))
@@ -332,7 +422,7 @@ def _cross_pairs(lists: DataFrame) -> DataFrame:
         "*", "int(pmod(xxhash64(digest), of)) AS chunk"
     ).selectExpr("*", "explode(sequence(0, of - 1)) AS other").selectExpr(
         "shingle", "least(chunk, other) * of + greatest(chunk, other) AS cell",
-        "digest", "n", "at", "component", "chunk", "of",
+        "digest", "n", "at", "component", "chunk", "of", "centre", "with_centre",
     )
     ordered = dealt.repartition("shingle", "cell").sortWithinPartitions("shingle", "cell")
     return ordered.mapInPandas(run, "u long, v long").distinct()
@@ -342,11 +432,13 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, words) for t in batch["_text"]]
-            yield pd.DataFrame(
-                {"digest": [digest(s) for s in sets], "values": [s.tobytes() for s in sets]}
-            ).astype({"digest": "int64"})
+            out = batch[["_id"]].copy()
+            out["digest"] = np.array([digest(s) for s in sets], np.int64)
+            out["values"] = [s.tobytes() for s in sets]
+            yield out
 
-    return docs.mapInPandas(run, "digest long, values binary")
+    kind = docs.schema["_id"].dataType.simpleString()
+    return docs.mapInPandas(run, f"_id {kind}, digest long, values binary")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -373,52 +465,6 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInPandas(run, "u long, v long, n_u long, n_v long, both long")
 
 
-SIMILAR = f"{NUM + DEN} * both >= {NUM} * (n_u + n_v)"
-
-
-def _derived(pairs: DataFrame, near: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among ``pairs``, from overlaps of their leaders where those decide."""
-    both_ways = near.selectExpr("u AS x", "v AS lead", "n_u AS n", "n_v AS n_lead", "both").union(
-        near.selectExpr("v AS x", "u AS lead", "n_v AS n", "n_u AS n_lead", "both")
-    )
-    # The best known neighbour of lower digest, and the set itself if it has none.
-    best = both_ways.where("lead < x").groupBy("x").agg(
-        F.max(F.struct("both", "lead", "n_lead")).alias("best")
-    )
-    leader = sizes.join(best, sizes["digest"] == best["x"], "left").selectExpr(
-        "digest", "n", "coalesce(best.lead, digest) AS lead",
-        "n - coalesce(best.both, n) AS own", "coalesce(best.n_lead - best.both, 0L) AS lead_own",
-    )
-    a = leader.selectExpr("digest AS u", "n AS n_u", "lead AS lead_u", "own AS own_u",
-                          "lead_own AS lead_own_u")
-    b = leader.selectExpr("digest AS v", "n AS n_v", "lead AS lead_v", "own AS own_v",
-                          "lead_own AS lead_own_v")
-    known = settle(
-        pairs.join(a, "u").join(b, "v").selectExpr(
-            "*", "least(lead_u, lead_v) AS low", "greatest(lead_u, lead_v) AS high"
-        ),
-        "cross-pairs",
-    )
-    leaders = known.where("low <> high").select(
-        F.col("low").alias("u"), F.col("high").alias("v")
-    ).distinct()
-    answers = _overlaps(leaders, sets).selectExpr("u AS low", "v AS high", "both AS lead_both")
-    bounded = settle(
-        known.join(answers, ["low", "high"], "left").selectExpr(
-            "u", "v", "n_u", "n_v",
-            "IF(low = high, NULL, lead_both + own_u + own_v) AS at_most",
-            "IF(low = high, NULL, lead_both - lead_own_u - lead_own_v) AS at_least",
-        ),
-        "bounded-pairs",
-    )
-    enough, total = NUM + DEN, f"{NUM} * (n_u + n_v)"
-    sure = bounded.where(f"{enough} * at_least >= {total}").select("u", "v")
-    open_ = bounded.where(
-        f"at_most IS NULL OR ({enough} * at_most >= {total} AND {enough} * at_least < {total})"
-    )
-    return sure.union(_overlaps(open_, sets).where(SIMILAR).select("u", "v"))
-
-
 def similar_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS
 ) -> DataFrame:
@@ -442,35 +488,61 @@ def similar_components(
 
     prefixes = _prefixes(given, frequent, counts, words).dropDuplicates(["digest"])
     prefixes = settle(prefixes, "prefixes")
-    entries = prefixes.selectExpr("digest", "n", "n_others", "posexplode(prefix) AS (at, shingle)")
-    entry = ["shingle", "digest", "int(n) AS n", "at"]
+    low = (1 << PLACE_BITS) - 1
+    entries = prefixes.selectExpr("digest", "n_others", "posexplode(prefix) AS (at, shingle)")
+    entries = entries.selectExpr(
+        "at < n_others AS other", f"(shingle & ~{low}L) | least(at, {low}) AS entry", "digest"
+    )
     # A list of a frequent shingle may be long, and is known to be shared.
-    others = _shared(entries.where("at < n_others").selectExpr(*entry))
-    kept = settle(others.union(entries.where("at >= n_others").selectExpr(*entry)), "index-lists")
-    found = settle(_near_pairs(kept), "near-pairs")
-    wanted = found.where("v IS NULL").selectExpr("u AS digest")
-    candidates = found.where("v IS NOT NULL")
-
-    classes = members.where("n > 3").groupBy("digest").agg(
-        F.min("_id").alias("_id"), F.max("n").alias("n")
+    shared = _shared(entries.where("other").select("entry", "digest")).union(
+        entries.where("NOT other").select("entry", "digest")
+    )
+    sizes = settle(
+        members.where("n > 3").groupBy("digest").agg(
+            F.min("_id").alias("_id"), F.max("n").alias("n")), "set-classes"
+    )
+    lists = settle(
+        shared.join(sizes.select("digest", "n"), "digest").selectExpr(
+            f"shiftright(entry, {PLACE_BITS}) AS shingle", "digest", "n",
+            f"int(entry & {low}) AS at"),
+        "index-lists",
+    )
+    found = settle(_near_pairs(lists), "near-pairs")
+    pairs = settle(_worth_comparing(found, sizes.select("digest", "n")), "pairs")
+    many = lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("length"))
+    long_lists = settle(
+        lists.join(many.where(f"length > {SHORT}").select("shingle"), "shingle"), "long-lists"
     )
-    partners = settle(classes.join(wanted, "digest"), "set-classes")
-    texts, _ = split_by_keys(given, "_id", partners, partners.count())
-    sets = settle(
-        _sets(texts, words).join(wanted, "digest", "left_semi").dropDuplicates(["digest"]), "sets"
+    wanted = (
+        pairs.select(F.col("u").alias("digest")).union(pairs.select("v"))
+        .union(long_lists.select("digest")).distinct()
     )
-    near = settle(_overlaps(candidates, sets), "near-overlaps")
+    partners = settle(sizes.join(wanted, "digest").select("digest", "_id"), "partners")
+    n_partners = partners.count()
+    texts, _ = split_by_keys(given, "_id", partners, n_partners)
+    sets = settle(_sets(texts, words).join(partners, ["digest", "_id"]).drop("_id"), "sets")
+    if sets.count() > n_partners:  # rows alike in id and text
+        sets = settle(sets.dropDuplicates(["digest"]), "sets")
+    near = settle(_overlaps(pairs, sets), "overlaps")
+    to_hubs = settle(_overlaps(_hub_pairs(long_lists, near), sets), "hub-overlaps")
+    near = near.union(to_hubs)
     links = near.where(SIMILAR).select("u", "v")
     label = components(links)
 
-    marked = kept.join(label.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
-        "component", F.coalesce("component", "digest")
+    cross = _cross_pairs(
+        long_lists.join(label.withColumnRenamed("node", "digest"), "digest", "left")
+        .join(_centres(near), "digest", "left")
+        .selectExpr(
+            "shingle", "digest", "n", "at", "coalesce(component, digest) AS component",
+            "coalesce(centre, digest) AS centre", "coalesce(with_centre, n) AS with_centre",
+        )
     )
-    cross = _cross_pairs(marked).join(near, ["u", "v"], "left_anti")
-    more = _derived(cross, near, partners.select("digest", "n"), sets)
-    label = components(links.union(more).union(
-        label.selectExpr("node AS u", "component AS v").where("u <> v")
-    ))
+    cross = settle(cross.join(near, ["u", "v"], "left_anti"), "cross-pairs")
+    if cross.take(1):
+        more = _overlaps(cross, sets).where(SIMILAR).select("u", "v")
+        label = components(more.union(
+            label.selectExpr("node AS u", "component AS v").where("u <> v")
+        ))
 
     grouped = members.where("n > 0").join(
         label.withColumnRenamed("node", "digest"), "digest", "left"
