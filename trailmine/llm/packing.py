@@ -32,7 +32,7 @@ CAPACITY = 2048
 END_ID = 0
 WIDTH = 4
 PARTS = 3
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 GROUP_CHARS = 2_000_000
 
 PIECES = "piece int, start long, length long, ids_crc32 long"

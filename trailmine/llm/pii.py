@@ -153,6 +153,15 @@ def _with_check_digit(number: Column) -> Column:
     return F.concat(F.expr("substring(drawn, 1, length(drawn) - 1)"), last)
 
 
+def _last_name(syllables: str) -> Column:
+    """More syllables after many attempts, so that names never run out."""
+    each = F.transform(
+        F.expr("sequence(1, 3 + attempt div 4)"),
+        lambda i: _pick(syllables, _hash(F.col("seed"), i.cast("string"))),
+    )
+    return F.initcap(F.array_join(each, ""))
+
+
 def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """Adds ``surrogate`` to ``kind, canonical, attempt``: also canonical, and not checked."""
     seed = F.sha2(
@@ -170,13 +179,9 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     script = F.when(F.col("canonical").rlike("\\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     name = F.lit(None).cast("string")
     for (gender, letters), first in FIRST.items():
-        last = F.initcap(F.array_join(F.transform(
-            # More syllables after many attempts, so that names never run out.
-            F.expr("sequence(1, 3 + attempt div 4)"),
-            lambda i, s=SYLLABLES[letters]: _pick(s, _hash(F.col("seed"), i.cast("string"))),
-        ), ""))
-        own = F.concat(_pick(first, _hash(F.col("seed"))), F.lit(" "), last)
         # One name for one name, two for two.
+        last = _last_name(SYLLABLES[letters])
+        own = F.concat(_pick(first, _hash(F.col("seed"))), F.lit(" "), last)
         own = F.when(F.col("canonical").rlike("[ -]"), own).otherwise(last)
         name = F.when((F.col("kind") == gender) & (script == letters), own).otherwise(name)
     drawn = (
@@ -192,7 +197,7 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     )
     rows = rows.withColumn("drawn", drawn)
     checked = F.when(
-        (F.col("kind") == "card") & F.luhn_check("canonical"), _with_check_digit(F.col("drawn"))
+        (F.col("kind") == "card") & F.expr("luhn_check(canonical)"), _with_check_digit(F.col("drawn"))
     ).otherwise(F.col("drawn"))
     return rows.withColumn("surrogate", checked).drop("seed", "drawn")
 
