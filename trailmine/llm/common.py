@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, though ``use`` needs it for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def buckets_for(n_rows: int, per_bucket: int = 2_000, most: int = 4_096) -> int:
     """Into how many pieces a group is cut for `running_start`: more for more rows.
 

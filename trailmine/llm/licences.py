@@ -26,9 +26,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmine.llm.common import settle
+from trailmine.llm.common import bound, settle
 
-BACKGROUND = 5_000
+BACKGROUND = 3_000
 COPIES = 40
 THRESHOLD = 0.5
 CONFIRMED = 0.5
@@ -86,14 +86,14 @@ def words_of(text: Column) -> Column:
 
 def runs(words: Column, n: int) -> Column:
     """Distinct runs of ``n`` words."""
-    return F.array_distinct(F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: i + n <= F.size(words)),
-        lambda i: F.array_join(F.slice(words, i + 1, n), " "),
-    ))
+    return bound(words, lambda given: F.array_distinct(F.transform(
+        F.filter(F.sequence(F.lit(0), F.size(given)), lambda i: i + n <= F.size(given)),
+        lambda i: F.array_join(F.slice(given, i + 1, n), " "),
+    )))
 
 
 def _features(words: Column) -> Column:
-    return F.concat(runs(words, 1), runs(words, 2), runs(words, 3))
+    return bound(words, lambda given: F.concat(runs(given, 1), runs(given, 2), runs(given, 3)))
 
 
 def template_table(spark: SparkSession) -> DataFrame:
@@ -191,7 +191,7 @@ def train(spark: SparkSession, parts: DataFrame) -> Classifier:
     )
     vectors = vectorizer.transform(ready)
     fitted = LogisticRegression(
-        featuresCol="vector", regParam=0.001, elasticNetParam=0.5, maxIter=60, family="multinomial",
+        featuresCol="vector", regParam=0.001, elasticNetParam=0.5, maxIter=30, family="multinomial",
     ).fit(vectors.where("part <> 0"))
     temperature = _temperature(fitted, vectors.where("part = 0"))
     return Classifier(vectorizer, fitted, classes, anchors, temperature)
@@ -200,7 +200,8 @@ def train(spark: SparkSession, parts: DataFrame) -> Classifier:
 def _softmax(raw: Column, temperature: float) -> Column:
     high = F.array_max(raw)
     powers = F.transform(raw, lambda x: F.exp((x - high) / temperature))
-    return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+    return bound(powers, lambda given: F.transform(
+        given, lambda p: p / F.aggregate(given, F.lit(0.0), lambda a, b: a + b)))
 
 
 def _temperature(model: LogisticRegressionModel, held: DataFrame) -> float:
@@ -244,7 +245,6 @@ def licence_notices(
         F.array(*map(F.lit, fitted.classes)),
         F.array_position("chance", F.col("probability")).cast("int"),
     )).where((F.col("family") != UNKNOWN) & (F.col("probability") >= threshold))
-    own = runs(F.col("words"), 3)
     by_family = F.create_map(*[
         x for family, texts in sorted(TEMPLATES.items())
         for x in (F.lit(family), F.array(*[
@@ -252,9 +252,9 @@ def licence_notices(
     ])
     share = F.array_max(F.transform(
         F.element_at(by_family, F.col("family")),
-        lambda t: F.size(F.array_intersect(t, own)) / F.size(t),
+        lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.size(t),
     ))
-    return best.withColumn("similarity", share).where(F.col("similarity") >= confirmed).select(
+    return best.withColumn("own", runs(F.col("words"), 3)).withColumn("similarity", share).where(F.col("similarity") >= confirmed).select(
         F.col("id").alias(id_col), "paragraph", "family", "probability", "similarity"
     )
 

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmine.llm.common import WORD, buckets_for, running_start, settle
+from trailmine.llm.common import WORD, bound, buckets_for, running_start, settle
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -334,8 +334,8 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     ).selectExpr("id AS _id", "_spans", "IF(size = 0, 1L, passes) AS _passes")
     marked = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]))
     every = F.regexp_extract_all("text", F.lit(f"{WORD}[\\x20\\x09-\\x0D]*"), F.lit(0))
-    cut = F.transform("_spans", lambda s: F.array_join(
-        F.slice(every, (s["skip"] + 1).cast("int"), s["words"].cast("int")), ""))
+    cut = bound(every, lambda words: F.transform("_spans", lambda s: F.array_join(
+        F.slice(words, (s["skip"] + 1).cast("int"), s["words"].cast("int")), "")))
     copies = F.concat(
         F.array_repeat(F.col("text"), F.col("_passes").cast("int")),
         F.when(F.col("_spans").isNull(), F.array().cast("array<string>")).otherwise(
