@@ -43,6 +43,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, **keys: str) -> DataFrame:
+    """All columns as one, ``row``, with copies of some beside it, so no name can clash."""
+    return df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+        *[F.col(f"`{c}`").alias(name) for name, c in keys.items()],
+    )
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once, though ``use`` needs it for every element."""
     return F.element_at(F.transform(F.array(value), use), 1)

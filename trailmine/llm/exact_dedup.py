@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmine.llm.bloom import MAX_BITS, filter_blocks, half_size, key_bits, look_up, split_by_keys
-from trailmine.llm.common import SPACES, settle
+from trailmine.llm.common import SPACES, packed, settle
 
 
 def text_hash(text: Column) -> Column:
@@ -85,11 +85,12 @@ def drop_copies(
         .where("NOT _kept OR _n > 1"),
         "text-copies",
     )
-    wanted = copies.select(F.col("_id").alias(id_col))
-    maybe, stay = split_by_keys(docs, id_col, wanted, copies.count())
-    keyed = maybe.withColumn("_own_sha", text_hash(F.col(text_col)))
-    same = keyed[id_col].eqNullSafe(copies["_id"]) & (keyed["_own_sha"] == copies["_sha"])
+    wanted = copies.select(F.col("_id").alias("key"))
+    rows = packed(docs, key=id_col, text=text_col)
+    maybe, stay = split_by_keys(rows, "key", wanted, copies.count())
+    keyed = maybe.withColumn("own_sha", text_hash(F.col("text")))
+    same = keyed["key"].eqNullSafe(copies["_id"]) & (keyed["own_sha"] == copies["_sha"])
     marked = keyed.join(copies, same, "left")
-    once = marked.where("_sha IS NULL").select(*docs.columns)
-    again = marked.where("_kept").dropDuplicates(["_id", "_sha"]).select(*docs.columns)
-    return stay.unionByName(once).unionByName(again)
+    once = marked.where("_sha IS NULL").select("row.*")
+    again = marked.where("_kept").dropDuplicates(["_id", "_sha"]).select("row.*")
+    return stay.select("row.*").unionByName(once).unionByName(again)

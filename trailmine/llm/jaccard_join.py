@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmine.llm.bloom import split_by_keys
-from trailmine.llm.common import settle
+from trailmine.llm.common import packed, settle
 from trailmine.llm.components import components
 
 WORDS = 5
@@ -568,5 +568,7 @@ def one_of_each_component(
         groups.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct(),
         "near-copies",
     )
-    maybe, stay = split_by_keys(docs, id_col, gone, gone.count())
-    return stay.unionByName(maybe.join(gone, id_col, "left_anti").select(*docs.columns))
+    gone = gone.withColumnRenamed(id_col, "key")
+    maybe, stay = split_by_keys(packed(docs, key=id_col), "key", gone, gone.count())
+    left = maybe.join(gone, "key", "left_anti")
+    return stay.select("row.*").unionByName(left.select("row.*"))

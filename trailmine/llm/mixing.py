@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmine.llm.common import WORD, bound, buckets_for, running_start, settle
+from trailmine.llm.common import WORD, bound, buckets_for, packed, running_start, settle
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -327,23 +327,24 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
         .join(mix.sources.select("source_no", "passes"), "source_no")
         .where("pass = passes")
         .groupBy("id")
-        .agg(F.array_sort(F.collect_list(F.struct("skip", "words"))).alias("_spans"))
+        .agg(F.array_sort(F.collect_list(F.struct("skip", "words"))).alias("spans"))
     )
     plan = mix.rows.join(mix.sources.select("source_no", "passes"), "source_no").join(
         last, "id", "left"
-    ).selectExpr("id AS _id", "_spans", "IF(size = 0, 1L, passes) AS _passes")
-    marked = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]))
+    ).selectExpr("id", "spans", "IF(size = 0, 1L, passes) AS passes")
+    rows = packed(docs, key="doc_id", text="text")
+    marked = rows.join(plan, rows["key"].eqNullSafe(plan["id"]))
     every = F.regexp_extract_all("text", F.lit(f"{WORD}[\\x20\\x09-\\x0D]*"), F.lit(0))
-    cut = bound(every, lambda words: F.transform("_spans", lambda s: F.array_join(
+    cut = bound(every, lambda words: F.transform("spans", lambda s: F.array_join(
         F.slice(words, (s["skip"] + 1).cast("int"), s["words"].cast("int")), "")))
     copies = F.concat(
-        F.array_repeat(F.col("text"), F.col("_passes").cast("int")),
-        F.when(F.col("_spans").isNull(), F.array().cast("array<string>")).otherwise(
+        F.array_repeat(F.col("text"), F.col("passes").cast("int")),
+        F.when(F.col("spans").isNull(), F.array().cast("array<string>")).otherwise(
             F.array(F.array_join(cut, ""))),
     )
-    kinds = {c: F.col(c) for c in docs.columns}
-    kinds["text"] = F.col("_copy").alias("text")
+    kinds = {c: F.col("row")[c].alias(c) for c in docs.columns}
+    kinds["text"] = F.col("copy").alias("text")
     if "n_chars" in kinds:
-        kinds["n_chars"] = F.coalesce(F.length("_copy"), F.lit(0)).cast(
+        kinds["n_chars"] = F.coalesce(F.length("copy"), F.lit(0)).cast(
             docs.schema["n_chars"].dataType).alias("n_chars")
-    return marked.withColumn("_copy", F.explode(copies)).select(*kinds.values())
+    return marked.withColumn("copy", F.explode(copies)).select(*kinds.values())

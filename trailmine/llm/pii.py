@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmine.llm.common import settle
+from trailmine.llm.common import packed, settle
 
 MAX_ROUNDS = 60
 
@@ -251,11 +251,11 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     ``key`` is a secret: the same key gives the same surrogates to the same entities.
     """
     names = docs.columns
-    marked = docs.withColumn("_found", F.when(
-        F.col(text_col).rlike(HINT), F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0))
+    marked = packed(docs, text=text_col).withColumn("_found", F.when(
+        F.col("text").rlike(HINT), F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0))
     ))
     has = F.coalesce(F.size("_found"), F.lit(0)) > 0
-    clean = marked.where(~has).select(*names, F.lit(0).alias("n_entities"))
+    clean = marked.where(~has).select("row.*", F.lit(0).alias("n_entities"))
     rows = settle(
         marked.where(has).withColumn("_row", F.monotonically_increasing_id()), "with-entities"
     )
@@ -277,10 +277,10 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
         .groupBy("_row")
         .agg(F.array_sort(F.collect_list(F.struct("_at", put.alias("put")))).alias("_puts"))
     )
-    parts = F.split(text_col, ANY, -1)
+    parts = F.split("text", ANY, -1)
     text = F.array_join(F.flatten(F.zip_with(
         parts, F.transform("_puts", lambda p: p["put"]),
         lambda part, new: F.array(part, F.coalesce(new, F.lit(""))))), "")
-    kept = [text.alias(text_col) if c == text_col else F.col(c) for c in names]
+    kept = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names]
     replaced = rows.join(by_row, "_row").select(*kept, F.size("_puts").alias("n_entities"))
     return clean.unionByName(replaced)
