@@ -239,6 +239,25 @@ def test_text_reports_keep_their_order_over_files(spark, tmp_path):
     assert totals == sorted(totals, reverse=True)
 
 
+@pytest.mark.parametrize("limit", [1, 4, 11, 12, 13])
+def test_parts_joined_in_order_are_the_sorted_list(spark, limit):
+    counts = [5, 9, 1, 5, 12, 7, 7, 3, 2, 11, 10, 4]
+    for by_hour in (False, True):
+        rows = [(2, ["a", "b"], f"q{i}", n, *([i % 3] if by_hour else []))
+                for i, n in enumerate(counts)]
+        merged = spark.createDataFrame(
+            rows, "len int, topics array<string>, query string, n long" + ", hour int" * by_hour)
+        report = reports.report_rows(merged, SequenceParams())
+        for lists in (reports.report_lists(report, limit),
+                      reports.rollup(merged, SequenceParams(), limit)):
+            found = sorted(lists.collect(), key=lambda r: r["part"])
+            joined = [q["query"] for r in found for q in r["queries"]]
+            order = (lambda r: r[2]) if by_hour else (lambda r: (-r[3], r[2]))
+            assert joined == [r[2] for r in sorted(rows, key=order)]
+            assert {r["parts"] for r in found} == {-(-12 // limit)}
+            assert {r["total"] for r in found} == {sum(counts)}
+
+
 def test_long_lists_are_split_and_whole(spark, tmp_path):
     merged = spark.range(1000).selectExpr(
         "concat('q', id) AS query", "IF(id < 900, array('a', 'b'), array('c', 'd')) AS topics",
@@ -259,6 +278,9 @@ def test_long_lists_are_split_and_whole(spark, tmp_path):
         for r in found:
             counts = [q["n"] for q in r["queries"]]
             assert counts == sorted(counts, reverse=True)
+        parts.sort(key=lambda r: r["part"])
+        assert [q["n"] for r in parts for q in r["queries"]] == list(range(900, 0, -1))
+        assert max(len(r["queries"]) for r in parts) <= 200
     folder = str(tmp_path / "json")
     write_json_report(report, folder, list_limit=100)
     objects = [json.loads(line) for line in lines_of(f"{folder}/len=2")]

@@ -181,6 +181,11 @@ def test_one_topic_is_counted_but_not_reported(read):
         ("2011-01-01 09:00:00", 9),
         ("2011-01-01 23:59:59.123", 23),
         ("2011-1-1 7:05:09", 7),
+        ("2011-1-31 9:05:00x", 9),
+        ("2011-1-31 9:05:00xx", 9),
+        ("2011-1-31 9:05:00xxx", 9),
+        ("2011-01-31T09:05:00", None),
+        ("2011-01-31T09:05:00x", None),
         ("yesterday", None),
         ("2011-13-01 09:00:00", None),
     ],

@@ -3,7 +3,8 @@
 Ranking comes first and needs only totals; lists of queries are made for ranked sequences alone.
 The plain form of a report is one row for each query of a sequence, which no hot sequence can make
 large.  The nested form puts the queries of a sequence in one list; a list of more than
-``LIST_LIMIT`` queries goes on in further rows, its ``parts``.
+``LIST_LIMIT`` queries goes on in further rows, its ``parts``, which joined in order of ``part`` are
+the one sorted list.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmine.operators.hot import MAX_HOT, largest
+from trailmine.operators.hot import MAX_HOT
 from trailmine.params import SequenceParams
 
 LIST_LIMIT = 100_000
@@ -55,20 +56,44 @@ def report_rows(merged: DataFrame, params: SequenceParams) -> DataFrame:
     )
 
 
+def _place(by_hour: bool) -> Column:
+    """What a list is sorted by: falling count, then query; with hours query, then hour."""
+    return F.struct("query", "hour") if by_hour else F.struct((-F.col("n")).alias("down"), "query")
+
+
 def _query_list(by_hour: bool) -> Column:
-    """Queries by falling count, then text; with hours by query, then hour."""
     if by_hour:
         return F.array_sort(F.collect_list(F.struct("query", "hour", "n")))
     listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("down"), "query", "n")))
     return F.transform(listed, lambda q: F.struct(q["query"], q["n"]))
 
 
-def _parts(n_queries: Column, list_limit: int) -> Column:
-    return F.greatest(F.ceil(n_queries / list_limit), F.lit(1)).cast("int")
-
+def _with_parts(rows: DataFrame, long_lists: DataFrame, list_limit: int) -> DataFrame:
+    """Adds ``part`` and ``parts``: ranges of the sorted list, of about ``list_limit`` queries.
 
-def _part(parts: Column) -> Column:
-    return (F.pmod(F.xxhash64("query"), parts) + 1).cast("int")
+    ``long_lists`` are the sequences of more queries, with ``n_queries``.  The ranges come from a
+    sample of their queries that a hash decides on, so each run has the same.
+    """
+    by_hour = "hour" in rows.columns
+    place = _place(by_hour)
+    names = F.xxhash64("query", "hour") if by_hour else F.xxhash64("query")
+    # About twenty sampled queries for each part.
+    sampled = F.pmod(names, F.lit(max(1, list_limit // 20))) == 0
+    sample = rows.where(sampled).join(long_lists, SEQUENCE).groupBy(*SEQUENCE).agg(
+        F.array_sort(F.collect_list(place)).alias("sample")
+    )
+    parts = f"int(ceil(n_queries / {list_limit}))"
+    bounds = long_lists.join(sample, SEQUENCE, "left").selectExpr(
+        *SEQUENCE, f"{parts} AS parts",
+        f"transform(filter(sequence(1, {parts} - 1), i -> {parts} > 1 AND size(sample) > 0), "
+        f"i -> sample[int(i * size(sample) div {parts})]) AS bounds",
+    )
+    below = F.size(F.filter("bounds", lambda b: b <= place))
+    return rows.join(bounds, SEQUENCE, "left").select(
+        *[F.col(c) for c in rows.columns],
+        F.coalesce(F.greatest(below, F.lit(0)) + 1, F.lit(1)).alias("part"),
+        F.coalesce("parts", F.lit(1)).alias("parts"),
+    )
 
 
 def report_lists(rows: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
@@ -76,11 +101,13 @@ def report_lists(rows: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
 
     ``len, rank, total, topics, part, parts, queries``
     """
-    with_parts = rows.withColumn("parts", _parts(F.col("n_queries"), list_limit))
+    long_lists = (
+        rows.where(F.col("n_queries") > list_limit).groupBy(*SEQUENCE).agg(
+            F.max("n_queries").alias("n_queries"))
+    )
     return (
-        with_parts.groupBy(
-            "len", "rank", "total", "topics", _part(F.col("parts")).alias("part"), "parts"
-        )
+        _with_parts(rows, long_lists, list_limit)
+        .groupBy("len", "rank", "total", "topics", "part", "parts")
         .agg(_query_list("hour" in rows.columns).alias("queries"))
         .select("len", "rank", "total", "topics", "part", "parts", "queries")
     )
@@ -95,14 +122,16 @@ def rollup(
     all others need one aggregate.
     """
     wide = in_report(merged, params)
-    hot = largest(sequence_totals(merged, params), SEQUENCE, "n_queries", list_limit)
-    marked = wide.join(F.broadcast(hot), SEQUENCE, "left").withColumn(
-        "parts", _parts(F.coalesce("n_queries", F.lit(1)), list_limit)
-    )
-    listed = marked.groupBy(*SEQUENCE, "total", _part(F.col("parts")).alias("part"), "parts").agg(
-        F.sum("n").alias("listed"), _query_list("hour" in merged.columns).alias("queries")
+    long_lists = sequence_totals(merged, params).where(F.col("n_queries") > list_limit)
+    listed = (
+        _with_parts(wide, long_lists.select(*SEQUENCE, "n_queries"), list_limit)
+        .groupBy(*SEQUENCE, "part", "parts")
+        .agg(
+            F.sum("n").alias("listed"),
+            _query_list("hour" in merged.columns).alias("queries"),
+        )
     )
-    return listed.select(
+    return listed.join(long_lists.select(*SEQUENCE, "total"), SEQUENCE, "left").select(
         *SEQUENCE, F.coalesce("total", "listed").alias("total"), "part", "parts", "queries"
     )
 
