@@ -54,6 +54,10 @@ SHORT = 8
 PLACE_BITS = 16
 # Similar means NUM * union <= DEN * intersection.
 NUM, DEN = 80, 100
+# Up to so many narrow rows, of 16 bytes, a table is broadcast; else both sides are shuffled.
+MAX_BROADCAST = 2_000_000
+# Bytes of a shingle's hash that are compared in a pair of sets.
+KEPT_BYTES = 6
 SIMILAR = f"{NUM + DEN} * both >= {NUM} * (n_u + n_v)"
 
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 64)], np.uint64)
@@ -428,13 +432,30 @@ def _cross_pairs(lists: DataFrame) -> DataFrame:
     return ordered.mapInPandas(run, "u long, v long").distinct()
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """The upper bytes of each hash, in order."""
+    low = 8 - KEPT_BYTES
+    return values.view(np.uint8).reshape(-1, 8)[:, low:].tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    part = np.frombuffer(data, np.uint8).reshape(-1, KEPT_BYTES)
+    out = np.zeros((len(part), 8), np.uint8)
+    out[:, 8 - KEPT_BYTES :] = part
+    return out.view(np.int64).ravel()
+
+
+def _broadcast_if_small(df: DataFrame, n_rows: int) -> DataFrame:
+    return F.broadcast(df) if n_rows <= MAX_BROADCAST else df
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, words) for t in batch["_text"]]
             out = batch[["_id"]].copy()
             out["digest"] = np.array([digest(s) for s in sets], np.int64)
-            out["values"] = [s.tobytes() for s in sets]
+            out["values"] = [_pack(s) for s in sets]
             yield out
 
     kind = docs.schema["_id"].dataType.simpleString()
@@ -442,14 +463,14 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``u, v, n_u, n_v, both``: sizes and overlap of pairs of whole sets."""
+    """``u, v, n_u, n_v, both``: sizes and overlap of pairs of whole sets.  ``pairs`` is stored."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch[["u", "v"]].copy()
             sizes, common = [], []
             for a, b in zip(batch["set_u"], batch["set_v"], strict=True):
-                a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+                a, b = _unpack(a), _unpack(b)
                 joined = np.concatenate([a, b])
                 joined.sort(kind="stable")
                 common.append(int((joined[1:] == joined[:-1]).sum()))
@@ -461,7 +482,9 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     first = sets.selectExpr("digest AS u", "values AS set_u")
     second = sets.selectExpr("digest AS v", "values AS set_v")
-    joined = pairs.select("u", "v").join(first, "u").join(second, "v")
+    # Only the second join moves sets.
+    narrow = pairs.select("u", "v")
+    joined = first.join(_broadcast_if_small(narrow, pairs.count()), "u").join(second, "v")
     return joined.mapInPandas(run, "u long, v long, n_u long, n_v long, both long")
 
 
@@ -520,11 +543,13 @@ def similar_components(
     partners = settle(sizes.join(wanted, "digest").select("digest", "_id"), "partners")
     n_partners = partners.count()
     texts, _ = split_by_keys(given, "_id", partners, n_partners)
-    sets = settle(_sets(texts, words).join(partners, ["digest", "_id"]).drop("_id"), "sets")
+    known = _broadcast_if_small(partners, n_partners)
+    sets = settle(_sets(texts, words).join(known, ["digest", "_id"]).drop("_id"), "sets")
     if sets.count() > n_partners:  # rows alike in id and text
         sets = settle(sets.dropDuplicates(["digest"]), "sets")
     near = settle(_overlaps(pairs, sets), "overlaps")
-    to_hubs = settle(_overlaps(_hub_pairs(long_lists, near), sets), "hub-overlaps")
+    hub_pairs = settle(_hub_pairs(long_lists, near), "hub-pairs")
+    to_hubs = settle(_overlaps(hub_pairs, sets), "hub-overlaps")
     near = near.union(to_hubs)
     links = near.where(SIMILAR).select("u", "v")
     label = components(links)
