@@ -108,11 +108,15 @@ def template_table(spark: SparkSession) -> DataFrame:
     )
 
 
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, paragraph, words`` of each line of a text that has words."""
-    lines = docs.select(
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(
         F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\\n")).alias("paragraph", "line")
     )
+
+
+def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, paragraph, words`` of each line of a text that has words."""
+    lines = _lines(docs, id_col, text_col)
     return lines.select("id", "paragraph", words_of(F.col("line")).alias("words")).where(
         F.size("words") > 0
     )
@@ -198,8 +202,8 @@ def train(spark: SparkSession, parts: DataFrame) -> Classifier:
 
 
 def _softmax(raw: Column, temperature: float) -> Column:
-    high = F.array_max(raw)
-    powers = F.transform(raw, lambda x: F.exp((x - high) / temperature))
+    powers = bound(raw, lambda given: F.transform(
+        given, lambda x: F.exp((x - F.array_max(given)) / temperature)))
     return bound(powers, lambda given: F.transform(
         given, lambda p: p / F.aggregate(given, F.lit(0.0), lambda a, b: a + b)))
 
@@ -234,12 +238,27 @@ def licence_notices(
     parts = paragraphs(docs, id_col, text_col)
     fitted = classifier or train(spark, parts)
     anchors = F.array(*map(F.lit, fitted.anchors))
-    hopeful = parts.where(F.arrays_overlap("words", anchors))
-    scored = fitted.model.transform(
-        fitted.vectorizer.transform(hopeful.withColumn("features", _features(F.col("words"))))
+    # Written, so that neither words nor scores are computed again for each of their uses.
+    hopeful = settle(
+        _lines(docs, id_col, text_col)
+        .where(F.arrays_overlap(words_of(F.col("line")), anchors))
+        .select("id", "paragraph", words_of(F.col("line")).alias("words")),
+        "hopeful-paragraphs",
+    )
+    vectors = fitted.vectorizer.transform(
+        hopeful.withColumn("features", _features(F.col("words")))
+    )
+    scored = settle(
+        fitted.model.transform(vectors).select(
+            "id", "paragraph", "words", vector_to_array("rawPrediction").alias("raw")),
+        "scored-paragraphs",
+    )
+    chance = settle(
+        scored.select("id", "paragraph", "words",
+                      _softmax(F.col("raw"), fitted.temperature).alias("chance")),
+        "paragraph-chances",
     )
-    chance = _softmax(vector_to_array("rawPrediction"), fitted.temperature)
-    best = scored.select("id", "paragraph", "words", chance.alias("chance")).withColumn(
+    best = chance.withColumn(
         "probability", F.array_max("chance")
     ).withColumn("family", F.element_at(
         F.array(*map(F.lit, fitted.classes)),
