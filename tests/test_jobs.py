@@ -98,6 +98,23 @@ def test_distinct_session(spark, params):
     assert len(text_files(folder)) == 1
 
 
+def test_distinct_topics(spark, params):
+    settings = params("DistinctTopics")
+    run(spark, settings)
+    found = lines_of(f"{settings.job_folder}/processed")
+    assert len(found) == len(set(found)) and {"A", "B", "a", "b", "c"} <= set(found)
+
+
+def test_tags_are_kept_through_a_job(spark, params):
+    from dataclasses import replace
+
+    settings = replace(params(), output_type="TEXT", keep_tags=True, min_unit_support=1)
+    run(spark, settings)
+    lines = lines_of(f"{settings.job_folder}/processed/len=2")
+    assert any(line.startswith("t_") for line in lines)
+    assert any(line.startswith("(s_") for line in lines)
+
+
 def test_unknown_action(spark, params):
     with pytest.raises(ValueError, match="unknown action 'Nothing'"):
         run(spark, params("Nothing"))

@@ -22,6 +22,11 @@ def topic_counts(rows: DataFrame) -> DataFrame:
     return views.groupBy("title").agg(F.count(F.lit(1)).alias("n"))
 
 
+def distinct_topics_by_unit(rows: DataFrame) -> DataFrame:
+    views = rows.where(F.col("event_type").contains(text.TOPIC_TYPE))
+    return views.select("unit", "title").distinct()
+
+
 def distinct_topics(rows: DataFrame) -> DataFrame:
     views = rows.where(F.col("event_type").contains(text.TOPIC_TYPE))
     return views.select("title").distinct()

@@ -14,7 +14,7 @@ class SequenceParams:
     ``min_seq`` and ``max_seq`` bound the windows counted in the first phase; a window holds the
     search query and its topics.  Reports show sequences of ``min_seq`` to ``max_seq - 1`` topics.
     ``window_max`` overrides the longest window; left unset it is ``max_seq``, or ``max_seq + 1``
-    when counting by hour.
+    when counting by hour.  ``keep_tags`` leaves the marks of searches and topics in text reports.
     """
 
     action: str = "SearchTopics"
@@ -26,6 +26,7 @@ class SequenceParams:
     output_type: str = "JSON"
     window_max: int | None = None
     min_unit_support: int = 2
+    keep_tags: bool = False
 
     def __post_init__(self) -> None:
         if self.min_seq < 1:

@@ -18,7 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmine.operators.counts import count_sequences, merge_counts
-from trailmine.operators.distinct import distinct_sessions, distinct_sessions_by_unit
+from trailmine.operators.distinct import (
+    distinct_sessions,
+    distinct_sessions_by_unit,
+    distinct_topics_by_unit,
+)
 from trailmine.operators.events import label_events
 from trailmine.operators.filters import listed_lines
 from trailmine.operators.reports import report_rows
@@ -62,7 +66,7 @@ def report_counts(counted: DataFrame, params: SequenceParams) -> DataFrame:
 def _write_report(
     rows: DataFrame, folder: str, params: SequenceParams, single_file: bool, mode: str
 ) -> None:
-    write_report(rows, folder, params.output_type, single_file, mode)
+    write_report(rows, folder, params.output_type, single_file, mode, params.keep_tags)
 
 
 def _write_list(
@@ -71,6 +75,7 @@ def _write_list(
     write_list(values, folder, single_file, mode)
 
 
+# The names of jobs.
 JOBS: dict[str, Job] = {
     "SearchTopics": Job(
         partial(count_rows, by_hour=False), report_counts, _write_report, COUNTS_SCHEMA
@@ -85,6 +90,12 @@ JOBS: dict[str, Job] = {
         "unit string, session_id string",
         needs_lines=True,
     ),
+    "DistinctTopics": Job(
+        lambda rows, params: distinct_topics_by_unit(rows),
+        lambda topics, params: topics.select("title").distinct(),
+        _write_list,
+        "unit string, title string",
+    ),
 }
 
 

@@ -48,9 +48,13 @@ def write_report(
     output_type: str = "JSON",
     single_file: bool = False,
     mode: str = "error",
+    keep_tags: bool = False,
 ) -> None:
-    write = {"TEXT": write_text_report, "JSON": write_json_report}[output_type]
-    write(rows, folder, single_file=single_file, mode=mode)
+    """``single_file`` puts all lines of the report in one task; ``keep_tags`` is for text alone."""
+    if output_type == "TEXT":
+        write_text_report(rows, folder, single_file, keep_tags, mode)
+    else:
+        write_json_report(rows, folder, single_file, mode=mode)
 
 
 def write_list(
