@@ -408,3 +408,28 @@ def test_licences(spark):
     got = licences.licence_notices(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["family"]) for r in got} == {
         (500, "Apache-2.0"), (501, "MIT"), (502, "GPL-3.0"), (503, "CC-BY-NC"), (None, "Apache-2.0")}
+
+
+WRAPPED = {
+    "MIT": "/*\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+    " * of this software and associated documentation files (the \"Software\"), to deal\n"
+    " * in the Software without restriction, including without limitation the rights\n */\nint x;",
+    "BSD": "# Redistribution and use in source and binary forms, with or without\n"
+    "# modification, are permitted provided that the following conditions are\n# met:\n#\n# 1. more",
+    "GPL-3.0": "dnl This program is free software: you can redistribute it\r\ndnl and/or modify it under "
+    "the terms of the GNU General\r\ndnl Public License as published by the Free Software\r\n"
+    "dnl Foundation, either version 3 of the License",
+}
+
+
+def test_wrapped_licences(spark):
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(200)] + ["the", "of", "work", "under"]
+    rows = [(i, "\n".join(" ".join(draw.choices(words, k=20)) for _ in range(3))) for i in range(200)]
+    rows += [(500 + i, f"{rows[i][1]}\n{t}") for i, t in enumerate(WRAPPED.values())]
+    rows += [(600, "Released under the MIT License\nReleased under the MIT License\n"
+              "Licensed under the Apache License, Version 2.0\nLicensed under CC BY-NC 4.0")]
+    got = licences.licence_notices(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["family"]) for r in got) == [
+        *((500 + i, family) for i, family in enumerate(WRAPPED)),
+        (600, "Apache-2.0"), (600, "CC-BY-NC"), (600, "MIT"), (600, "MIT")]

@@ -5,14 +5,18 @@ single words, in few paragraphs of the corpus.  A multinomial logistic regressio
 and the class of unknown paragraphs.  It is trained on variants of the templates, with words left
 out and put between words of the corpus, and on at most ``BACKGROUND`` paragraphs of the corpus that
 share few runs with any template.  A temperature, fitted on variants and paragraphs that were not
-trained on, calibrates its probabilities.  A family is confirmed if the paragraph holds enough of
-the runs of three words of one of its templates.
+trained on, calibrates its probabilities.
+
+A paragraph is a stretch of consecutive lines with words, comment marks left out, so a notice may be
+wrapped in any way.  Places in it that hold enough of the runs of three words of a template are
+candidates; of those that overlap, the one that holds most of its template stands.  The words of the
+place are scored, and it is a notice if the classifier names the family of the template.
 
 Paragraphs without any feature word are unknown without being scored, since nothing in the model but
 the constant would speak for a family.  All steps are DataFrame operations and JVM models.
 
-Defined results: NULL and empty texts have no paragraphs; paragraphs without a confirmed family
-above the threshold give no row; the same notice twice gives two rows.
+Defined results: NULL and empty texts have no paragraphs; places without a confirmed family above
+the threshold give no row; the same notice twice gives two rows, also in one paragraph.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ COPIES = 40
 THRESHOLD = 0.5
 CONFIRMED = 0.5
 UNKNOWN = "unknown"
+# What is between paragraphs, lines of marks alone among it, and words that mark a
+# comment; all other marks are no words.
+BLANK = "\\n(?:[^\\p{L}0-9\\n]*\\n)+"
+COMMENT_WORD = "(?im)^[ \\t]*(?:dnl|@?rem|c)(?=[ \\t])"
 
 # Usual notices of licence families.
 TEMPLATES = {
@@ -108,16 +116,20 @@ def template_table(spark: SparkSession) -> DataFrame:
     )
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
-        F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\\n")).alias("paragraph", "line")
+        F.col(id_col).alias("id"), F.posexplode(F.split(text_col, BLANK)).alias("paragraph", "block")
     )
 
 
+def _block_words(block: Column) -> Column:
+    return words_of(F.regexp_replace(block, COMMENT_WORD, ""))
+
+
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, paragraph, words`` of each line of a text that has words."""
-    lines = _lines(docs, id_col, text_col)
-    return lines.select("id", "paragraph", words_of(F.col("line")).alias("words")).where(
+    """``id, paragraph, words`` of each stretch of lines of a text that have words."""
+    blocks = _blocks(docs, id_col, text_col)
+    return blocks.select("id", "paragraph", _block_words(F.col("block")).alias("words")).where(
         F.size("words") > 0
     )
 
@@ -222,6 +234,66 @@ def _temperature(model: LogisticRegressionModel, held: DataFrame) -> float:
     return min(found)[1] if found else 1.0
 
 
+def _places(hits: Column, template: int, family: str, grams: list[str], confirmed: float) -> Column:
+    """Where a text holds at least the share ``confirmed`` of the runs of a template.
+
+    ``hits``: ``at, gram`` in the order of the text.  Runs are gathered until one comes again or is
+    far from the one before.  Gathered runs that are enough are a place; of others, the earlier of
+    two equal ones goes.
+    """
+    far = 2 * (len(grams) + 2)
+    hit = "struct<at:int,gram:string>"
+    place = "struct<first:int,last:int,share:double,n:int,template:int,family:string>"
+
+    def enough(runs_: Column) -> Column:
+        return F.size(runs_) >= F.lit(confirmed * len(grams))
+
+    def as_place(gathered: Column) -> Column:
+        last = F.element_at(gathered, -1)["at"]
+        close = F.filter(gathered, lambda g: last - g["at"] < far)
+        return bound(F.when(enough(close), close).otherwise(gathered), lambda g: F.struct(
+            F.element_at(g, 1)["at"].alias("first"), F.element_at(g, -1)["at"].alias("last"),
+            (F.size(g) / len(grams)).alias("share"), F.size(g).alias("n"),
+            F.lit(template).alias("template"), F.lit(family).alias("family"),
+        ).cast(place))
+
+    def with_last(state: Column) -> Column:
+        return F.when(enough(state["open"]), F.concat(
+            state["done"], F.array(as_place(state["open"])))).otherwise(state["done"])
+
+    def step(state: Column, h: Column) -> Column:
+        opened = state["open"]
+        ends = enough(opened) & (
+            F.exists(opened, lambda g: g["gram"] == h["gram"])
+            | (h["at"] - F.element_at(opened, -1)["at"] >= far)
+        )
+        return F.struct(
+            F.when(ends, with_last(state)).otherwise(state["done"]).alias("done"),
+            F.when(ends, F.array(h)).otherwise(
+                F.concat(F.filter(opened, lambda g: g["gram"] != h["gram"]), F.array(h))
+            ).alias("open"),
+        )
+
+    own = F.filter(hits, lambda h: h["gram"].isin(grams))
+    start = F.struct(F.array().cast(f"array<{place}>").alias("done"),
+                     F.array().cast(f"array<{hit}>").alias("open"))
+    return F.when(enough(F.array_distinct(F.transform(own, lambda h: h["gram"]))),
+                  F.aggregate(own, start, step, with_last)).otherwise(
+        F.array().cast(f"array<{place}>"))
+
+
+def _best_places(places: Column) -> Column:
+    """Of places that overlap, the one of the largest share, then of most runs."""
+    ranked = F.array_sort(places, lambda a, b: F.when(a["share"] != b["share"], F.when(
+        a["share"] > b["share"], -1).otherwise(1)).when(a["n"] != b["n"], b["n"] - a["n"])
+        .when(a["first"] != b["first"], a["first"] - b["first"])
+        .otherwise(a["template"] - b["template"]))
+    # A run is of three words, so it overlaps those that start at its next two.
+    return F.aggregate(ranked, F.slice(ranked, 1, 0), lambda kept, p: F.when(
+        F.exists(kept, lambda k: (k["first"] <= p["last"] + 2) & (p["first"] <= k["last"] + 2)), kept
+    ).otherwise(F.concat(kept, F.array(p))))
+
+
 def licence_notices(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -230,51 +302,71 @@ def licence_notices(
     confirmed: float = CONFIRMED,
     classifier: Classifier | None = None,
 ) -> DataFrame:
-    """Id, ``paragraph, family, probability, similarity`` of each paragraph with a licence notice.
+    """Id, ``paragraph, family, probability, similarity`` of each licence notice.
 
-    ``similarity`` is the share of the best template's runs of three words that the paragraph holds.
+    ``paragraph`` is the number of its paragraph in the text; ``similarity`` is the share of the
+    best template's runs of three words that its place holds.
     """
     spark = docs.sparkSession
     parts = paragraphs(docs, id_col, text_col)
     fitted = classifier or train(spark, parts)
     anchors = F.array(*map(F.lit, fitted.anchors))
-    # Written, so that neither words nor scores are computed again for each of their uses.
+    templates = [
+        (i, family, _template_grams(text))
+        for i, (family, text) in enumerate((f, t) for f, ts in TEMPLATES.items() for t in ts)
+    ]
+    known = sorted({g for _, _, grams in templates for g in grams})
+    # Written, so that neither words nor places nor scores are computed again for each of their uses.
     hopeful = settle(
-        _lines(docs, id_col, text_col)
-        .where(F.arrays_overlap(words_of(F.col("line")), anchors))
-        .select("id", "paragraph", words_of(F.col("line")).alias("words")),
+        _blocks(docs, id_col, text_col)
+        .where(F.arrays_overlap(_block_words(F.col("block")), anchors))
+        .select("id", "paragraph", _block_words(F.col("block")).alias("words")),
         "hopeful-paragraphs",
     )
+    every = F.transform(
+        F.filter(F.sequence(F.lit(0), F.size("words")), lambda i: i + 3 <= F.size("words")),
+        lambda i: F.struct(i.alias("at"), F.concat_ws(
+            " ", F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("gram")),
+    )
+    hits = settle(
+        hopeful.withColumn("hits", F.filter(every, lambda h: h["gram"].isin(known)))
+        .where(F.size("hits") > 0),
+        "template-runs",
+    )
+    found = settle(
+        hits.withColumn("places", F.concat(*[
+            _places(F.col("hits"), *template, confirmed) for template in templates
+        ])).where(F.size("places") > 0).drop("hits"),
+        "template-places",
+    )
+    places = settle(
+        found.withColumn("place", F.explode(_best_places(F.col("places")))).select(
+            "id", "paragraph", "place",
+            F.expr("slice(words, place.first + 1, place.last - place.first + 3)").alias("words")),
+        "notice-places",
+    )
     vectors = fitted.vectorizer.transform(
-        hopeful.withColumn("features", _features(F.col("words")))
+        places.withColumn("features", _features(F.col("words")))
     )
     scored = settle(
         fitted.model.transform(vectors).select(
-            "id", "paragraph", "words", vector_to_array("rawPrediction").alias("raw")),
-        "scored-paragraphs",
+            "id", "paragraph", "place", vector_to_array("rawPrediction").alias("raw")),
+        "scored-places",
     )
     chance = settle(
-        scored.select("id", "paragraph", "words",
+        scored.select("id", "paragraph", "place",
                       _softmax(F.col("raw"), fitted.temperature).alias("chance")),
-        "paragraph-chances",
+        "place-chances",
     )
     best = chance.withColumn(
         "probability", F.array_max("chance")
     ).withColumn("family", F.element_at(
         F.array(*map(F.lit, fitted.classes)),
         F.array_position("chance", F.col("probability")).cast("int"),
-    )).where((F.col("family") != UNKNOWN) & (F.col("probability") >= threshold))
-    by_family = F.create_map(*[
-        x for family, texts in sorted(TEMPLATES.items())
-        for x in (F.lit(family), F.array(*[
-            F.array(*map(F.lit, _template_grams(text))) for text in texts]))
-    ])
-    share = F.array_max(F.transform(
-        F.element_at(by_family, F.col("family")),
-        lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.size(t),
-    ))
-    return best.withColumn("own", runs(F.col("words"), 3)).withColumn("similarity", share).where(F.col("similarity") >= confirmed).select(
-        F.col("id").alias(id_col), "paragraph", "family", "probability", "similarity"
+    )).where((F.col("family") == F.col("place.family")) & (F.col("probability") >= threshold))
+    return best.select(
+        F.col("id").alias(id_col), "paragraph", "family", "probability",
+        F.col("place.share").alias("similarity"),
     )
 
 
