@@ -433,3 +433,22 @@ def test_wrapped_licences(spark):
     assert sorted((r["doc_id"], r["family"]) for r in got) == [
         *((500 + i, family) for i, family in enumerate(WRAPPED)),
         (600, "Apache-2.0"), (600, "CC-BY-NC"), (600, "MIT"), (600, "MIT")]
+
+
+def test_licences_where_their_words_are_common(spark):
+    draw = random.Random(10)
+    words = [f"w{i}" for i in range(200)] + "released under the mit license licensed".split()
+    rows = [(i, " ".join(draw.choices(words, k=20)) + f" {draw.choice(words[200:])}") for i in range(300)]
+    rows += [(i, "license mit x released y the under z licensed apache version work") for i in range(300, 400)]
+    rows += [(500, "a b Released under the MIT License c d"), (501, "Licensed under CC BY-NC 4.0")]
+    got = licences.licence_notices(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["family"]) for r in got} >= {(500, "MIT"), (501, "CC-BY-NC")}
+    assert {r["doc_id"] for r in got} == {500, 501}
+
+
+def test_needed_words_lose_no_place():
+    templates = [licences._template_grams(t) for ts in licences.TEMPLATES.values() for t in ts]
+    for share in (0.1, 0.5, 1.0):
+        needed = set(licences._needed_words(templates, share))
+        for grams in templates:
+            assert sum(needed.isdisjoint(g.split(" ")) for g in grams) < share * len(grams)

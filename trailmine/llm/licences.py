@@ -1,8 +1,7 @@
 """Licence notices found by a trained classifier of paragraphs and confirmed by templates.
 
-Features of a paragraph are its runs of one to three words that occur in a licence template and, as
-single words, in few paragraphs of the corpus.  A multinomial logistic regression tells the families
-and the class of unknown paragraphs.  It is trained on variants of the templates, with words left
+Features of a paragraph are its runs of one to three words that occur in a licence template.  A
+multinomial logistic regression tells the families and the class of unknown paragraphs.  It is trained on variants of the templates, with words left
 out and put between words of the corpus, and on at most ``BACKGROUND`` paragraphs of the corpus that
 share few runs with any template.  A temperature, fitted on variants and paragraphs that were not
 trained on, calibrates its probabilities.
@@ -12,8 +11,9 @@ wrapped in any way.  Places in it that hold enough of the runs of three words of
 candidates; of those that overlap, the one that holds most of its template stands.  The words of the
 place are scored, and it is a notice if the classifier names the family of the template.
 
-Paragraphs without any feature word are unknown without being scored, since nothing in the model but
-the constant would speak for a family.  All steps are DataFrame operations and JVM models.
+Only paragraphs with a word of a set that every confirmed place has a word of are looked at further;
+the set follows from the templates alone.  No statistic of the corpus decides what is looked at: the
+sample serves the fit only.  All steps are DataFrame operations and JVM models.
 
 Defined results: NULL and empty texts have no paragraphs; places without a confirmed family above
 the threshold give no row; the same notice twice gives two rows, also in one paragraph.
@@ -41,6 +41,9 @@ UNKNOWN = "unknown"
 # comment; all other marks are no words.
 BLANK = "\\n(?:[^\\p{L}0-9\\n]*\\n)+"
 COMMENT_WORD = "(?im)^[ \\t]*(?:dnl|@?rem|c)(?=[ \\t])"
+# Words that are in most texts; which they are decides about speed alone.
+PLAIN = set("a an and any are as at be by for from in is it may not of on or see that the this to under "
+            "use with without you even more work 0 2 3 4".split())
 
 # Usual notices of licence families.
 TEMPLATES = {
@@ -136,12 +139,11 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 @dataclass
 class Classifier:
-    """``anchors``: words without which a paragraph is unknown; ``temperature`` divides logits."""
+    """``temperature`` divides logits."""
 
     vectorizer: CountVectorizerModel
     model: LogisticRegressionModel
     classes: list[str]
-    anchors: list[str]
     temperature: float
 
 
@@ -179,20 +181,9 @@ def train(spark: SparkSession, parts: DataFrame) -> Classifier:
     grams = sorted({r[0] for r in templates.select(F.explode("grams")).collect()})
     known = F.array(*map(F.lit, grams))
     other = sample.where(F.size(F.array_intersect(runs(F.col("words"), 3), known)) < 2)
-    n_other = max(1, other.count())
-    # Words of templates that are common in the corpus say nothing by themselves.
-    common = {
-        r[0]
-        for r in other.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w")
-        .count().where(F.col("count") > 0.002 * n_other + 2).join(
-            templates.select(F.explode("words").alias("w")).distinct(), "w", "left_semi"
-        ).collect()  # at most the words of the templates
-    }
-    all_words = {r[0] for r in templates.select(F.explode("words")).collect()}
-    anchors = sorted(all_words - common)
     features = sorted(
         r[0] for r in templates.select(F.explode(_features(F.col("words"))).alias("f")).distinct()
-        .collect() if set(r[0].split(" ")) - common
+        .collect()
     )
     classes = [UNKNOWN, *sorted(TEMPLATES)]
     rows = _variants(templates, other).union(
@@ -210,7 +201,7 @@ def train(spark: SparkSession, parts: DataFrame) -> Classifier:
         featuresCol="vector", regParam=0.001, elasticNetParam=0.5, maxIter=30, family="multinomial",
     ).fit(vectors.where("part <> 0"))
     temperature = _temperature(fitted, vectors.where("part = 0"))
-    return Classifier(vectorizer, fitted, classes, anchors, temperature)
+    return Classifier(vectorizer, fitted, classes, temperature)
 
 
 def _softmax(raw: Column, temperature: float) -> Column:
@@ -234,6 +225,22 @@ def _temperature(model: LogisticRegressionModel, held: DataFrame) -> float:
     return min(found)[1] if found else 1.0
 
 
+def _needed_words(templates: list[list[str]], confirmed: float) -> list[str]:
+    """Words such that runs of a template without any of them are not enough to confirm it.
+
+    Of each template, words of the most of its runs left, rare ones of the language if they do.
+    """
+    needed: set[str] = set()
+    for grams in templates:
+        left = [g for g in grams if needed.isdisjoint(g.split(" "))]
+        while left and len(left) >= confirmed * len(grams):
+            words = sorted({w for g in left for w in g.split(" ")})
+            word = min(words, key=lambda w: (w in PLAIN, -sum(w in g.split(" ") for g in left), w))
+            needed.add(word)
+            left = [g for g in left if word not in g.split(" ")]
+    return sorted(needed)
+
+
 def _places(hits: Column, template: int, family: str, grams: list[str], confirmed: float) -> Column:
     """Where a text holds at least the share ``confirmed`` of the runs of a template.
 
@@ -310,16 +317,16 @@ def licence_notices(
     spark = docs.sparkSession
     parts = paragraphs(docs, id_col, text_col)
     fitted = classifier or train(spark, parts)
-    anchors = F.array(*map(F.lit, fitted.anchors))
     templates = [
         (i, family, _template_grams(text))
         for i, (family, text) in enumerate((f, t) for f, ts in TEMPLATES.items() for t in ts)
     ]
+    needed = F.array(*map(F.lit, _needed_words([t[2] for t in templates], confirmed)))
     known = sorted({g for _, _, grams in templates for g in grams})
     # Written, so that neither words nor places nor scores are computed again for each of their uses.
     hopeful = settle(
         _blocks(docs, id_col, text_col)
-        .where(F.arrays_overlap(_block_words(F.col("block")), anchors))
+        .where(F.arrays_overlap(_block_words(F.col("block")), needed))
         .select("id", "paragraph", _block_words(F.col("block")).alias("words")),
         "hopeful-paragraphs",
     )
