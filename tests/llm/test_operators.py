@@ -21,7 +21,7 @@ from trailmine.llm import (
     token_counts,
     toxicity,
 )
-from trailmine.llm.queries import TOOLS
+from trailmine.llm.queries import TOOLS, tool_tables
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, text_sha256 string, " \
     "_id string, size string"
@@ -452,3 +452,23 @@ def test_needed_words_lose_no_place():
         needed = set(licences._needed_words(templates, share))
         for grams in templates:
             assert sum(needed.isdisjoint(g.split(" ")) for g in grams) < share * len(grams)
+
+
+def test_tool_tables_hold_whole_turns(spark):
+    texts = [f"turn {i} " + "long \"text\" \\ " * 20 + "end" for i in range(36)]
+    rows = [(1, i, "assistant" if i % 3 == 2 else "user" if i % 3 else "system", t)
+            for i, t in enumerate(texts)]
+    calls, results = tool_tables(spark.createDataFrame(
+        rows, "conv_id long, turn int, role string, text string"))
+    found = {r["turn"]: r for r in calls.collect()} | {r["turn"]: r for r in results.collect()}
+    assert sorted(found) == list(range(36))
+    for i, text in enumerate(texts):
+        if i % 3 == 2:
+            assert found[i]["content"] == text
+        else:
+            given = json.loads(found[i]["arguments"])
+            assert text in [given.get("query"), given.get("text"), *(
+                x.get("text") for x in given.get("inputs", []))], found[i]["tool"]
+    assert {r["tool"] for r in calls.collect()} == set(TOOLS)
+    got = chat.link_tool_calls(calls, results, TOOLS)
+    assert got.count() == 36

@@ -76,23 +76,24 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tool_tables(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results in the turns of a conversation.
 
-    The table has no tool calls, so each user turn becomes one, of a tool and with arguments that
-    follow from its text, and each assistant turn the result of the call before it.  Some calls use
-    the call two turns before, which may not be there, and some have a field of a wrong type.
+    The table has no tool calls, so each turn of the user or the system becomes one, of a tool that
+    follows from its text and with all of the text in its arguments, and each assistant turn the
+    result of the call before it.  Some calls use the call two turns before, which may not be there,
+    and some have a field of a wrong type.
     """
     pick = "pmod(xxhash64(text), 3)"
     wrong = "pmod(xxhash64(text), 17) = 0"
     words = "size(split(trim(coalesce(text, '')), ' +'))"
     before = "concat('c', conv_id, '_', turn - 2)"
-    calls = turns.where("role = 'user'").selectExpr(
+    calls = turns.where("NOT role <=> 'assistant'").selectExpr(
         "conv_id", "turn", "concat('c', conv_id, '_', turn) AS call_id",
         f"CASE {pick} WHEN 0 THEN 'search' WHEN 1 THEN 'count' ELSE 'merge' END AS tool",
-        f"CASE {pick} WHEN 0 THEN to_json(named_struct('query', substring(text, 1, 60), "
+        f"CASE {pick} WHEN 0 THEN to_json(named_struct('query', text, "
         f"'limit', {words})) "
         f"WHEN 1 THEN IF({wrong}, to_json(named_struct('words', 'many', 'text', text)), "
         f"to_json(named_struct('words', {words}, 'text', text))) "
         f"ELSE to_json(named_struct('strict', true, 'inputs', "
-        f"array(named_struct('$call', {before})))) END AS arguments",
+        f"array(named_struct('$call', {before}, 'text', text)))) END AS arguments",
     )
     results = turns.where("role = 'assistant'").selectExpr(
         "conv_id", "turn", "concat('c', conv_id, '_', turn - 1) AS call_id", "text AS content"
