@@ -472,3 +472,28 @@ def test_tool_tables_hold_whole_turns(spark):
     assert {r["tool"] for r in calls.collect()} == set(TOOLS)
     got = chat.link_tool_calls(calls, results, TOOLS)
     assert got.count() == 36
+
+
+def labelled(spark, toxic_words, more=()):
+    """400 documents, every eighth of them toxic, and others with their labels."""
+    draw = random.Random(4)
+    words = [f"word{chr(97 + i % 26)}{i}" for i in range(200)]
+    rows = []
+    for i in range(400):
+        text = draw.choices(words, k=40)
+        for _ in range(0 if i % 8 else 3):
+            text[draw.randrange(40)] = draw.choice(toxic_words)
+        rows.append((i, " ".join(text), int(i % 8 == 0)))
+    rows += [(1000 + i, f"{t} " + " ".join(draw.choices(words, k=40)), bad) for i, (t, bad) in enumerate(more)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return docs.drop("toxic"), docs.drop("text")
+
+
+def test_misspelled_forms_of_a_stem(spark):
+    forms = ["idiot", "idiots", "idiotic", "idiotie", "idioten"]
+    model = toxicity.train(*labelled(spark, forms))
+    assert model.stems and all(any(f.startswith(s) for s in model.stems) for f in forms)
+    lexicon = toxicity.Lexicon(model)
+    for word in ("idoit", "ldiot", "ldiotic", "idjotish"):
+        assert lexicon.match(word)[1] == 1, word
+    assert lexicon.match("idiotish")[1] == 0 and lexicon.match("worda0") is None

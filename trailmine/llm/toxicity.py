@@ -2,8 +2,8 @@
 
 The lexicon is learned from labelled documents: words, and stems of words, that are significantly
 more frequent in toxic ones.  It is a trie.  A Levenshtein automaton for a word of a text, walked
-together with the trie, finds the terms within one edit, or two for long terms; stems are matched as
-they are.  Misspellings that are words of clean documents are not taken for terms.
+together with the trie, finds the terms within one edit, or two for long terms; a stem matches if it
+is as near to a beginning of the word.  Misspellings that are words of clean documents are not taken for terms.
 
 Each hit counts with the weight of its term, less for each edit.  The words around it tell abuse
 from quotation: hits in quotes or near a word of mention count little, hits near a form of address
@@ -70,36 +70,41 @@ def edits_allowed(length: int) -> int:
     return 0 if length < 4 else 1 if length < 8 else 2
 
 
-class Lexicon:
-    """The trie of a model's words, its stems, and a cache of what words of texts match."""
+class Terms:
+    """A trie of terms; with ``begins``, terms are stems, held against beginnings of a word."""
 
-    def __init__(self, model: Model) -> None:
-        self.model = model
+    def __init__(self, terms: dict[str, float], begins: bool) -> None:
+        self.begins = begins
         self.trie: dict = {}
-        for word in model.words:
+        for term in terms:
             node = self.trie
-            for letter in word:
+            for letter in term:
                 node = node.setdefault(letter, {})
-            node[""] = word
-        self.stem_lengths = sorted({len(s) for s in model.stems})
-        self.longest = max(map(len, model.words), default=0) + 2
+            node[""] = term
+        self.longest = max(map(len, terms), default=0) + 2
         # Within k edits, one of k + 1 parts of a term is unchanged, moved by at most k places.
         self.parts: dict[tuple[int, int], set[str]] = {}
-        for word in model.words:
-            k = edits_allowed(len(word))
+        for term in terms:
+            k = edits_allowed(len(term))
             for i in range(k + 1):
-                a, b = len(word) * i // (k + 1), len(word) * (i + 1) // (k + 1)
+                a, b = len(term) * i // (k + 1), len(term) * (i + 1) // (k + 1)
                 for move in range(-k, k + 1):
                     if a + move >= 0:
-                        self.parts.setdefault((a + move, b - a), set()).add(word[a:b])
-        self.seen: dict[str, tuple[str, int, float] | None] = {}
+                        self.parts.setdefault((a + move, b - a), set()).add(term[a:b])
 
     def within(self, word: str) -> tuple[int, str] | None:
         """The nearest term within the edits it allows: distance and term.
 
         The state of the automaton after some letters of a term is the row of distances between
-        those letters and each beginning of the word; a row without a value in reach is dead.
+        those letters and each beginning of the word; a row without a value in reach is dead.  The
+        last distance is that of the whole word, the least that of the nearest beginning.
         """
+        if self.begins:
+            word = word[: self.longest]
+        if not 3 <= len(word) <= self.longest:
+            return None
+        if not any(word[a : a + n] in known for (a, n), known in self.parts.items()):
+            return None
         best: tuple[int, str] | None = None
         most = 2
 
@@ -107,8 +112,8 @@ class Lexicon:
             nonlocal best
             for letter, child in node.items():
                 if letter == "":
-                    found = (row[-1], child)
-                    if row[-1] <= edits_allowed(len(child)) and (best is None or found < best):
+                    found = (min(row) if self.begins else row[-1], child)
+                    if found[0] <= edits_allowed(len(child)) and (best is None or found < best):
                         best = found
                     continue
                 new = [row[0] + 1]
@@ -122,6 +127,17 @@ class Lexicon:
         walk(self.trie, list(range(len(word) + 1)))
         return best
 
+
+class Lexicon:
+    """The tries of a model's words and stems, and a cache of what words of texts match."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.words = Terms(model.words, begins=False)
+        self.stems = Terms(model.stems, begins=True)
+        self.stem_lengths = sorted({len(s) for s in model.stems})
+        self.seen: dict[str, tuple[str, int, float] | None] = {}
+
     def match(self, word: str) -> tuple[str, int, float] | None:
         """Term, edits and weight, or None.  ``word`` is in lower case."""
         if word in self.seen:
@@ -140,14 +156,15 @@ class Lexicon:
             stem = word[:length]
             if stem in model.stems:
                 return stem, 0, model.stems[stem]
-        if not 3 <= len(word) <= self.longest or word in model.clean:
-            return None
-        if not any(word[a : a + n] in known for (a, n), known in self.parts.items()):
+        if word in model.clean:
             return None
-        near = self.within(word)
-        if near is None:
+        near, stem = self.words.within(word), self.stems.within(word)
+        if near is None and stem is None:
             return None
-        return near[1], near[0], model.words[near[1]] * EDIT_FACTOR ** near[0]
+        # Of a word and a stem that are equally near, the word.
+        if stem is None or (near is not None and near[0] <= stem[0]):
+            return near[1], near[0], model.words[near[1]] * EDIT_FACTOR ** near[0]
+        return stem[1], stem[0], model.stems[stem[1]] * EDIT_FACTOR ** stem[0]
 
     def hits(self, text: str | None) -> tuple[list[tuple[int, int, str, int, float]], int]:
         """``start, end, term, edits, weight`` of each hit, weighed by its context; all words."""
@@ -325,10 +342,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> M
         if not any(term.startswith(s) or s.startswith(term) for s in chosen):
             chosen[term] = row["odds"]
     model = Model(
-        words={
-            r["term"]: r["odds"] for r in words.collect()
-            if not any(r["term"][:n] in chosen for n in STEM_LENGTHS)
-        },
+        words={r["term"]: r["odds"] for r in words.collect()},
         stems=chosen,
     )
     model.clean = _clean_words(counts, model)
