@@ -497,3 +497,12 @@ def test_misspelled_forms_of_a_stem(spark):
     for word in ("idoit", "ldiot", "ldiotic", "idjotish"):
         assert lexicon.match(word)[1] == 1, word
     assert lexicon.match("idiotish")[1] == 0 and lexicon.match("worda0") is None
+
+
+def test_one_clean_use_does_not_clear_a_misspelling(spark):
+    more = [("stupld", 1)] * 4 + [("stupld", 0)] + [("stapid", 0)] * 3 + [("stapid", 1)]
+    model = toxicity.train(*labelled(spark, ["stupid", "disgusting"], more))
+    assert "stupid" in model.words and "stupld" not in model.words
+    assert "stupld" not in model.clean and "stapid" in model.clean
+    lexicon = toxicity.Lexicon(model)
+    assert lexicon.match("stupld")[:2] == ("stupid", 1) and lexicon.match("stapid") is None

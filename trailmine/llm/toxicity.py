@@ -3,7 +3,8 @@
 The lexicon is learned from labelled documents: words, and stems of words, that are significantly
 more frequent in toxic ones.  It is a trie.  A Levenshtein automaton for a word of a text, walked
 together with the trie, finds the terms within one edit, or two for long terms; a stem matches if it
-is as near to a beginning of the word.  Misspellings that are words of clean documents are not taken for terms.
+is as near to a beginning of the word.  Words near a term that are not clearly
+more frequent in toxic documents are not taken for terms.
 
 Each hit counts with the weight of its term, less for each edit.  The words around it tell abuse
 from quotation: hits in quotes or near a word of mention count little, hits near a form of address
@@ -40,6 +41,8 @@ MAX_TRAINING = 20_000
 MAX_TERMS = 2_000
 THRESHOLD = 0.3
 STEM_LENGTHS = range(4, 9)
+# Logarithm of how much more frequent in toxic documents a term, or a word like one, has to be.
+LEAST_ODDS = 1.5
 EDIT_FACTOR = 0.3
 WINDOW = 6
 CACHED_WORDS = 500_000
@@ -317,7 +320,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> M
             f"greatest({ratio('bad', 'good')}, IF(bad2 > good2, {twice}, 0)) AS ratio",
         )
         .where(F.col("ratio") > 2 * math.log(tried) + 2)
-        .where("odds > 1.5")
+        .where(f"odds > {LEAST_ODDS}")
     )
     # A stem stands for many words: it is in clearly more documents than any one of them.
     widest = (
@@ -345,13 +348,16 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> M
         words={r["term"]: r["odds"] for r in words.collect()},
         stems=chosen,
     )
-    model.clean = _clean_words(counts, model)
+    model.clean = _clean_words(terms.withColumn("odds", F.expr(odds)), model)
     model.factors = _fit(rows, model)
     return model
 
 
 def _clean_words(counts: DataFrame, model: Model) -> frozenset[str]:
-    """Words within the edits of a term that clean documents use: at most ``MAX_TERMS`` a term."""
+    """Words near a term that clean documents use, unless their own counts say that they are toxic.
+
+    ``counts``: as of `_term_counts`, with ``odds``.
+    """
     key = _key(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -360,8 +366,11 @@ def _clean_words(counts: DataFrame, model: Model) -> frozenset[str]:
             found = [(lexicon.match(w) or ("", 0, 0.0))[1] > 0 for w in batch["term"]]
             yield batch[found]
 
-    near = counts.where("kind = 'word' AND good > 0").select("term").mapInPandas(run, "term string")
-    return frozenset(r[0] for r in near.limit(MAX_TERMS * 100).collect())
+    fair = counts.where(
+        f"kind = 'word' AND good > 0 AND NOT (bad > 0 AND odds > {LEAST_ODDS})"
+    )
+    near = fair.select("term").mapInPandas(run, "term string")
+    return frozenset(r[0] for r in near.collect())
 
 
 def _fit(rows: DataFrame, model: Model) -> tuple[float, ...]:
