@@ -38,7 +38,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents, or what is taken of them, as often as the mix takes them."""
-    return mixing.mixed_documents(docs, mixing.mix_sources(docs))
+    rows = mixing.numbered(docs)
+    return mixing.mixed_documents(rows, mixing.mix_sources(rows))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

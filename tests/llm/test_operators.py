@@ -506,3 +506,35 @@ def test_one_clean_use_does_not_clear_a_misspelling(spark):
     assert "stupld" not in model.clean and "stapid" in model.clean
     lexicon = toxicity.Lexicon(model)
     assert lexicon.match("stupld")[:2] == ("stupid", 1) and lexicon.match("stapid") is None
+
+
+def test_mixed_documents_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rows = [(None if i % 3 == 0 else i // 4, f"t{i} " * (i + 1), f"s{i % 3}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    table = mixing.numbered(docs)
+    mix = mixing.mix_sources(table, block_words=16, shard_slots=8)
+    of_row = {r["row_id"]: r["taken"] for r in mixing.taken_words(mix).collect()}
+    want = {r["text"].split()[0]: of_row.get(r[mixing.ROW_ID], 0) for r in table.collect()}
+
+    def words(mixed):
+        got = collections.Counter()
+        for r in mixed.collect():
+            own = (r["text"] or "").split()
+            assert len(set(own)) <= 1
+            got.update(own)
+        return got
+
+    mixed = mixing.mixed_documents(table, mix)
+    assert mixed.columns == docs.columns
+    assert words(mixed) == collections.Counter({w: n for w, n in want.items() if n})
+    slots = " ".join(r["text"] for r in mixing.mixed_blocks(table, mix).collect())
+    assert collections.Counter(slots.split()) == words(mixed)
+    stage = corpus_pipeline.mix_to_weights(spark, docs, "")
+    assert stage.columns == docs.columns
+    taken = words(stage)
+    assert all(n <= 2 * (int(w[1:]) + 1) for w, n in taken.items())
+    assert abs(sum(taken.values()) - 1.5 * sum(range(1, 61))) <= 2
+    with pytest.raises(ValueError):
+        mixing.mixed_documents(docs, mixing.mix_sources(docs))

@@ -32,6 +32,8 @@ SHARD_SLOTS = 1024
 CELLS = 4096
 ROUNDS = 24
 SEED = 20_111
+# The column of `numbered`.
+ROW_ID = "_mix_row_id"
 
 
 @dataclass(frozen=True)
@@ -176,6 +178,11 @@ def deal_shards(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     return placed.where("n > 0").select("shard", "source_no", "first", "n")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written with a number for each row, by which a mix of it finds its rows again."""
+    return settle(docs.withColumn(ROW_ID, F.monotonically_increasing_id()), "mix-documents")
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -191,7 +198,8 @@ def mix_sources(
     """Plans a mix of ``share`` times all words of ``docs``; see the module."""
     sizes = settle(
         docs.select(
-            F.monotonically_increasing_id().alias("row_id"),
+            (F.col(ROW_ID) if ROW_ID in docs.columns else F.monotonically_increasing_id())
+            .alias("row_id"),
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             n_words(F.col(text_col)).alias("size"),
@@ -297,19 +305,29 @@ def cut_words(text: Column, skip: Column, words: Column) -> Column:
     return F.array_join(F.slice(every, (skip + 1).cast("int"), words.cast("int")), "")
 
 
+def _row_key(docs: DataFrame, mix: Mix, id_col: str) -> tuple[str, str]:
+    """Columns of ``docs`` and of ``mix.rows`` that tell rows: numbers, or ids if there are none."""
+    if ROW_ID in docs.columns:
+        return ROW_ID, "row_id"
+    if mix.rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):
+        raise ValueError("ids repeat: mix the documents as of numbered()")
+    return id_col, "id"
+
+
 def mixed_blocks(
     docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The mix as texts, one row for each slot: ``shard, source_no, pass, block, text``.
 
-    Documents are found by id, which must be unique here.
+    Documents are as of `numbered`, or have unique ids.
     """
     parts = mixed_parts(mix)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
+    own, key = _row_key(docs, mix, id_col)
+    texts = docs.select(F.col(own).alias("_own"), F.col(text_col).alias("_text"))
     part = F.struct("at", cut_words(F.col("_text"), F.col("skip"), F.col("words")).alias("text"))
     listed = F.array_sort(F.collect_list(part))
     return (
-        parts.join(texts, "id")
+        parts.join(texts, parts[key].eqNullSafe(texts["_own"]))
         .groupBy("shard", "source_no", "pass", "block")
         .agg(F.array_join(F.transform(listed, lambda p: F.rtrim(p["text"])), " ").alias("text"))
     )
@@ -320,20 +338,22 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
 
     A document comes whole once for each full pass over its source; what the last, unfinished pass
     takes of it comes as one more row, with the words taken as its text.  Documents without words
-    come once.  Needs ``doc_id, text, source``; rows are matched by ``doc_id``, which must be unique.
+    come once.  Needs ``doc_id, text, source``; documents are as of `numbered`, whose column goes, or
+    have unique ids.
     """
+    own, key = _row_key(docs, mix, "doc_id")
     last = (
         mixed_parts(mix)
         .join(mix.sources.select("source_no", "passes"), "source_no")
         .where("pass = passes")
-        .groupBy("id")
+        .groupBy("row_id")
         .agg(F.array_sort(F.collect_list(F.struct("skip", "words"))).alias("spans"))
     )
     plan = mix.rows.join(mix.sources.select("source_no", "passes"), "source_no").join(
-        last, "id", "left"
-    ).selectExpr("id", "spans", "IF(size = 0, 1L, passes) AS passes")
-    rows = packed(docs, key="doc_id", text="text")
-    marked = rows.join(plan, rows["key"].eqNullSafe(plan["id"]))
+        last, "row_id", "left"
+    ).selectExpr(f"{key} AS own", "spans", "IF(size = 0, 1L, passes) AS passes")
+    rows = packed(docs, key=own, text="text")
+    marked = rows.join(plan, rows["key"].eqNullSafe(plan["own"]))
     every = F.regexp_extract_all("text", F.lit(f"{WORD}[\\x20\\x09-\\x0D]*"), F.lit(0))
     cut = bound(every, lambda words: F.transform("spans", lambda s: F.array_join(
         F.slice(words, (s["skip"] + 1).cast("int"), s["words"].cast("int")), "")))
@@ -342,7 +362,7 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
         F.when(F.col("spans").isNull(), F.array().cast("array<string>")).otherwise(
             F.array(F.array_join(cut, ""))),
     )
-    kinds = {c: F.col("row")[c].alias(c) for c in docs.columns}
+    kinds = {c: F.col("row")[c].alias(c) for c in docs.columns if c != ROW_ID}
     kinds["text"] = F.col("copy").alias("text")
     if "n_chars" in kinds:
         kinds["n_chars"] = F.coalesce(F.length("copy"), F.lit(0)).cast(
