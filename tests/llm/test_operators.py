@@ -538,3 +538,22 @@ def test_mixed_documents_of_null_and_repeated_ids(spark):
     assert abs(sum(taken.values()) - 1.5 * sum(range(1, 61))) <= 2
     with pytest.raises(ValueError):
         mixing.mixed_documents(docs, mixing.mix_sources(docs))
+
+
+def test_near_copies_of_null_ids(spark):
+    base = [f"b{i}" for i in range(60)]
+    rows = [(None if i % 2 else i, " ".join([*base[:-1], f"n{i}"]), *(None,) * 6) for i in range(3)]
+    far = base[:30] + ["x"] + base[31:]  # only the row of NULL id is near to both others
+    rows += [(10, " ".join(f"c{i}" for i in range(80)), *(None,) * 6),
+             (None, " ".join([*(f"c{i}" for i in range(77)), "y1", "y2", "y3"]), *(None,) * 6),
+             (11, " ".join([*(f"c{i}" for i in range(70)), *["y0"] * 7, "y1", "y2", "y3"]), *(None,) * 6),
+             (12, " ".join(far), *(None,) * 6), (None, " ".join(far) + " z", *(None,) * 6),
+             (None, " ".join(far) + " z", *(None,) * 6)]
+    chain = [f"d{i}" for i in range(100)]
+    rows += [(20, " ".join(chain), *(None,) * 6), (None, " ".join(chain[8:] + [f"e{i}" for i in range(8)]), *(None,) * 6),
+             (21, " ".join(chain[16:] + [f"e{i}" for i in range(16)]), *(None,) * 6)]
+    want = components_of(rows)
+    assert want[None, 96, 20] and want[21, 96, 20]
+    got = jaccard_join.similar_components(spark.createDataFrame(rows, DOCS))
+    assert collections.Counter(
+        map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == want

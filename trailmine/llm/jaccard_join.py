@@ -543,8 +543,14 @@ def similar_components(
     partners = settle(sizes.join(wanted, "digest").select("digest", "_id"), "partners")
     n_partners = partners.count()
     texts, _ = split_by_keys(given, "_id", partners, n_partners)
-    known = _broadcast_if_small(partners, n_partners)
-    sets = settle(_sets(texts, words).join(known, ["digest", "_id"]).drop("_id"), "sets")
+    known = partners.select(F.col("digest").alias("_digest"), F.col("_id").alias("_lowest"))
+    # The lowest id is NULL where no row of a class has one.
+    own = (F.col("digest") == F.col("_digest")) & F.col("_id").eqNullSafe(F.col("_lowest"))
+    sets = settle(
+        _sets(texts, words).join(_broadcast_if_small(known, n_partners), own)
+        .select("digest", "values"),
+        "sets",
+    )
     if sets.count() > n_partners:  # rows alike in id and text
         sets = settle(sets.dropDuplicates(["digest"]), "sets")
     near = settle(_overlaps(pairs, sets), "overlaps")
