@@ -557,3 +557,18 @@ def test_near_copies_of_null_ids(spark):
     got = jaccard_join.similar_components(spark.createDataFrame(rows, DOCS))
     assert collections.Counter(
         map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == want
+
+
+def test_surrogates_of_further_mentions(spark):
+    texts = ["Mr. John Smith met Ann. Smith said no, John Smith left, Mr. Smith and Mrs. Smith; Smithson stays.",
+             "password: q7+x.Y9z then q7+x.Y9z again, and q7+xxY9z", "John and Smith here stay", "Mr. Smith"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(df, "key").collect()}
+    names = re.fullmatch(
+        r"Mr\. (\w+) (\w+) met Ann\. (\w+) said no, (\w+) (\w+) left, Mr\. (\w+) and Mrs\. (\w+); "
+        r"Smithson stays\.", got[0])
+    first, last = names[1], names[2]
+    assert first != "John" and last != "Smith" and names[4] == first
+    assert {names[i] for i in (3, 5, 6, 7)} == {last} and got[3] == f"Mr. {last}"
+    secret = re.fullmatch(r"password: (\S+) then (\S+) again, and q7\+xxY9z", got[1])
+    assert secret[1] == secret[2] != "q7+x.Y9z" and got[2] == texts[2]

@@ -7,6 +7,11 @@ letters for letters of the same script and case, octets for octets, names from l
 script.  Canonical forms are the same entity wherever they are and however they are written, so they
 share a surrogate, put into the format of each place.
 
+First and last names are entities of their own, last names without regard to gender, so a person is
+the same with and without first name.  In a document that names a person after a form of address, or
+has a secret after its key word, further mentions of these names and values, as whole words, are
+replaced too.
+
 Surrogates are checked: two entities of a kind never share one, and none is an entity of the corpus.
 Those that fail are drawn again.  Documents without entities pass straight through; of the others
 only the entities are joined.
@@ -20,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmine.llm.common import packed, settle
+from trailmine.llm.common import bound, packed, settle
 
 MAX_ROUNDS = 60
 
@@ -76,6 +81,8 @@ ALPHABETS = {
     "\\p{Lu}": "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ",
     "\\p{Ll}": "àáâãäåçèéêëìíîïñòóôõöùúûüý",
 }
+# Kinds of names: those of patterns, and those of their parts.
+NAMES = ("male", "female", "last", "first male", "first female")
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -153,6 +160,15 @@ def _with_check_digit(number: Column) -> Column:
     return F.concat(F.expr("substring(drawn, 1, length(drawn) - 1)"), last)
 
 
+def _first_name(first: str) -> Column:
+    """Names put together after many attempts, so that they never run out."""
+    each = F.transform(
+        F.expr("sequence(1, 1 + attempt div 4)"),
+        lambda i: _pick(first, _hash(F.col("seed"), F.lit("first"), i.cast("string"))),
+    )
+    return F.initcap(F.array_join(each, ""))
+
+
 def _last_name(syllables: str) -> Column:
     """More syllables after many attempts, so that names never run out."""
     each = F.transform(
@@ -179,14 +195,16 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     script = F.when(F.col("canonical").rlike("\\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     name = F.lit(None).cast("string")
     for (gender, letters), first in FIRST.items():
-        # One name for one name, two for two.
-        last = _last_name(SYLLABLES[letters])
-        own = F.concat(_pick(first, _hash(F.col("seed"))), F.lit(" "), last)
-        own = F.when(F.col("canonical").rlike("[ -]"), own).otherwise(last)
-        name = F.when((F.col("kind") == gender) & (script == letters), own).otherwise(name)
+        name = F.when(
+            (F.col("kind") == f"first {gender}") & (script == letters), _first_name(first)
+        ).otherwise(name)
+    for letters, syllables in SYLLABLES.items():
+        name = F.when(
+            F.col("kind").isin("male", "female", "last") & (script == letters), _last_name(syllables)
+        ).otherwise(name)
     drawn = (
         F.when(F.col("kind") == "ip", octets)
-        .when(F.col("kind").isin("male", "female"), name)
+        .when(F.col("kind").isin(*NAMES), name)
         .when(F.col("kind") == "email", F.concat(
             _letters(F.col("seed"), F.regexp_extract("canonical", "^(.*)(\\.[^.]*)$", 1)),
             F.regexp_extract("canonical", "^(.*)(\\.[^.]*)$", 2)))
@@ -245,6 +263,38 @@ def _formatted(body: Column, surrogate: Column) -> Column:
     ).otherwise(c)), "")
 
 
+def _parts(kind: Column, keep: Column, body: Column) -> Column:
+    """``kind, keep, body`` of the entities in one that was found: first and last name, or itself."""
+    named = kind.isin("male", "female")
+    words = F.split(body, " ")
+
+    def part(kind_: Column, keep_: Column, body_: Column) -> Column:
+        return F.struct(kind_.alias("kind"), keep_.alias("keep"), body_.alias("body"))
+
+    return F.when(named & (F.size(words) == 2), F.array(
+        part(F.concat(F.lit("first "), kind), keep, F.get(words, F.lit(0))),
+        part(F.lit("last"), F.lit(" "), F.get(words, F.lit(1))),
+    )).otherwise(F.array(part(F.when(named, "last").otherwise(kind), keep, body)))
+
+
+def _entity_parts(entity: Column) -> Column:
+    kind = _kind(entity)
+    return bound(F.struct(kind.alias("kind"), F.coalesce(_kept(kind, entity), F.lit("")).alias("keep")),
+                 lambda e: _parts(e["kind"], e["keep"], F.substring(
+                     entity, F.length(e["keep"]) + 1, F.length(entity))))
+
+
+def _mentions(known: Column, secret: bool) -> Column:
+    """A pattern of the bodies of the secrets, or of the names, that a document is known to have."""
+    chosen = F.filter(known, lambda k: (k["kind"] == "secret") == secret)
+    longest_first = F.array_sort(F.array_distinct(F.transform(chosen, lambda k: k["body"])),
+                                 lambda a, b: F.length(b) - F.length(a))
+    quoted = F.transform(
+        longest_first, lambda w: F.regexp_replace(w, "([\\\\.\\[\\]{}()*+?^$|])", "\\\\$1"))
+    return F.when(F.size(chosen) > 0, F.concat(
+        F.lit("(?<![\\p{L}\\p{N}_])(?:"), F.array_join(quoted, "|"), F.lit(")(?![\\p{L}\\p{N}_])")))
+
+
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in its text, and ``n_entities``.
 
@@ -256,15 +306,33 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     ))
     has = F.coalesce(F.size("_found"), F.lit(0)) > 0
     clean = marked.where(~has).select("row.*", F.lit(0).alias("n_entities"))
-    rows = settle(
-        marked.where(has).withColumn("_row", F.monotonically_increasing_id()), "with-entities"
+    known = F.filter(
+        F.flatten(F.transform("_found", _entity_parts)),
+        lambda p: p["kind"].isin("secret", *NAMES),
     )
-    each = rows.select("_row", F.posexplode("_found").alias("_at", "_entity"))
-    each = each.withColumn("kind", _kind(F.col("_entity"))).withColumn(
-        "_keep", F.coalesce(_kept(F.col("kind"), F.col("_entity")), F.lit(""))
-    ).withColumn("_body", F.expr("substring(_entity, length(_keep) + 1)")).withColumn(
-        "canonical", canonical(F.col("kind"), F.col("_body"))
+    rows = settle(
+        marked.where(has).withColumn("_row", F.monotonically_increasing_id())
+        .withColumn("_known", known),
+        "with-entities",
     )
+    # Secrets before anything that they may hold, names after.
+    pattern = F.concat_ws(
+        "|", _mentions(F.col("_known"), True), F.lit(ANY), _mentions(F.col("_known"), False))
+    rows = rows.withColumn("_pattern", pattern).withColumn("_all", F.when(
+        F.size("_known") > 0, F.regexp_extract_all("text", F.col("_pattern"), F.lit(0))
+    ).otherwise(F.col("_found")))
+    each = rows.select("_row", "_known", F.posexplode("_all").alias("_at", "_entity"))
+    again = F.get(F.filter("_known", lambda k: k["body"] == F.col("_entity")), F.lit(0))
+    each = each.withColumn("_again", again).select(
+        "_row", "_at", "_entity",
+        F.posexplode(F.when(F.col("_again").isNotNull(), F.array(F.struct(
+            F.col("_again.kind").alias("kind"), F.lit("").alias("keep"),
+            F.col("_entity").alias("body")))).otherwise(_entity_parts(F.col("_entity"))))
+        .alias("_part", "part"),
+    ).select(
+        "_row", "_at", "_part", "_entity", F.col("part.kind").alias("kind"),
+        F.col("part.keep").alias("_keep"), F.col("part.body").alias("_body"),
+    ).withColumn("canonical", canonical(F.col("kind"), F.col("_body")))
     each = settle(each, "found-entities")
     table = settle(surrogate_table(each.where("kind IS NOT NULL"), key), "surrogate-table")
     shaped = F.when(
@@ -274,10 +342,13 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     put = F.coalesce(F.concat("_keep", shaped), F.col("_entity"))
     by_row = (
         each.join(table, ["kind", "canonical"], "left")
+        .groupBy("_row", "_at")
+        .agg(F.array_sort(F.collect_list(F.struct("_part", put.alias("put")))).alias("_of"))
+        .withColumn("put", F.array_join(F.transform("_of", lambda p: p["put"]), ""))
         .groupBy("_row")
-        .agg(F.array_sort(F.collect_list(F.struct("_at", put.alias("put")))).alias("_puts"))
+        .agg(F.array_sort(F.collect_list(F.struct("_at", "put"))).alias("_puts"))
     )
-    parts = F.split("text", ANY, -1)
+    parts = F.split("text", F.col("_pattern"), -1)
     text = F.array_join(F.flatten(F.zip_with(
         parts, F.transform("_puts", lambda p: p["put"]),
         lambda part, new: F.array(part, F.coalesce(new, F.lit(""))))), "")
