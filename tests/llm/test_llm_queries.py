@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.exists(SF_DIR), reason="no test tabl
 
 def test_all_operators_are_registered():
     names = entry_points.queries()
-    assert [n for i in range(1, 11) for n in names if n.startswith(f"op{i}_")].__len__() == 10
+    assert [n for i in range(1, 14) for n in names if n.startswith(f"op{i}_")].__len__() == 13
     assert "pipeline" in names
 
 

@@ -11,15 +11,19 @@ from pyspark.sql import functions as F
 from trailmine.llm import (
     ann,
     chat,
+    collocations,
     exact_dedup,
     jaccard_join,
     licences,
     mixing,
     packing,
     pii,
+    runs,
+    simhash_golay,
     token_counts,
     toxicity,
 )
+from trailmine.llm.common import WORD, bound
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -144,6 +148,48 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer)
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: documents of which every tenth, by a checksum of the id, repeats the words
+    from some place on with some period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = F.floor((n - a) / (g % 8 + 3)) + 1
+        numbers = F.sequence(F.lit(0).cast("long"), n - 1)
+        source = F.transform(numbers, lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
+        return F.array_join(F.transform(source, lambda i: words[i.cast("int")]), " ")
+
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    periodic = (h % 10 == 0) & F.col("text").rlike(WORD)
+    return docs.select(
+        "doc_id", F.when(periodic, bound(words, planted)).otherwise(F.col("text")).alias("text")
+    )
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_periods(_table(spark, sf_dir, "documents")))
+    best = "array_max(transform(runs, r -> struct(r.length, -r.start AS down, -r.period AS p)))"
+    lines = "transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n'))"
+    return found.selectExpr("*", f"{best} AS best").selectExpr(
+        "doc_id", "CAST(size(runs) AS long) AS n_runs",
+        "-best.down AS start", "best.length AS length", "-best.p AS period",
+        "1000 * best.length div -best.p AS exponent_milli",
+        f"sha2(array_join({lines}, ''), 256) AS runs_sha256",
+        "sha2(collapsed, 256) AS collapsed_sha256",
+    )
+
+
+def op12_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_golay.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -156,4 +202,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_token_counts": op9_token_counts,
         "op10_pack_documents": op10_pack_documents,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_simhash_near_duplicates": op12_simhash_near_duplicates,
+        "op13_collocations": op13_collocations,
     }
