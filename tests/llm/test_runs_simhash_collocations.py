@@ -231,7 +231,7 @@ def brute_collocations(rows, min_count, top):
 
 @pytest.mark.parametrize("limits, top", [
     (collocations.Limits(), 2_000),
-    (collocations.Limits(2, 50, 100, 64_000_000, 1 << 15), 7),
+    (collocations.Limits(20, 50, 100, 64_000_000, 1 << 15), 7),
     (collocations.Limits(2, 9, 20, 900, 1 << 20), 50),
 ])
 def test_collocations(docs, rows, limits, top):
@@ -242,18 +242,25 @@ def test_collocations(docs, rows, limits, top):
 
 def test_trie_counts_and_spills():
     draw = random.Random(8)
-    trie, want, got = collocations.PhraseTrie(burst=3), collections.Counter(), collections.Counter()
-    for _ in range(4000):
-        phrase = b"".join(bytes([0, 0, 0, draw.randint(1, 6)]) for _ in range(draw.randint(1, 5)))
-        trie.add(phrase, 2)
-        want[phrase] += 2
+    trie, want, got = collocations.PhraseTrie(burst=30), collections.Counter(), collections.Counter()
+
+    def take(left):
+        for run in trie.spill(left):
+            rows = run.T.tolist()
+            assert rows == sorted(rows)
+            for high, low, n in rows:
+                got[high, low] += n
+
+    for _ in range(200):
+        rows = sorted({(draw.randint(0, 40), draw.randint(0, 9)) for _ in range(40)})
+        trie.add(np.array([(*r, 2) for r in rows]).T)
+        want.update(dict.fromkeys(rows, 2))
+        assert len(trie.containers) == len(trie.lows) and trie.lows == sorted(set(trie.lows))
         if trie.size > 300:
-            for run in trie.spill(100):
-                assert run == sorted(run)
-                got.update(dict(run))
+            take(100)
             assert trie.size <= 100
-    for run in trie.spill(0):
-        got.update(dict(run))
+    assert len(trie.containers) > 5
+    take(0)
     assert got == want
 
 

@@ -1,11 +1,12 @@
 """Collocations: phrases of two to five words that occur together more often than by chance.
 
-All phrases are counted by a trie over word ids, as in a HAT-trie: its first levels branch by word,
-and below them hash containers hold the rest of a phrase as bytes of its ids.  A container that grows
-too large bursts into a branch of smaller ones.  When a task's trie holds too much, whole subtrees,
-the largest first, leave it as sorted runs of ``(phrase, count)``; runs are then merged by prefix
-partition, which is the first word and one of ``SALTS`` parts of its phrases, so that a frequent first
-word is not one task's.
+All phrases are counted by a trie over word ids, as in a HAT-trie.  Its leaves are containers, each
+for a range of prefixes; a container that grows too large bursts into two of smaller ranges.  Phrases
+come in by thousands, so a container merges them as sorted arrays, where a HAT-trie has a hash table.
+When a task's trie holds too much, whole subtrees, the largest first, leave it as sorted runs.  A run
+is one row for each prefix, all words but the last, with the last words and their counts as lists.
+Runs are merged by prefix partition.  Prefixes that begin with one of the most frequent words, of
+which there are at most ``HOT_WORDS``, are dealt to ``SALTS`` partitions by the last word.
 
 The texts are read level by level: words; pairs of words that are frequent; triples whose pairs are;
 longer phrases whose triples are.  A phrase is never more frequent than a part of it, so nothing that
@@ -22,13 +23,12 @@ Defined results: NULL and empty texts and texts of separators have no words; a N
 
 from __future__ import annotations
 
-import gc
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,9 +38,13 @@ from trailmine.llm.common import settle
 MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2_000
+# A word is hot if it makes up this part of all words; so there are no more hot words.
+HOT_WORDS = 1_000
+HOT = -1  # where their hashes stand beside the filters
 SALTS = 64
-ID_BYTES = 4
-ROWS = 50_000  # of a frame handed back
+ID_BITS = 21  # of the number of a word in a task
+ROWS = 20_000  # of a batch handed back
+RUN_SCHEMA = "lang string, prefix string, part int, tails array<string>, times array<bigint>"
 
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 64)], np.uint64)
 # Fixed value: what ends a piece.  Everything is mapped to line ends, tabs to spaces, in bytes.
@@ -55,100 +59,88 @@ class Limits:
     """What a task holds; results do not depend on it."""
 
     # Entries of a container before it bursts, and of a trie before subtrees leave it.
-    burst: int = 4_096
-    entries: int = 400_000
+    burst: int = 1 << 17
+    entries: int = 2_000_000
     # Words held before they are counted, and bytes of distinct words before numbering starts anew.
-    buffer: int = 400_000
+    buffer: int = 1_000_000
     word_bytes: int = 64_000_000
     # Of the filter of a level, a multiple of 32,768.
     filter_bits: int = 1 << 26
 
 
-class _Branch(dict):
-    """An inner node: children by the bytes of a word id, and the count of what ends here."""
+class _Container:
+    """Phrases as two numbers, of three words each, with counts; sorted when compact."""
 
-    __slots__ = ("own",)
+    def __init__(self, rows: np.ndarray):
+        self.parts = [rows]
+        self.size = rows.shape[1]
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.own = 0
+    def add(self, rows: np.ndarray) -> None:
+        self.parts.append(rows)
+        self.size += rows.shape[1]
+
+    def compact(self) -> np.ndarray:
+        if len(self.parts) > 1:
+            high, low, times = np.concatenate(self.parts, axis=1)
+            order = np.lexsort((low, high))
+            high, low = high[order], low[order]
+            new = np.ones(len(high), bool)
+            new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+            starts = np.flatnonzero(new)
+            summed = np.add.reduceat(times[order], starts)
+            self.parts = [np.stack([high[starts], low[starts], summed])]
+            self.size = len(starts)
+        return self.parts[0]
 
 
 class PhraseTrie:
-    """Counts of phrases, each the bytes of its word ids."""
+    """Counts of phrases; containers stand in the order of their prefixes."""
 
     def __init__(self, burst: int = Limits.burst):
         self.burst = burst
         self.clear()
 
     def clear(self) -> None:
-        self.root: _Branch | dict[bytes, int] = {}
-        self.size = 0
-
-    def add(self, phrase: bytes, times: int) -> None:
-        node, parent, part, at = self.root, None, b"", 0
-        while type(node) is _Branch:
-            if at == len(phrase):
-                self.size += not node.own
-                node.own += times
-                return
-            parent, part = node, phrase[at : at + ID_BYTES]
-            at += ID_BYTES
-            node = parent.get(part)
-            if node is None:
-                node = parent[part] = {}
-        rest = phrase[at:]
-        if rest in node:
-            node[rest] += times
-            return
-        node[rest] = times
-        self.size += 1
-        # A container of last words alone would not get smaller.
-        if len(node) > self.burst and len(rest) > ID_BYTES:
-            self._burst(node, parent, part)
-
-    def _burst(self, node: dict[bytes, int], parent: _Branch | None, part: bytes) -> None:
-        branch = _Branch()
-        for rest, times in node.items():
-            if rest:
-                branch.setdefault(rest[:ID_BYTES], {})[rest[ID_BYTES:]] = times
-            else:
-                branch.own = times
-        if parent is None:
-            self.root = branch
-        else:
-            parent[part] = branch
-
-    def _entries(self, node: _Branch | dict[bytes, int]) -> int:
-        if type(node) is not _Branch:
-            return len(node)
-        return (node.own > 0) + sum(map(self._entries, node.values()))
-
-    def _run(
-        self, node: _Branch | dict[bytes, int], prefix: bytes
-    ) -> Iterator[tuple[bytes, int]]:
-        if type(node) is not _Branch:
-            for rest in sorted(node):
-                yield prefix + rest, node[rest]
-            return
-        if node.own:
-            yield prefix, node.own
-        for part in sorted(node):
-            yield from self._run(node[part], prefix + part)
-
-    def spill(self, left: int) -> Iterator[list[tuple[bytes, int]]]:
-        """Takes subtrees out, the largest first, until at most ``left`` entries stay; each is a
-        sorted run."""
-        if type(self.root) is not _Branch or left == 0:
-            yield list(self._run(self.root, b""))
-            self.clear()
+        self.containers = [_Container(np.empty((3, 0), np.int64))]
+        self.lows = [-1]  # the lowest first number of each container
+
+    @property
+    def size(self) -> int:
+        return sum(c.size for c in self.containers)
+
+    def add(self, rows: np.ndarray) -> None:
+        """Adds sorted rows: two numbers and a count."""
+        cuts = np.append(np.searchsorted(rows[0], self.lows), rows.shape[1])
+        full = []
+        for i, container in enumerate(self.containers):
+            if cuts[i] < cuts[i + 1]:
+                container.add(rows[:, cuts[i] : cuts[i + 1]])
+                if container.size > self.burst:
+                    full.append(i)
+        for i in reversed(full):
+            self._burst(i)
+
+    def _burst(self, i: int) -> None:
+        rows = self.containers[i].compact()
+        if rows.shape[1] <= self.burst // 2:
             return
-        sizes = sorted(((self._entries(c), p) for p, c in self.root.items()), reverse=True)
-        for size, part in sizes:
-            if self.size <= left:
+        middle = rows[0, rows.shape[1] // 2]
+        cut = int(np.searchsorted(rows[0], middle))
+        cut = cut or int(np.searchsorted(rows[0], middle, "right"))
+        if cut < rows.shape[1]:
+            self.containers[i : i + 1] = [_Container(rows[:, :cut]), _Container(rows[:, cut:])]
+            self.lows.insert(i + 1, int(rows[0, cut]))
+
+    def spill(self, left: int) -> Iterator[np.ndarray]:
+        """Takes out the entries of containers, the largest first, until at most ``left`` stay; each
+        is a sorted run."""
+        held = self.size
+        for container in sorted(self.containers, key=lambda c: -c.size):
+            if held <= left or not container.size:
                 return
-            yield list(self._run(self.root.pop(part), part))
-            self.size -= size
+            held -= container.size
+            yield container.compact()
+            container.parts, container.size = [np.empty((3, 0), np.int64)], 0
 
 
 def _word_hash(lang: str, word: bytes) -> int:
@@ -171,12 +163,12 @@ def _is_set(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
 class _Numbers(dict):
     """Numbers of the words of one language, given out as words come up."""
 
-    def __init__(self, counter: _Counter, lang: str):
+    def __init__(self, counter: _Counter, lang: str, lang_number: int):
         super().__init__()
-        self.counter, self.lang = counter, lang
+        self.counter, self.lang, self.lang_number = counter, lang, lang_number
 
     def __missing__(self, word: bytes) -> int:
-        number = self[word] = self.counter.new_number(self.lang, word)
+        number = self[word] = self.counter.new_number(self.lang, self.lang_number, word)
         return number
 
 
@@ -191,27 +183,27 @@ class _Counter:
         limits: Limits,
     ):
         self.lengths, self.known, self.filters, self.limits = lengths, known, filters, limits
-        self.trie = PhraseTrie(limits.burst)
+        self.tries = {length: PhraseTrie(limits.burst) for length in lengths}
         self.ids: list[int] = []
         self._start_numbers()
 
     def _start_numbers(self) -> None:
         # Number 0 is no word, but the end of a piece.
-        self.words, self.langs = [""], [""]
+        self.words, self.lang_numbers = [""], [-1]
         self.hashes: list[int] = [0]
         self.by_lang: dict[str, _Numbers] = {}
         self.held_bytes = 0
 
-    def new_number(self, lang: str, word: bytes) -> int:
+    def new_number(self, lang: str, number: int, word: bytes) -> int:
         self.held_bytes += len(word) + 150
         self.words.append(word.decode())
-        self.langs.append(lang)
+        self.lang_numbers.append(number)
         self.hashes.append(_word_hash(lang, word))
         return len(self.words) - 1
 
     def add(self, lang: str, text: str | None) -> None:
         if lang not in self.by_lang:
-            self.by_lang[lang] = _Numbers(self, lang)
+            self.by_lang[lang] = _Numbers(self, lang, len(self.by_lang))
         number = self.by_lang[lang].__getitem__
         data = (text or "").encode("utf-8", "replace").translate(_TABLE)
         for piece in data.split(b"\n"):
@@ -256,46 +248,79 @@ class _Counter:
     def _count_at(self, ids: np.ndarray, at: np.ndarray, length: int) -> None:
         if not len(at):
             return
-        code = ids[at]
-        for i in range(1, length - 1):
-            code = np.unique((code << 32) | ids[at + i], return_inverse=True)[1]
-        if length > 1:
-            code = (code << 32) | ids[at + length - 1]
-        _, first, times = np.unique(code, return_index=True, return_counts=True)
-        rows = ids[at[first][:, None] + np.arange(length)].astype(f">u{ID_BYTES}")
-        data, width, add = rows.tobytes(), ID_BYTES * length, self.trie.add
-        for i, n in enumerate(times.tolist()):
-            add(data[i * width : (i + 1) * width], n)
-
-    def _frames(self, runs: Iterator[list[tuple[bytes, int]]]) -> Iterator[pd.DataFrame]:
-        word = self.words.__getitem__
-        kinds = {i * ID_BYTES: f">{i}I" for i in range(1, max(self.lengths) + 1)}
-        for run in runs:
-            numbers = [struct.unpack(kinds[len(phrase)], phrase) for phrase, _ in run]
-            for start in range(0, len(run), ROWS):
-                part = numbers[start : start + ROWS]
-                yield pd.DataFrame({
-                    "lang": [self.langs[n[0]] for n in part],
-                    "phrase": [" ".join(map(word, n)) for n in part],
-                    "n": [n for _, n in run[start : start + ROWS]],
-                })
-
-    def over_full(self) -> Iterator[pd.DataFrame]:
-        """Counts what is at hand if it is much, and lets subtrees go if the trie holds too much."""
+        high = low = np.zeros(len(at), np.int64)
+        for i in range(length):
+            if i < 3:
+                high = high | ids[at + i] << (ID_BITS * (2 - i))
+            else:
+                low = low | ids[at + i] << (ID_BITS * (5 - i))
+        rows = _Container(np.stack([high, low, np.ones(len(at), np.int64)]))
+        rows.parts.append(np.empty((3, 0), np.int64))
+        self.tries[length].add(rows.compact())
+
+    def _batches(self, length: int, run: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A run as rows of ``RUN_SCHEMA``."""
+        high, low, times = run
+        mask = (1 << ID_BITS) - 1
+        ids = [
+            (high >> ID_BITS * (2 - i) if i < 3 else low >> ID_BITS * (5 - i)) & mask
+            for i in range(length)
+        ]
+        last, first = ids[-1], ids[0]
+        hashes = np.array(self.hashes, np.uint64)
+        langs = np.array(self.lang_numbers)[last]
+        if length == 1:
+            salted = np.ones(len(last), bool)
+            prefix = langs
+        else:
+            salted = np.isin(hashes[first], self.filters[HOT])
+            new = np.ones(len(last), bool)
+            new[1:] = np.any([x[1:] != x[:-1] for x in ids[:-1]], axis=0)
+            prefix = np.cumsum(new)
+        part = np.where(salted, (hashes[last] >> np.uint64(32)) % np.uint64(SALTS), 0)
+        order = np.lexsort((part, prefix))
+        prefix, part = prefix[order], part[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])
+        starts = np.flatnonzero(new)
+        words, names = self.words, list(self.by_lang)
+        columns = [x[order[starts]].tolist() for x in ids[:-1]]
+        heads = [" ".join([words[i] for i in row]) for row in zip(*columns, strict=True)]
+        offsets = np.append(starts, len(order)).astype(np.int32)
+        table = pa.table(
+            {
+                "lang": pa.array([names[i] for i in langs[order[starts]].tolist()], pa.string()),
+                "prefix": pa.array(heads or [""] * len(starts), pa.string()),
+                "part": part[starts].astype(np.int32),
+                "tails": pa.ListArray.from_arrays(
+                    offsets, pa.array(words, pa.string()).take(pa.array(last[order]))
+                ),
+                "times": pa.ListArray.from_arrays(offsets, pa.array(times[order])),
+            }
+        )
+        yield from table.to_batches(max_chunksize=ROWS)
+
+    def _spill(self, left: int) -> Iterator[pa.RecordBatch]:
+        for length, trie in self.tries.items():
+            for run in trie.spill(left):
+                yield from self._batches(length, run)
+
+    def over_full(self) -> Iterator[pa.RecordBatch]:
+        """Counts what is at hand if it is much, and lets subtrees go if the tries hold too much."""
         limits = self.limits
         if len(self.ids) < limits.buffer and self.held_bytes < limits.word_bytes:
             return
         self.count()
         if self.held_bytes >= limits.word_bytes:
-            # Phrases in the trie name words by number.
-            yield from self._frames(self.trie.spill(0))
+            # Phrases in the tries name words by number.
+            yield from self._spill(0)
             self._start_numbers()
-        elif self.trie.size > limits.entries:
-            yield from self._frames(self.trie.spill(limits.entries // 2))
+        elif sum(t.size for t in self.tries.values()) > limits.entries:
+            yield from self._spill(limits.entries // 2 // len(self.tries))
 
-    def rest(self) -> Iterator[pd.DataFrame]:
+    def rest(self) -> Iterator[pa.RecordBatch]:
         self.count()
-        yield from self._frames(self.trie.spill(0))
+        yield from self._spill(0)
 
 
 def _filter_of(frequent: DataFrame, length: int, n_bits: int) -> np.ndarray:
@@ -337,27 +362,24 @@ def count_phrases(
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(filters or {})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _Counter(lengths, known, shared.value, limits)
-        # The trie has many small containers and no cycles, so looking for those only costs time.
-        gc.disable()
-        try:
-            for batch in batches:
-                for lang, text in zip(batch["_lang"], batch["_text"], strict=True):
-                    counter.add(lang, text)
-                    yield from counter.over_full()
-            yield from counter.rest()
-        finally:
-            gc.enable()
-
-    runs = docs.mapInPandas(run, "lang string, phrase string, n long")
-    dealt = runs.selectExpr(
-        "lang", "phrase", "n", "substring_index(phrase, ' ', 1) AS prefix",
-        f"pmod(xxhash64(phrase), {SALTS}) AS part",
-    ).repartition("lang", "prefix", "part")
-    return dealt.groupBy("lang", "prefix", "part", "phrase").agg(
-        F.sum("n").alias("f")
-    ).select("lang", "phrase", "f")
+        for batch in batches:
+            langs, texts = batch.column("_lang").to_pylist(), batch.column("_text").to_pylist()
+            for lang, text in zip(langs, texts, strict=True):
+                counter.add(lang, text)
+                yield from counter.over_full()
+        yield from counter.rest()
+
+    runs = docs.select("_lang", "_text").mapInArrow(run, RUN_SCHEMA)
+    merged = (
+        runs.repartition("lang", "prefix", "part")
+        .selectExpr("lang", "prefix", "part", "inline(arrays_zip(tails, times)) AS (tail, n)")
+        .groupBy("lang", "prefix", "part", "tail")
+        .agg(F.sum("n").alias("f"))
+    )
+    phrase = "IF(prefix = '', tail, concat(prefix, ' ', tail)) AS phrase"
+    return merged.selectExpr("lang", phrase, "f")
 
 
 def _exact_scores(cuts: DataFrame) -> DataFrame:
@@ -399,14 +421,19 @@ def collocations(
     totals = settle(words.groupBy("lang").agg(F.sum("f").alias("n")), "word-totals")
     enough = F.col("f") >= min_count
     levels = [settle(words.where(enough).withColumn("len", F.lit(1)), "phrases")]
-    filters = {1: _filter_of(levels[0], 1, limits.filter_bits)}
+    n_words = totals.agg(F.sum("n")).first()[0] or 0
+    hot = words.where(F.col("f") * HOT_WORDS >= n_words).select("lang", "phrase").collect()
+    filters = {
+        HOT: np.array([_word_hash(lang, w.encode()) for lang, w in hot], np.uint64),
+        1: _filter_of(levels[0], 1, limits.filter_bits),
+    }
     steps = [(n,) for n in range(2, min(max_words, 3) + 1)]
     if max_words > 3:
         steps.append(tuple(range(4, max_words + 1)))
     for lengths in steps:
         known = lengths[0] - 1
         if known > 1:
-            filters = {1: filters[1], known: _filter_of(levels[-1], known, limits.filter_bits)}
+            filters = {HOT: filters[HOT], 1: filters[1], known: _filter_of(levels[-1], known, limits.filter_bits)}
         found = count_phrases(given, lengths, filters, known, limits).where(enough)
         size = F.size(F.split("phrase", " "))
         levels.append(settle(found.withColumn("len", size), "phrases"))
