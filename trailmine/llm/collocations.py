@@ -51,6 +51,8 @@ _FACTORS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 64)],
 _PIECES = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
+# Stands for the end of a piece; no text in UTF-8 has this byte.
+END = b"\xff"
 _TABLE = _LOWER.translate(_PIECES)
 
 
@@ -143,8 +145,16 @@ class PhraseTrie:
             container.parts, container.size = [np.empty((3, 0), np.int64)], 0
 
 
+def _hashed_lang(lang: str) -> bytes:
+    return lang.encode("utf-8", "replace") + b"\0"
+
+
 def _word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(lang.encode("utf-8", "replace") + b"\0" + word)
+    return xxhash.xxh3_64_intdigest(_hashed_lang(lang) + word)
+
+
+def _strings(words: list[bytes]) -> pa.Array:
+    return pa.array(words, pa.binary()).cast(pa.string())
 
 
 def _bits(hashes: np.ndarray, starts: np.ndarray, length: int, n_bits: int) -> np.ndarray:
@@ -164,11 +174,17 @@ class _Numbers(dict):
     """Numbers of the words of one language, given out as words come up."""
 
     def __init__(self, counter: _Counter, lang: str, lang_number: int):
-        super().__init__()
-        self.counter, self.lang, self.lang_number = counter, lang, lang_number
+        super().__init__({END: 0})
+        self.counter, self.lang_number = counter, lang_number
+        self.prefix = _hashed_lang(lang)
 
     def __missing__(self, word: bytes) -> int:
-        number = self[word] = self.counter.new_number(self.lang, self.lang_number, word)
+        counter = self.counter
+        number = self[word] = len(counter.words)
+        counter.words.append(word)
+        counter.lang_numbers.append(self.lang_number)
+        counter.hashes.append(xxhash.xxh3_64_intdigest(self.prefix + word))
+        counter.held_bytes += len(word) + 150
         return number
 
 
@@ -184,39 +200,41 @@ class _Counter:
     ):
         self.lengths, self.known, self.filters, self.limits = lengths, known, filters, limits
         self.tries = {length: PhraseTrie(limits.burst) for length in lengths}
-        self.ids: list[int] = []
+        self._start_buffer()
         self._start_numbers()
 
+    def _start_buffer(self) -> None:
+        self.ids: list[np.ndarray] = []
+        self.n_ids = 0
+
     def _start_numbers(self) -> None:
         # Number 0 is no word, but the end of a piece.
-        self.words, self.lang_numbers = [""], [-1]
-        self.hashes: list[int] = [0]
+        self.words, self.lang_numbers, self.hashes = [b""], [-1], [0]
+        self.hash_array = np.zeros(0, np.uint64)
         self.by_lang: dict[str, _Numbers] = {}
         self.held_bytes = 0
 
-    def new_number(self, lang: str, number: int, word: bytes) -> int:
-        self.held_bytes += len(word) + 150
-        self.words.append(word.decode())
-        self.lang_numbers.append(number)
-        self.hashes.append(_word_hash(lang, word))
-        return len(self.words) - 1
-
     def add(self, lang: str, text: str | None) -> None:
         if lang not in self.by_lang:
             self.by_lang[lang] = _Numbers(self, lang, len(self.by_lang))
-        number = self.by_lang[lang].__getitem__
         data = (text or "").encode("utf-8", "replace").translate(_TABLE)
-        for piece in data.split(b"\n"):
-            words = piece.split()
-            if words:
-                self.ids += map(number, words)
-                self.ids.append(0)
+        words = data.replace(b"\n", b" " + END + b" ").split()
+        words.append(END)
+        number = self.by_lang[lang].__getitem__
+        self.ids.append(np.fromiter(map(number, words), np.int64, len(words)))
+        self.n_ids += len(words)
+
+    def known_hashes(self) -> np.ndarray:
+        """The hashes of all words so far."""
+        more = self.hashes[len(self.hash_array) :]
+        self.hash_array = np.concatenate([self.hash_array, np.array(more, np.uint64)])
+        return self.hash_array
 
     def count(self) -> None:
         """Puts the phrases of the words at hand into the trie."""
-        ids = np.array(self.ids, np.int64)
-        self.ids = []
-        hashes = np.array(self.hashes, np.uint64)
+        ids = np.concatenate([*self.ids, np.zeros(1, np.int64)])
+        self._start_buffer()
+        hashes = self.known_hashes()
         if self.known:
             # A word that is not frequent ends a piece too.
             bits = _bits(hashes, np.arange(len(hashes)), 1, self.limits.filter_bits)
@@ -267,7 +285,7 @@ class _Counter:
             for i in range(length)
         ]
         last, first = ids[-1], ids[0]
-        hashes = np.array(self.hashes, np.uint64)
+        hashes = self.known_hashes()
         langs = np.array(self.lang_numbers)[last]
         if length == 1:
             salted = np.ones(len(last), bool)
@@ -285,15 +303,15 @@ class _Counter:
         starts = np.flatnonzero(new)
         words, names = self.words, list(self.by_lang)
         columns = [x[order[starts]].tolist() for x in ids[:-1]]
-        heads = [" ".join([words[i] for i in row]) for row in zip(*columns, strict=True)]
+        heads = [b" ".join([words[i] for i in row]) for row in zip(*columns, strict=True)]
         offsets = np.append(starts, len(order)).astype(np.int32)
         table = pa.table(
             {
                 "lang": pa.array([names[i] for i in langs[order[starts]].tolist()], pa.string()),
-                "prefix": pa.array(heads or [""] * len(starts), pa.string()),
+                "prefix": _strings(heads or [b""] * len(starts)),
                 "part": part[starts].astype(np.int32),
                 "tails": pa.ListArray.from_arrays(
-                    offsets, pa.array(words, pa.string()).take(pa.array(last[order]))
+                    offsets, _strings(words).take(pa.array(last[order]))
                 ),
                 "times": pa.ListArray.from_arrays(offsets, pa.array(times[order])),
             }
@@ -308,7 +326,7 @@ class _Counter:
     def over_full(self) -> Iterator[pa.RecordBatch]:
         """Counts what is at hand if it is much, and lets subtrees go if the tries hold too much."""
         limits = self.limits
-        if len(self.ids) < limits.buffer and self.held_bytes < limits.word_bytes:
+        if self.n_ids < limits.buffer and self.held_bytes < limits.word_bytes:
             return
         self.count()
         if self.held_bytes >= limits.word_bytes:
