@@ -5,6 +5,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from trailmine.operators import events, hot, sequences
 from trailmine.operators.counts import count_sequences
@@ -199,3 +200,42 @@ def test_numbers_and_instants_order_sessions_too(spark):
     for other in (seconds, instants):
         found = sequences.anchored_sequences(other, by_hour=True, hot_after=5, chunk_rows=3)
         assert found.exceptAll(expected).count() == expected.exceptAll(found).count() == 0
+
+
+@pytest.mark.parametrize("burst", ["one instant", "two bursts", "first and last"])
+def test_bursts_are_cut_like_other_events(spark, burst):
+    """Chunks follow the number of events, not the time they take."""
+    second = {"one instant": "0", "two bursts": "IF(id < 15000, id % 3, 86400 + id % 2)",
+              "first and last": "IF(id = 0, -999999, IF(id = 19999, 999999, 5))"}[burst]
+    table = spark.range(20_000).selectExpr(
+        "'u' AS unit", "7L AS session_id", "id % 3 = 0 AS is_search", "'x' AS label",
+        f"timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, {second}) AS ts",
+    ).selectExpr("*", "ts AS part", "monotonically_increasing_id() AS pos")
+    table = table.repartition(4)
+    _, alone = hot.split_hot_sessions(table, hot_after=5_000, chunk_rows=1_000)
+    chunks = alone.groupBy("chunk").agg(
+        F.count("*").alias("n"), F.min(F.struct("part", "pos")).alias("low"),
+        F.max(F.struct("part", "pos")).alias("high"),
+    ).orderBy("chunk").collect()
+    assert sum(r["n"] for r in chunks) == 20_000
+    assert 15 <= len(chunks) <= 25 and max(r["n"] for r in chunks) <= 2_000
+    assert all(a["high"] < b["low"] for a, b in zip(chunks, chunks[1:]))
+
+
+def test_chunks_from_a_sample_stay_within_twice_the_aim(spark, monkeypatch):
+    monkeypatch.setattr(hot, "CHUNK_SAMPLE", 32)
+    table = spark.range(200_000).selectExpr(
+        "'u' AS unit", "id % 2 AS session_id", "true AS is_search", "'x' AS label",
+        "timestamp_ntz'2024-01-01 00:00:00' AS ts", "timestamp_ntz'2024-01-01 00:00:00' AS part",
+        "id AS pos")
+    _, alone = hot.split_hot_sessions(table, hot_after=5_000, chunk_rows=1_000)
+    sizes = [r["count"] for r in alone.groupBy("session_id", "chunk").count().collect()]
+    assert sum(sizes) == 200_000 and max(sizes) <= 2_000 and len(sizes) >= 150
+
+
+def test_no_pieces_in_the_plan_without_hot_sessions(spark):
+    table = as_table(spark, make_sessions(1), by_block=False)
+    plan = sequences.session_ngrams(table, 2, 4)._jdf.queryExecution().toString()
+    assert "Join" not in plan
+    hour = events.session_hour(table)._jdf.queryExecution().toString()
+    assert "HashAggregate" in hour and "SortAggregate" not in hour

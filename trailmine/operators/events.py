@@ -6,7 +6,7 @@ Events: ``unit, session_id, is_search, label, ts, part, pos``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trailmine.functions import text
@@ -35,10 +35,18 @@ def label_events(rows: DataFrame) -> DataFrame:
 def session_hour(events: DataFrame) -> DataFrame:
     """Hour of the first event of each session; NULL if its time could not be read.
 
-    An aggregate, combined before the shuffle, so the size of a session does not matter.
+    Aggregates, combined before the shuffle, so the size of a session does not matter: the first
+    event of each part, then the first part.  Numbers and times are all that they keep, which hash
+    aggregates can hold; only parts that are names of files and blocks are sorted, one for each
+    session and block.
     """
-    first = F.min_by("ts", F.struct("part", "pos"))
-    return events.groupBy(*SESSION).agg(F.hour(first).alias("hour"))
+    by_part = events.groupBy(*SESSION, "part").agg(F.min_by("ts", "pos").alias("ts"))
+    # `min_by` skips NULL; events without a place come first.
+    loose = F.count_if(F.col("part").isNull()) > 0
+    return by_part.groupBy(*SESSION).agg(
+        F.when(loose, F.max(F.when(F.col("part").isNull(), F.col("ts"))))
+        .otherwise(F.min_by("ts", "part")).alias("first_ts")
+    ).select(*SESSION, F.hour("first_ts").alias("hour"))
 
 
 def sessions_without_hour(events: DataFrame) -> DataFrame:
@@ -58,6 +66,12 @@ def ordered_events(
     Chunks of hot sessions are numbered apart; the sizes of the chunks before give the offset.
     """
     spread, hot = split_hot_sessions(events, hot_after, chunk_rows)
+
+    def number(keys: list[str]) -> Column:
+        return F.row_number().over(Window.partitionBy(*keys).orderBy("part", "pos")).cast("bigint")
+
+    if hot is None:
+        return spread.withColumn("place", number(SESSION))
     before = Window.partitionBy(*SESSION).orderBy("chunk").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -66,9 +80,8 @@ def ordered_events(
         .agg(F.count(F.lit(1)).alias("n_chunk"))
         .select(*CHUNK, F.sum("n_chunk").over(before).alias("offset"))
     )
-    within = F.row_number().over(Window.partitionBy(*CHUNK).orderBy("part", "pos"))
     return (
-        spread.withColumn("within", within)
+        spread.withColumn("within", number(CHUNK))
         .join(offsets, CHUNK, "left")
         .withColumn("place", F.col("within") + F.coalesce("offset", F.lit(0)))
         .drop("chunk", "within", "offset")
@@ -80,6 +93,7 @@ def split_sessions_by_gap(
     threshold_seconds: int,
     hot_after: int | None = None,
     chunk_rows: int | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Number the sub-sessions of each session from 0 in ``sub_session``.
 
@@ -88,23 +102,30 @@ def split_sessions_by_gap(
     its first and last time and its number of starts, and a running sum over chunks gives the
     number to begin with.
     """
-    spread, hot = split_hot_sessions(events, hot_after, chunk_rows)
-    by_chunk = Window.partitionBy(*CHUNK).orderBy("part", "pos")
-    so_far = by_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spread, hot = split_hot_sessions(events, hot_after, chunk_rows, sizes=sizes)
     too_long = F.expr(f"make_dt_interval(0, 0, 0, {int(threshold_seconds)})")
 
-    def starts(late, early):
+    def starts(late: Column, early: Column) -> Column:
         return F.coalesce((late - early > too_long).cast("bigint"), F.lit(0))
 
-    def with_starts(df: DataFrame) -> DataFrame:
-        return df.withColumn("starts", starts(F.col("ts"), F.lag("ts").over(by_chunk)))
+    def in_order(keys: list[str]) -> WindowSpec:
+        return Window.partitionBy(*keys).orderBy("part", "pos")
+
+    def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        so_far = in_order(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return (
+            df.withColumn("before", F.lag("ts").over(in_order(keys)))
+            .withColumn(name, F.sum(starts(F.col("ts"), F.col("before"))).over(so_far))
+        )
 
+    if hot is None:
+        return numbered(spread, SESSION, "sub_session").drop("before")
     place = F.struct("part", "pos")
     chunks = (
-        with_starts(hot)
+        hot.withColumn("before", F.lag("ts").over(in_order(CHUNK)))
         .groupBy(*CHUNK)
         .agg(
-            F.sum("starts").alias("inner"),
+            F.sum(starts(F.col("ts"), F.col("before"))).alias("inner"),
             F.min_by("ts", place).alias("first_ts"),
             F.max_by("ts", place).alias("last_ts"),
         )
@@ -120,11 +141,10 @@ def split_sessions_by_gap(
         *CHUNK, (F.sum(F.col("inner") + F.col("outer")).over(upto) - F.col("inner")).alias("offset")
     )
     return (
-        with_starts(spread)
-        .withColumn("within", F.sum("starts").over(so_far))
+        numbered(spread, CHUNK, "within")
         .join(offsets, CHUNK, "left")
         .withColumn("sub_session", F.col("within") + F.coalesce("offset", F.lit(0)))
-        .drop("chunk", "starts", "within", "offset")
+        .drop("chunk", "before", "within", "offset")
     )
 
 

@@ -6,20 +6,26 @@ small whatever the input and can be broadcast.  Keys on the list are processed i
 above the threshold that is not on the list holds at most one row in ``MAX_HOT`` of all rows, and is
 processed whole.  Either way every row is processed and the result is the same.
 
-Where no key is hot, adaptive execution sees the empty list and drops the branches for pieces.
+Whether any session is hot is looked up once, when the plan is built, so that a plan over ordinary
+sessions has no branches for pieces at all.  With sizes written beside the rows (`sinks.logs`) that
+look-up reads no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MAX_HOT = 100_000
 # Events of one session in one unit above which the session is cut into chunks.
 HOT_AFTER = 1_000_000
-# Events aimed at in a chunk.
+# As `hot_after`: no session is cut, and none is counted.
+NEVER = 1 << 62
+# Events aimed at in a chunk, and events of a chunk that its bounds are chosen from.
 CHUNK_ROWS = 50_000
+CHUNK_SAMPLE = 1_000
+# Chunks of all hot sessions; with more events chunks are larger.
+MAX_CHUNKS = 50_000
 
 SESSION = ["unit", "session_id"]
 CHUNK = [*SESSION, "chunk"]
@@ -37,33 +43,46 @@ def largest(counted: DataFrame, keys: list[str], size: str, more_than: int) -> D
     return counted.where(F.col(size) > more_than).orderBy(F.desc(size), *keys).limit(MAX_HOT)
 
 
-def _clock(column: str, part_type: T.DataType) -> str:
-    """A number that never falls when ``part`` rises."""
-    if isinstance(part_type, T.TimestampType):
-        return f"CAST(unix_micros({column}) AS double)"
-    if isinstance(part_type, T.TimestampNTZType):
-        # Read field by field, since a cast to an instant may fall where clocks change.
-        return (
-            f"CAST(unix_date(CAST({column} AS date)) * 86400 + "
-            f"hour({column}) * 3600 + minute({column}) * 60 + second({column}) AS double)"
-        )
-    return f"CAST({column} AS double)"
+def session_sizes(events: DataFrame, more_than: int) -> DataFrame:
+    """``unit, session_id, n_rows`` of the sessions that may be hot."""
+    return hot_keys(events, SESSION, more_than)
+
+
+def number_below(bounds: str, place: str) -> str:
+    """How many of the sorted ``bounds`` are not above ``place``: a binary search, as an expression."""
+    step = "shiftleft(1, bit)"
+    return (
+        f"aggregate(sequence(int(floor(log2(size({bounds}) + 1))), 0, -1), 0, (at, bit) -> "
+        f"IF(at + {step} <= size({bounds}) AND get({bounds}, at + {step} - 1) <= {place}, "
+        f"at + {step}, at))"
+    )
 
 
-def _session_starts(events: DataFrame, hot: DataFrame, by_block: bool) -> DataFrame:
-    """Time of the first event of hot sessions.
+def _chunk_bounds(events: DataFrame, hot: DataFrame, chunk_rows: int) -> DataFrame:
+    """``hot`` with ``bounds``: the first places of all chunks of a session but the first one.
 
-    The last step sorts, so few rows are left to it: the first of each block, or those of the
-    lowest place.
+    They are every so manieth place of a sample that a hash decides on, so bursts get as many
+    chunks as they have events, and each run has the same.  Events are told apart by
+    ``(part, pos)``; those alike in both cannot be parted.
     """
-    first = events.join(F.broadcast(hot), SESSION)
-    if by_block:
-        first = first.groupBy(*SESSION, "part").agg(
-            F.expr("min_by(ts, pos) AS ts"), F.expr("min(pos) AS pos")
+    total = F.sum("n_rows").over(Window.partitionBy())
+    aim = F.greatest(F.lit(chunk_rows), F.ceil(total / MAX_CHUNKS))
+    aimed = hot.withColumn("aim", aim.cast("bigint")).selectExpr(
+        "*", f"greatest(1L, aim div {CHUNK_SAMPLE}) AS one_in"
+    )
+    in_order = ", ".join(SESSION)
+    bounds = (
+        events.join(F.broadcast(aimed), SESSION)
+        .where("pmod(xxhash64(part, pos), one_in) = 0")
+        .selectExpr(
+            *SESSION, "struct(part, pos) AS place", "greatest(1L, aim div one_in) AS every",
+            f"row_number() OVER (PARTITION BY {in_order} ORDER BY part, pos) AS nth",
         )
-    else:
-        first = first.where("part IS NULL OR part = low")
-    return first.groupBy(*SESSION).agg(F.expr("min_by(ts, struct(part, pos)) AS start_ts"))
+        .where("nth > 1 AND (nth - 1) % every = 0")
+        .groupBy(*SESSION)
+        .agg(F.array_sort(F.collect_list("place")).alias("bounds"))
+    )
+    return hot.join(bounds, SESSION, "left")
 
 
 def split_hot_sessions(
@@ -71,42 +90,36 @@ def split_hot_sessions(
     hot_after: int | None = None,
     chunk_rows: int | None = None,
     with_start: bool = False,
-) -> tuple[DataFrame, DataFrame]:
-    """Give events of hot sessions a ``chunk``.
+    sizes: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Give events of hot sessions a ``chunk``, a number that rises with the order of events.
 
     Returns all events, with a NULL chunk for ordinary sessions, and the events of hot sessions
-    alone.  Chunks follow the order of events: with ``part`` a block of a file the block is the
-    chunk, otherwise the span of ``part`` is cut into even steps.  ``with_start`` adds
-    ``start_ts``, the time of the first event of a hot session.  Where ``part`` is a time, it is
-    the time of the event.
+    alone; or the events as they are and None where no session is hot.  ``with_start`` adds
+    ``start_ts``, the time of the first event of a hot session.  ``sizes`` are those of
+    `session_sizes` where they are known.
     """
     hot_after = HOT_AFTER if hot_after is None else hot_after
     chunk_rows = CHUNK_ROWS if chunk_rows is None else chunk_rows
-    schema = events.schema
-    part_type = schema["part"].dataType
-    by_block = isinstance(part_type, T.StructType)
-    by_time = isinstance(part_type, (T.TimestampType, T.TimestampNTZType))
-    if by_block:
-        hot = hot_keys(events, SESSION, hot_after)
-        chunk = "part"
-    else:
-        bounds = ["min(part) AS low", "max(part) AS high", "count(part) AS n_placed"]
-        hot = hot_keys(events, SESSION, hot_after, *map(F.expr, bounds))
-        at, low, high = (_clock(column, part_type) for column in ("part", "low", "high"))
-        step = f"floor(({at} - {low}) * ceil(n_rows / {chunk_rows}) / ({high} - {low} + 1))"
-        # Events without a place come first in their session, so their chunk does too.
-        chunk = f"coalesce({step}, -1)"
-    kept = [*schema.names, f"IF(n_rows IS NULL, NULL, {chunk}) AS chunk"]
+    if hot_after >= NEVER:
+        return events, None
+    known = session_sizes(events, hot_after) if sizes is None else sizes
+    hot = largest(known.where(F.col("n_rows") > hot_after), SESSION, "n_rows", hot_after)
+    if not hot.take(1):
+        return events, None
+    bounded = _chunk_bounds(events, hot, chunk_rows)
+    chunk = f"IF(n_rows IS NULL, NULL, coalesce({number_below('bounds', 'struct(part, pos)')}, 0))"
+    kept = [*events.columns, f"{chunk} AS chunk"]
     if with_start:
+        # The first event is in the first chunk, so few rows are left to this aggregate.
+        first = events.join(F.broadcast(bounded), SESSION).where(
+            "bounds IS NULL OR struct(part, pos) < bounds[0]"
+        )
+        starts = first.groupBy(*SESSION).agg(F.expr("min_by(ts, struct(part, pos)) AS start_ts"))
+        bounded = bounded.join(starts, SESSION, "left")
         kept.append("start_ts")
-        if by_time:
-            time = schema["ts"].dataType.simpleString()
-            first = f"IF(n_placed = n_rows, CAST(low AS {time}), NULL) AS start_ts"
-            hot = hot.selectExpr("*", first)
-        else:
-            hot = hot.join(_session_starts(events, hot, by_block), SESSION, "left")
-    hot = F.broadcast(hot)
+    bounded = F.broadcast(bounded)
     return (
-        events.join(hot, SESSION, "left").selectExpr(*kept),
-        events.join(hot, SESSION).selectExpr(*kept),
+        events.join(bounded, SESSION, "left").selectExpr(*kept),
+        events.join(bounded, SESSION).selectExpr(*kept),
     )

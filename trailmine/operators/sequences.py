@@ -21,10 +21,13 @@ from pyspark.sql import functions as F
 from trailmine.operators.hot import CHUNK, SESSION, split_hot_sessions
 
 
-def _look_back(events: DataFrame, keys: list[str], longest: int, *columns: str) -> DataFrame:
+def _look_back(
+    events: DataFrame, keys: list[str], chunk: str, longest: int, *columns: str
+) -> DataFrame:
     """Unit, session, ``recent`` (this event and the up to ``longest - 1`` before), ``columns``."""
     recent = (
-        f"collect_list(struct(is_search, label, chunk)) OVER (PARTITION BY {', '.join(keys)} "
+        f"collect_list(struct(is_search, label, {chunk} AS chunk)) "
+        f"OVER (PARTITION BY {', '.join(keys)} "
         f"ORDER BY part, pos ROWS BETWEEN {longest - 1} PRECEDING AND CURRENT ROW) AS recent"
     )
     return events.selectExpr(*SESSION, recent, *columns)
@@ -46,25 +49,27 @@ def _recent_runs(
     by_hour: bool,
     hot_after: int | None,
     chunk_rows: int | None,
+    sizes: DataFrame | None,
 ) -> DataFrame:
     """Runs of events ending at each event, as ``expand`` picks them from ``recent``.
 
     ``expand`` adds ``run``, an array of events, to a DataFrame with ``recent``.
     """
-    spread, hot = split_hot_sessions(events, hot_after, chunk_rows, with_start=by_hour)
+    spread, hot = split_hot_sessions(events, hot_after, chunk_rows, by_hour, sizes)
+    keys, chunk = (SESSION, "NULL") if hot is None else (CHUNK, "chunk")
     start, hour = [], []
     if by_hour:
         first = (
-            f"first(ts) OVER (PARTITION BY {', '.join(CHUNK)} ORDER BY part, pos "
+            f"first(ts) OVER (PARTITION BY {', '.join(keys)} ORDER BY part, pos "
             "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
         )
-        start = [f"hour(IF(chunk IS NULL, {first}, start_ts)) AS hour"]
+        start = [f"hour({first if hot is None else f'IF(chunk IS NULL, {first}, start_ts)'}) AS hour"]
         hour = ["hour"]
     keep = [*SESSION, *hour, "run"]
-    found = expand(_look_back(spread, CHUNK, longest, *start)).select(*keep)
-    if longest > 1:
+    found = expand(_look_back(spread, keys, chunk, longest, *start)).select(*keep)
+    if longest > 1 and hot is not None:
         start = ["hour(start_ts) AS hour"] if by_hour else []
-        ends = expand(_look_back(_chunk_ends(hot, longest), SESSION, longest, *start))
+        ends = expand(_look_back(_chunk_ends(hot, longest), SESSION, chunk, longest, *start))
         crossing = ends.where("run[0].chunk < element_at(run, -1).chunk")
         found = found.unionAll(crossing.select(*keep))
     return found.where("hour IS NOT NULL") if by_hour else found
@@ -77,6 +82,7 @@ def anchored_sequences(
     by_hour: bool = False,
     hot_after: int | None = None,
     chunk_rows: int | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Every search with the next topics, ``min_seq`` to ``longest`` events, uninterrupted.
 
@@ -90,7 +96,7 @@ def anchored_sequences(
         known = df.selectExpr("*", f"coalesce({', '.join(back)}) AS n").where(f"n >= {min_seq}")
         return known.selectExpr("*", "slice(recent, -n, n) AS run")
 
-    runs = _recent_runs(events, longest, expand, by_hour, hot_after, chunk_rows)
+    runs = _recent_runs(events, longest, expand, by_hour, hot_after, chunk_rows, sizes)
     labelled = runs.selectExpr(*SESSION, *(["hour"] if by_hour else []), "run.label AS labels")
     return _query_and_topics(labelled, longest)
 
@@ -115,6 +121,7 @@ def session_ngrams(
     by_hour: bool = False,
     hot_after: int | None = None,
     chunk_rows: int | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Every run of ``min_seq`` to ``longest`` consecutive events of a session.
 
@@ -130,7 +137,7 @@ def session_ngrams(
     def expand(df: DataFrame) -> DataFrame:
         return df.selectExpr("*", f"explode(array_compact(array({', '.join(runs)}))) AS run")
 
-    found = _recent_runs(events, longest, expand, by_hour, hot_after, chunk_rows)
+    found = _recent_runs(events, longest, expand, by_hour, hot_after, chunk_rows, sizes)
     return found.selectExpr(
         *SESSION,
         *(["hour"] if by_hour else []),
