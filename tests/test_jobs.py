@@ -159,10 +159,17 @@ def test_rows_are_parsed_once_for_all_jobs(spark, params, tmp_path):
     assert '"sequenceCount":6' in lines_of(f"{plain.job_folder}/processed/len=2")[0]
     assert '"sequenceCount":6' in lines_of(f"{by_hour.job_folder}/processed/len=2")[0]
     parsed = logs.read_log(spark, plain.raw_folder)
-    kept = logs.read_stored_rows(spark, rows_folder).select(*parsed.columns)
-    assert kept.exceptAll(parsed).count() == 0
+    kept = logs.read_stored_rows(spark, rows_folder)
+    # Places are numbers in stored rows; within a unit they give the same order.
+    place = [c for c in parsed.columns if c != "part"]
+    assert kept.select(place).exceptAll(parsed.select(place)).count() == 0
     assert parsed.count() == kept.count()
 
+    def in_order(rows):
+        return [tuple(r) for r in rows.orderBy("unit", "part", "pos").select(place).collect()]
+
+    assert in_order(kept) == in_order(parsed)
+
 
 def test_empty_log(spark, params, write_log):
     settings = params()
@@ -357,3 +364,138 @@ def test_filtered_log_keeps_order_over_blocks(spark, write_log, tmp_path):
     assert len(text_files(output)) > 1
     ordered = ordered_events(label_events(logs.read_log(spark, output))).orderBy("place")
     assert [r["label"] for r in ordered.collect()] == titles
+
+
+def statistics(settings, phase):
+    found = [json.loads(line) for line in lines_of(f"{settings.job_folder}/statistics/phase={phase}")]
+    return {r["stage"]: r["n"] for r in found}
+
+
+def test_numbers_of_a_run_are_written(spark, params):
+    settings = params()
+    run(spark, settings)
+    stored = read_counts(spark, f"{settings.job_folder}/preprocessed")
+    # The log has 6 searches, 14 topic views, three headers and a short line.
+    assert statistics(settings, "preprocess") == {
+        "rows": 20, "sessions": 6, "sessions_without_hour": 0, "counted": stored.count()}
+    merged = merge_counts(stored)
+    want = {"len_2": merged.where("len = 2").count(), "len_3": merged.where("len = 3").count()}
+    numbers = statistics(settings, "process")
+    assert {k: v for k, v in numbers.items() if k in want} == want
+    assert numbers["len_2_sequences"] == 1 and numbers["len_2_above_100"] == 0
+    assert set(numbers) >= {"len_4", "len_4_sequences", "len_4_above_1000"}
+
+
+def test_sessions_without_hour_are_counted_in_a_run(spark, write_log, tmp_path):
+    def at(session, time):
+        return [search(session, "q", time), topic(session, "A", time), topic(session, "B", time)]
+
+    raw = write_log({"20110101.txt": at("S1", "2011-01-01 09:00:00") + at("S2", "soon")}, "odd")
+    settings = SequenceParams("SearchTopicsByHour", raw_folder=raw, min_unit_support=1,
+                              results_folder=str(tmp_path / "odd-results"))
+    run(spark, settings)
+    found = statistics(settings, "preprocess")
+    assert (found["sessions"], found["sessions_without_hour"]) == (2, 1)
+
+
+def test_sessions_split_by_a_threshold(spark, write_log, tmp_path):
+    """A search and the topics an hour later are one session, or two."""
+    raw = write_log({"20110101.txt": [
+        search("S", "q", "2011-01-01 09:00:00"), topic("S", "A", "2011-01-01 09:10:00"),
+        topic("S", "B", "2011-01-01 10:10:01"), topic("S", "C", "2011-01-01 10:20:00"),
+        search("S", "r", "2011-01-01 10:21:00"), topic("S", "D", "2011-01-01 10:22:00"),
+        topic("S", "E", "2011-01-01 10:23:00")]}, "gaps")
+    sequences = {}
+    for action in ("SearchTopics", "SearchTopicsByHour"):
+        for threshold in (None, 3600, 3601):
+            settings = SequenceParams(
+                action, min_seq=1, max_seq=4, raw_folder=raw, min_unit_support=1,
+                session_threshold=threshold, results_folder=str(tmp_path / f"gap-{threshold}"))
+            run(spark, settings)
+            stored = spark.read.parquet(f"{settings.job_folder}/preprocessed")
+            sequences[action, threshold] = sorted(
+                (r["query"], "".join(r["topics"])) for r in stored.collect())
+        assert ("q", "ABC") in sequences[action, None] == sequences[action, 3601]
+        assert ("q", "AB") not in sequences[action, 3600]
+        assert ("r", "DE") in sequences[action, 3600]
+    with pytest.raises(ValueError, match="session_threshold"):
+        SequenceParams(session_threshold=0)
+
+
+def test_threshold_gives_the_same_for_hot_sessions(spark, params, monkeypatch, tmp_path):
+    titles = [topic("S", f"t{i % 5}", f"2011-01-01 {i // 60:02}:{i % 60:02}:00") for i in range(200)]
+    searches = [search("S", "q", "2011-01-01 01:00:00")] + titles[:3]
+    raw = str(tmp_path / "hot-raw")
+    Path(raw).mkdir()
+    Path(f"{raw}/20110101.txt").write_text("\n".join(searches + titles[70:90] + searches))
+    found = []
+    for hot_after in (jobs.hot.HOT_AFTER, 5):
+        monkeypatch.setattr(jobs.hot, "HOT_AFTER", hot_after)
+        monkeypatch.setattr(jobs.hot, "CHUNK_ROWS", 4)
+        settings = params(session_threshold=60, min_unit_support=1)
+        settings = SequenceParams(**{**settings.__dict__, "raw_folder": raw})
+        log = logs.read_log(spark, raw)
+        found.append(sorted(map(repr, jobs.count_rows(log, settings).collect())))
+    assert found[0] == found[1] and found[0]
+
+
+def test_units_without_rows_are_done(spark, params, write_log, monkeypatch):
+    settings = params()
+    write_log({"20110401.txt": [HEADER]})
+    run(spark, settings)
+    folder = f"{settings.job_folder}/preprocessed"
+    assert stored_units(spark, folder) == ["201101", "201102", "201104"]
+    # A second run does not come as far as to count.
+    monkeypatch.setattr(jobs, "write_by_unit", None)
+    jobs.preprocess(spark, settings)
+
+
+def test_rows_are_stored_without_exchange(spark, params, tmp_path, monkeypatch):
+    settings, plans = params(), []
+    real = jobs.store_rows
+
+    def keep(rows, folder):
+        plans.append(rows._jdf.queryExecution().toString())
+        real(rows, folder)
+
+    monkeypatch.setattr(jobs, "store_rows", keep)
+    folder = str(tmp_path / "rows")
+    jobs.store_log(spark, settings.raw_folder, folder)
+    assert plans and "Exchange hash" not in plans[0] and "Exchange range" not in plans[0]
+    assert stored_units(spark, folder) == ["201101", "201102"]
+    jobs.store_log(spark, settings.raw_folder, folder)
+    assert len(plans) == 1
+    monkeypatch.setattr(jobs, "SIZES_ABOVE", 1)
+    again = str(tmp_path / "sized")
+    jobs.store_log(spark, settings.raw_folder, again)
+    sizes = logs.read_session_sizes(spark, again)
+    assert sorted(r["n_rows"] for r in sizes.collect()) == [3, 3, 3, 3, 4, 4]
+
+
+def test_stored_sizes_spare_the_count(spark, params, tmp_path):
+    settings = params()
+    folder = str(tmp_path / "rows")
+    jobs.store_log(spark, settings.raw_folder, folder)
+    rows = logs.read_stored_rows(spark, folder)
+    plan = jobs.count_rows(rows, settings, sizes=logs.read_session_sizes(spark, folder))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_filtered_log_is_written_as_scanned(spark, write_log, tmp_path, monkeypatch):
+    raw = write_log({"20110101.txt": [topic("S", f"t{i}") for i in range(20)], "20110103.txt": ["S"]})
+    lists = write_log({"2011/c20110101.txt": ["S"], "2011/c20110102.txt": ["S"]}, "lists")
+    plans, real, contents = [], jobs.write_filtered_log, []
+
+    def keep(lines, folder, as_scanned):
+        plans.append((as_scanned, lines._jdf.queryExecution().toString()))
+        real(lines, folder, as_scanned=as_scanned)
+
+    monkeypatch.setattr(jobs, "write_filtered_log", keep)
+    for limit in (jobs.MAX_LISTED, 0):
+        monkeypatch.setattr(jobs, "MAX_LISTED", limit)
+        output = str(tmp_path / f"filtered-{limit}")
+        jobs.filter_log(spark, lists, raw, output, years=["2011"])
+        contents.append(lines_of(f"{output}/raw_file=20110101.txt"))
+        assert [p.name for p in Path(output).glob("raw_file=*")] == ["raw_file=20110101.txt"]
+    assert contents[0] == contents[1] == [topic("S", f"t{i}") for i in range(20)]
+    assert plans[0][0] and "Exchange range" not in plans[0][1] and "Exchange hash" not in plans[0][1]

@@ -9,7 +9,7 @@ the one sorted list.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from trailmine.operators.hot import MAX_HOT
@@ -42,12 +42,32 @@ def top_k(totals: DataFrame, k: int) -> DataFrame:
     return totals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def report_rows(merged: DataFrame, params: SequenceParams) -> DataFrame:
+def observe_totals(
+    totals: DataFrame, params: SequenceParams, stats: Observation
+) -> DataFrame:
+    """Observes, for each length, the entries, the sequences and those above each band."""
+    metrics = []
+    for n in range(params.min_seq, params.max_seq):
+        mine = F.col("len") == n
+        metrics += [
+            F.coalesce(F.sum(F.when(mine, F.col("n_queries"))), F.lit(0)).alias(f"len_{n}"),
+            F.count_if(mine).alias(f"len_{n}_sequences"),
+            *[F.count_if(mine & (F.col("total") > b)).alias(f"len_{n}_above_{b}") for b in BANDS],
+        ]
+    return totals.observe(stats, *metrics)
+
+
+def report_rows(
+    merged: DataFrame, params: SequenceParams, stats: Observation | None = None
+) -> DataFrame:
     """The report, one row for each query (and hour) of a ranked sequence.
 
     ``len, rank, total, n_queries, topics, query, [hour,] n``
     """
-    winners = top_k(sequence_totals(merged, params), params.results_limit)
+    totals = sequence_totals(merged, params)
+    if stats is not None:
+        totals = observe_totals(totals, params, stats)
+    winners = top_k(totals, params.results_limit)
     if params.results_limit * (params.max_seq - params.min_seq) <= MAX_HOT:
         winners = F.broadcast(winners)
     return in_report(merged, params).join(winners, SEQUENCE).select(

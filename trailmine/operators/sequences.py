@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from trailmine.operators.hot import CHUNK, SESSION, split_hot_sessions
@@ -50,10 +50,12 @@ def _recent_runs(
     hot_after: int | None,
     chunk_rows: int | None,
     sizes: DataFrame | None,
+    stats: Observation | None,
 ) -> DataFrame:
     """Runs of events ending at each event, as ``expand`` picks them from ``recent``.
 
-    ``expand`` adds ``run``, an array of events, to a DataFrame with ``recent``.
+    ``expand`` adds ``run``, an array of events, to a DataFrame with ``recent``.  ``stats`` observes
+    the number of sessions and of those without an hour.
     """
     spread, hot = split_hot_sessions(events, hot_after, chunk_rows, by_hour, sizes)
     keys, chunk = (SESSION, "NULL") if hot is None else (CHUNK, "chunk")
@@ -66,7 +68,16 @@ def _recent_runs(
         start = [f"hour({first if hot is None else f'IF(chunk IS NULL, {first}, start_ts)'}) AS hour"]
         hour = ["hour"]
     keep = [*SESSION, *hour, "run"]
-    found = expand(_look_back(spread, keys, chunk, longest, *start)).select(*keep)
+    looked = _look_back(spread, keys, chunk, longest, *start)
+    if stats is not None:
+        # Only the first event of a session looks back at nothing but itself.
+        first = "size(recent) = 1 AND coalesce(recent[0].chunk, 0) = 0"
+        lost = f"{first} AND hour IS NULL" if by_hour else "false"
+        looked = looked.observe(
+            stats, F.expr(f"count_if({first}) AS sessions"),
+            F.expr(f"count_if({lost}) AS sessions_without_hour"),
+        )
+    found = expand(looked).select(*keep)
     if longest > 1 and hot is not None:
         start = ["hour(start_ts) AS hour"] if by_hour else []
         ends = expand(_look_back(_chunk_ends(hot, longest), SESSION, chunk, longest, *start))
@@ -83,6 +94,7 @@ def anchored_sequences(
     hot_after: int | None = None,
     chunk_rows: int | None = None,
     sizes: DataFrame | None = None,
+    stats: Observation | None = None,
 ) -> DataFrame:
     """Every search with the next topics, ``min_seq`` to ``longest`` events, uninterrupted.
 
@@ -96,7 +108,7 @@ def anchored_sequences(
         known = df.selectExpr("*", f"coalesce({', '.join(back)}) AS n").where(f"n >= {min_seq}")
         return known.selectExpr("*", "slice(recent, -n, n) AS run")
 
-    runs = _recent_runs(events, longest, expand, by_hour, hot_after, chunk_rows, sizes)
+    runs = _recent_runs(events, longest, expand, by_hour, hot_after, chunk_rows, sizes, stats)
     labelled = runs.selectExpr(*SESSION, *(["hour"] if by_hour else []), "run.label AS labels")
     return _query_and_topics(labelled, longest)
 
@@ -122,6 +134,7 @@ def session_ngrams(
     hot_after: int | None = None,
     chunk_rows: int | None = None,
     sizes: DataFrame | None = None,
+    stats: Observation | None = None,
 ) -> DataFrame:
     """Every run of ``min_seq`` to ``longest`` consecutive events of a session.
 
@@ -137,7 +150,7 @@ def session_ngrams(
     def expand(df: DataFrame) -> DataFrame:
         return df.selectExpr("*", f"explode(array_compact(array({', '.join(runs)}))) AS run")
 
-    found = _recent_runs(events, longest, expand, by_hour, hot_after, chunk_rows, sizes)
+    found = _recent_runs(events, longest, expand, by_hour, hot_after, chunk_rows, sizes, stats)
     return found.selectExpr(
         *SESSION,
         *(["hour"] if by_hour else []),

@@ -14,7 +14,8 @@ class SequenceParams:
     ``min_seq`` and ``max_seq`` bound the windows counted in the first phase; a window holds the
     search query and its topics.  Reports show sequences of ``min_seq`` to ``max_seq - 1`` topics.
     ``window_max`` overrides the longest window; left unset it is ``max_seq``, or ``max_seq + 1``
-    when counting by hour.  ``keep_tags`` leaves the marks of searches and topics in text reports.
+    when counting by hour.  ``session_threshold``, in seconds, starts a new session where two events
+    are further apart; unset, sessions are those of the log.  ``keep_tags`` leaves the marks of searches and topics in text reports.
     """
 
     action: str = "SearchTopics"
@@ -27,6 +28,7 @@ class SequenceParams:
     window_max: int | None = None
     min_unit_support: int = 2
     keep_tags: bool = False
+    session_threshold: int | None = None
 
     def __post_init__(self) -> None:
         if self.min_seq < 1:
@@ -37,6 +39,8 @@ class SequenceParams:
             raise ValueError("results_limit must be at least 1")
         if self.min_unit_support < 1:
             raise ValueError("min_unit_support must be at least 1")
+        if self.session_threshold is not None and self.session_threshold < 1:
+            raise ValueError("session_threshold must be at least 1")
         if self.window_max is not None and self.window_max < self.min_seq:
             raise ValueError("window_max must not be below min_seq")
         if self.output_type not in OUTPUT_TYPES:

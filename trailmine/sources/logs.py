@@ -12,14 +12,19 @@ the file name.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from trailmine.functions import text
 
 UNIT_CHARS = 6
+# Below stored rows: sizes of large sessions.  Spark does not read names with a line in front as rows.
+SIZES = "_session_sizes"
 # Folder level written by `sinks.logs.write_filtered_log`, one folder for each original file.
 RAW_FILE = "raw_file"
 
@@ -29,6 +34,14 @@ ROW_SCHEMA = (
 )
 
 
+# A place in stored rows is one number: of the file in its unit, and of the block's first byte in
+# files of up to 16 TiB.
+BLOCK_BITS = 44
+STORED_SCHEMA = ROW_SCHEMA.replace(
+    "part struct<file: string, piece: string, block: bigint>", "part bigint"
+)
+
+
 def read_lines(
     spark: SparkSession,
     path: str | list[str],
@@ -43,7 +56,7 @@ def read_lines(
     """
     scan = spark.read.option("pathGlobFilter", "*.txt").text(path)
     if RAW_FILE in scan.columns:
-        raw_file, piece = F.col(RAW_FILE).cast("string"), F.col("_metadata.file_name")
+        raw_file, piece = F.col(RAW_FILE).cast("string"), _piece(F.col("_metadata.file_name"))
     else:
         raw_file, piece = F.col("_metadata.file_name"), F.lit("")
     unit = F.substring(raw_file, 1, UNIT_CHARS)
@@ -64,6 +77,59 @@ def read_lines(
     )
 
 
+def _piece(name: Column) -> Column:
+    """The name of a part file with the number of its task in as many digits as any has."""
+    number = F.lpad(F.regexp_extract(name, r"^part-(\d+)", 1), 10, "0")
+    return F.concat(number, F.lit("-"), name)
+
+
+def log_files(spark: SparkSession, path: str | list[str]) -> list[tuple[str, str]]:
+    """Names of raw files below ``path`` with the part files of filtered logs, from listing alone."""
+    try:
+        paths = spark.read.option("pathGlobFilter", "*.txt").text(path).inputFiles()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+    found = []
+    for folder, name in (unquote(p).rsplit("/", 2)[1:] for p in paths):
+        filtered = folder.startswith(f"{RAW_FILE}=")
+        found.append((folder.split("=", 1)[1], name) if filtered else (name, ""))
+    return found
+
+
+def log_units(spark: SparkSession, path: str | list[str]) -> list[str]:
+    return sorted({raw_file[:UNIT_CHARS] for raw_file, _ in log_files(spark, path)})
+
+
+def with_numbered_parts(
+    spark: SparkSession, rows: DataFrame, files: list[tuple[str, str]]
+) -> DataFrame:
+    """Rows with ``part`` as one number instead of names, in the same order within a unit.
+
+    ``files`` are those of `log_files`; they are listed anyway, and the list is broadcast.
+    """
+    numbers, at = [], {}
+    for raw_file, name in sorted(files, key=lambda f: (f[0], _piece_key(f[1]))):
+        unit = raw_file[:UNIT_CHARS]
+        at[unit] = at.get(unit, -1) + 1
+        numbers.append((raw_file, _piece_key(name), at[unit]))
+    table = spark.createDataFrame(numbers, "_file string, _piece string, _number bigint")
+    known = (F.col("part.file") == F.col("_file")) & (F.col("part.piece") == F.col("_piece"))
+    part = F.shiftleft("_number", BLOCK_BITS).bitwiseOR(F.col("part.block"))
+    return rows.join(F.broadcast(table), known).select(
+        *[part.alias("part") if c == "part" else F.col(c) for c in rows.columns]
+    )
+
+
+def _piece_key(name: str) -> str:
+    """What `_piece` makes of a name."""
+    if not name:
+        return ""
+    found = re.match(r"part-(\d+)", name)
+    return f"{found[1][:10].rjust(10, '0') if found else '0' * 10}-{name}"
+
+
 def number_lines(lines: DataFrame, *columns: Column) -> DataFrame:
     """Lines with the given columns, their ``fields``, and ``pos``, which rises within a task.
 
@@ -115,4 +181,11 @@ def session_ids(lines: DataFrame) -> DataFrame:
 
 def read_stored_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Rows kept as Parquet by `sinks.logs.store_rows`."""
-    return spark.read.schema(ROW_SCHEMA).parquet(folder)
+    return spark.read.schema(STORED_SCHEMA).parquet(folder)
+
+
+def read_session_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes of the large sessions of rows kept by `sinks.logs.store_rows`."""
+    return spark.read.schema("unit string, session_id string, n_rows bigint").parquet(
+        f"{folder.rstrip('/')}/{SIZES}"
+    )
