@@ -8,7 +8,7 @@ import pytest
 from conftest import HEADER, search, topic
 
 from trailmine import JOBS, Job, SequenceParams, run
-from trailmine.functions.formats import counts_lines
+from trailmine.functions.formats import JSON_FIELDS, counts_lines
 from trailmine.operators import reports
 from trailmine.operators.counts import merge_counts
 from trailmine.operators.events import label_events, ordered_events
@@ -308,7 +308,9 @@ def test_long_lists_are_split_and_whole(spark, tmp_path):
     folder = str(tmp_path / "json")
     write_json_report(report, folder, list_limit=100)
     objects = [json.loads(line) for line in lines_of(f"{folder}/len=2")]
-    assert "part" not in next(o for o in objects if o["sequence"] == ["c", "d"])
+    [short] = [o for o in objects if o["sequence"] == ["c", "d"]]
+    assert (short["part"], short["parts"]) == (1, 1)
+    assert all(list(o) == JSON_FIELDS for o in objects)
     assert sum(len(o["searchQueries"]) for o in objects) == 1000
 
 

@@ -39,7 +39,7 @@ def test_query_equals_oracle(spark, con, name):
 
 def test_entry(spark):
     result = entry_points.entry(spark)
-    assert result.columns == ["len", "rank", "total", "topics", "queries"]
+    assert result.columns == ["len", "rank", "total", "topics", "part", "parts", "queries"]
     assert result.count() > 0
 
 

@@ -79,7 +79,7 @@ LINE_ORDER = ["len", "rank", "section", "down", "query", "hour"]
 def report_json(lists: DataFrame) -> DataFrame:
     """`operators.reports.report_lists` as columns of the JSON report.
 
-    ``part`` and ``parts`` are NULL, and so left out of the text, unless a list is split.
+    Every object has ``part`` and ``parts``, whatever the length of its list.
     """
     by_hour = "hour" in lists.schema["queries"].dataType.elementType.fieldNames()
 
@@ -87,16 +87,16 @@ def report_json(lists: DataFrame) -> DataFrame:
         hour = [q["hour"].alias("hour")] if by_hour else []
         return F.struct(q["query"].alias("query"), q["n"].alias("count"), *hour)
 
-    split = F.col("parts") > 1
     return lists.select(
         "len",
         "rank",
         F.col("total").alias("sequenceCount"),
         F.col("topics").alias("sequence"),
         F.transform("queries", entry).alias("searchQueries"),
-        F.when(split, F.col("part")).alias("part"),
-        F.when(split, F.col("parts")).alias("parts"),
+        "part",
+        "parts",
     )
 
 
+# The fields of a JSON object.
 JSON_FIELDS = ["sequenceCount", "sequence", "searchQueries", "part", "parts"]

@@ -174,14 +174,19 @@ def json_report(hour: bool = False) -> str:
     return through(hour=hour) + f"""
 SELECT len, rank,
        '{{"sequenceCount":' || total || ',"sequence":["' || array_to_string(topics, '","')
-       || '"],"searchQueries":[' || string_agg({entry}, ',' ORDER BY {order}) || ']}}' AS line
+       || '"],"searchQueries":[' || string_agg({entry}, ',' ORDER BY {order})
+       || '],"part":1,"parts":1}}' AS line
 FROM report GROUP BY len, rank, total, topics"""
 
 
 def oracle_sql() -> dict[str, str]:
     counts = f"SELECT unit, query, {topics()}, n FROM counted"
     hour_counts = f"SELECT unit, session_hour, query, {topics()}, n FROM counted"
-    ranked = f"SELECT len, rank, total, {topics()}, queries FROM ranked"
+    ranked = f"SELECT len, rank, total, {topics()}, 1 AS part, 1 AS parts, queries FROM ranked"
+    rollup = f"SELECT len, total, {topics()}, 1 AS part, 1 AS parts, queries FROM rolled"
+    # Queries `…_in_parts` cut lists of more than two.
+    split = "len(string_split(queries, '|')) > 2 AS split"
+    joined = f"SELECT len, rank, total, {topics()}, {split}, queries FROM ranked"
     ordered = "SELECT unit, session_id, place, is_search, label FROM placed"
     ngrams = f"""
 SELECT unit, array_to_string(items, {ARROW}) AS items, count(*) AS n
@@ -194,7 +199,16 @@ SELECT unit, {0} || '\t' || array_to_string(list_transform(topics, lambda x: 't_
     apart = """
 apart AS (
   SELECT * REPLACE (CAST(session_id AS VARCHAR) || '#' || sub_session AS session_id) FROM gaps)"""
+    short = "format('{}-{}-{} {}:{}:{}', year(ts), month(ts), day(ts), hour(ts), minute(ts), second(ts))"
+    full = "strftime(ts, '%Y-%m-%d %H:%M:%S')"
     return {
+        "parsed_times": f"""
+SELECT event_id,
+       CASE event_id % 6 WHEN 0 THEN {full} WHEN 1 THEN {short} WHEN 2 THEN {full} || '.25'
+            WHEN 3 THEN {short} || ' CET' WHEN 4 THEN strftime(ts, '%Y-%m-%d') ELSE 'soon' END
+         AS written,
+       CASE WHEN event_id % 6 < 4 THEN {full} END AS time_text
+FROM events""",
         "label_events": with_events() + """
 SELECT unit, session_id, event_id, is_search, label,
        strftime(ts, '%Y-%m-%d %H:%M:%S') AS time_text FROM labelled""",
@@ -226,13 +240,19 @@ GROUP BY unit""",
         "merged_counts": through() + f"SELECT query, {topics()}, n FROM merged",
         "merged_counts_by_hour": through(hour=True)
         + f"SELECT session_hour, query, {topics()}, n FROM merged",
-        "topic_rollup": through() + f"SELECT len, total, {topics()}, queries FROM rolled",
-        "topic_rollup_by_hour": through(hour=True)
-        + f"SELECT len, total, {topics()}, queries FROM rolled",
+        "topic_rollup": through() + rollup,
+        "topic_rollup_by_hour": through(hour=True) + rollup,
+        "topic_rollup_in_parts": through()
+        + f"SELECT len, total, {topics()}, {split}, queries FROM rolled",
         "search_topics": through() + ranked,
         "search_topics_by_hour": through(hour=True) + ranked,
         "search_topics_exact": through(support=1) + ranked,
         "search_topics_split": through() + ranked,
+        "search_topics_in_parts": through() + joined,
+        "search_topics_by_hour_in_parts": through(hour=True) + joined,
+        "search_topics_threshold": "WITH"
+        + ",".join([EVENTS, GAPS, apart, found(source="apart"), counted(), merged(), rolled()])
+        + ranked,
         "search_topics_rows": through()
         + f"SELECT len, rank, total, {topics()}, query, n FROM report",
         "support_bands": through() + """

@@ -7,6 +7,7 @@ joined to text at the end, only to make results easy to compare.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,9 @@ GAP_SECONDS = 6 * 3600
 # this many events, to show that splitting leaves results alone.
 SPLIT = {"hot_after": 10, "chunk_rows": 4}
 
+# Queries in a part of a list in the queries named `…_in_parts`.
+PART_ENTRIES = 2
+
 ARROW = formats.ARROW
 
 
@@ -64,7 +68,19 @@ def _report(
 
 def _ranked(rows: DataFrame) -> DataFrame:
     lists = reports.report_lists(rows)
-    return lists.select("len", "rank", "total", _topics(), _queries("hour" in rows.columns))
+    shown = _queries("hour" in rows.columns)
+    return lists.select("len", "rank", "total", _topics(), "part", "parts", shown)
+
+
+def _joined(lists: DataFrame, by_hour: bool) -> DataFrame:
+    """Lists cut into parts, put together again in the order of the parts."""
+    keys = [c for c in ("len", "rank", "total", "topics") if c in lists.columns]
+    parts = F.array_sort(F.collect_list(F.struct("part", "queries")))
+    whole = lists.groupBy(*keys).agg(F.flatten(F.transform(parts, lambda p: p["queries"])).alias(
+        "queries"), (F.max("parts") > 1).alias("split"))
+    return whole.select(
+        *[c for c in keys if c != "topics"], _topics(), "split", _queries(by_hour)
+    )
 
 
 def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +233,7 @@ def merged_counts_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rollup(spark: SparkSession, sf_dir: str, by_hour: bool) -> DataFrame:
     rolled = reports.rollup(merge_counts(_counted(spark, sf_dir, by_hour)), PARAMS)
-    return rolled.select("len", "total", _topics(), _queries(by_hour))
+    return rolled.select("len", "total", _topics(), "part", "parts", _queries(by_hour))
 
 
 def topic_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,6 +261,46 @@ def search_topics_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(report_counts(count_sequences(found), PARAMS))
 
 
+def search_topics_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of more than two queries are cut; their parts in order are the whole list."""
+    return _joined(reports.report_lists(_report(spark, sf_dir), PART_ENTRIES), by_hour=False)
+
+
+def search_topics_by_hour_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = reports.report_lists(_report(spark, sf_dir, by_hour=True), PART_ENTRIES)
+    return _joined(lists, by_hour=True)
+
+
+def topic_rollup_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = merge_counts(_counted(spark, sf_dir))
+    return _joined(reports.rollup(merged, PARAMS, PART_ENTRIES), by_hour=False)
+
+
+def search_topics_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions begin anew after a gap, as set for a job."""
+    return _ranked(_report(spark, sf_dir, params=replace(PARAMS, session_threshold=GAP_SECONDS)))
+
+
+def parsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of a log in forms of several widths, some of which cannot be read."""
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    month, day, hour, minute, second = (
+        f(F.col("ts")) for f in (F.month, F.day, F.hour, F.minute, F.second)
+    )
+    short = F.format_string("%d-%d-%d %d:%d:%d", F.year("ts"), month, day, hour, minute, second)
+    full = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    form = F.col("event_id") % 6
+    written = (
+        F.when(form == 0, full).when(form == 1, short)
+        .when(form == 2, F.concat(full, F.lit(".25"))).when(form == 3, F.concat(short, F.lit(" CET")))
+        .when(form == 4, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.lit("soon"))
+    )
+    time = text.parse_time(F.col("written"))
+    return table.select("event_id", written.alias("written")).select(
+        "event_id", "written", F.date_format(time, "yyyy-MM-dd HH:mm:ss").alias("time_text")
+    )
+
+
 def search_topics_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(spark, sf_dir).select("len", "rank", "total", _topics(), "query", "n")
 
@@ -376,6 +432,7 @@ def counts_from_lines_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     label_events,
     parsed_log,
+    parsed_times,
     log_sessions,
     session_hour,
     sessions_without_hour,
@@ -393,10 +450,14 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     merged_counts_by_hour,
     topic_rollup,
     topic_rollup_by_hour,
+    topic_rollup_in_parts,
     search_topics,
     search_topics_by_hour,
     search_topics_exact,
     search_topics_split,
+    search_topics_in_parts,
+    search_topics_by_hour_in_parts,
+    search_topics_threshold,
     search_topics_rows,
     support_bands,
     row_counts,
