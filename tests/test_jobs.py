@@ -61,6 +61,8 @@ def test_search_topics_json(spark, params):
         "sequenceCount": 6,
         "sequence": ["a", "b"],
         "searchQueries": [{"query": "q", "count": 4}, {"query": "r", "count": 2}],
+        "part": 1,
+        "parts": 1,
     }
     [three] = lines_of(f"{folder}/len=3")
     assert json.loads(three)["sequence"] == ["a", "b", "c"]
