@@ -8,6 +8,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from trailmine.llm import (
     ann,
@@ -572,3 +573,54 @@ def test_surrogates_of_further_mentions(spark):
     assert {names[i] for i in (3, 5, 6, 7)} == {last} and got[3] == f"Mr. {last}"
     secret = re.fullmatch(r"password: (\S+) then (\S+) again, and q7\+xxY9z", got[1])
     assert secret[1] == secret[2] != "q7+x.Y9z" and got[2] == texts[2]
+
+
+def test_nearest_at_any_scale(spark):
+    """Cosines do not depend on the lengths of vectors, however large or small."""
+    draw = np.random.default_rng(12)
+    vectors = draw.normal(size=(300, 8))
+    norms = np.sqrt((vectors**2).sum(axis=1))
+    cosines = vectors @ vectors.T / np.outer(norms, norms)
+    for factors in ([1.0], [1e200], [1e-200], [1.0, 1e200], [1e-300, 1e150, 3.0]):
+        rows = [(i, [float(x) for x in v * factors[i % len(factors)]]) for i, v in enumerate(vectors)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        found = ann.nearest(df, df.where("vec_id % 50 = 0"), 5, cell_rows=64).collect()
+        for q in range(0, 300, 50):
+            want = [i for i in np.argsort(-cosines[q]).tolist() if i != q][:5]
+            got = sorted((r["rank"], r["vec_id"]) for r in found if r["query_id"] == q)
+            assert [v for _, v in got] == want
+
+
+def test_caches_of_other_operators_are_emptied():
+    from trailmine.llm import common
+
+    first, second = {"a": 1}, {"b": 2}
+    common.use_cache("first", first.clear)
+    assert first
+    common.use_cache("second", second.clear)
+    assert not first and second
+    first["c"] = 3
+    common.use_cache("first", first.clear)
+    assert first and not second
+
+
+def test_columns_of_the_mix_query(spark):
+    import os
+
+    from trailmine.llm.queries import op1_mix_sources
+
+    if os.path.exists("/root/testdata/sf0.001"):
+        mix = op1_mix_sources(spark, "/root/testdata/sf0.001")
+        assert mix.columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+def test_toxic_stage_keeps_all_columns(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "toxicity_model", lambda *_: None)
+    monkeypatch.setattr(toxicity, "toxic_score", lambda _, c: F.when(c.isNull(), 0.9).otherwise(0.1))
+    given = docs.withColumn("_score", F.lit("kept"))
+    left = corpus_pipeline.drop_toxic(spark, given, "")
+    assert left.columns == given.columns
+    assert left.count() == given.where("text IS NOT NULL").count()
+    assert {r["_score"] for r in left.collect()} == {"kept"}

@@ -119,10 +119,19 @@ class KdTree:
                 heapq.heappush(heap, (distance(right), right))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times the power of two that brings the largest component of each to one half or more,
+    so that squares neither overflow nor vanish.  Scaling by powers of two rounds nothing that
+    matters to a cosine."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=-1, keepdims=True))
+    return np.ldexp(vectors, -exponent)
+
+
 class CellIndex:
     """The vectors of a cell with the kd-tree of their projections."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: np.ndarray) -> None:
+        vectors = scaled(vectors)
         self.ids, self.vectors = ids, vectors
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
         self.tree = KdTree(projections)
@@ -134,6 +143,7 @@ class CellIndex:
 
         ``worst`` is a squared distance that a result must not exceed, from cells seen before.
         """
+        vector = scaled(vector)
         norm = math.sqrt(float((vector * vector).sum()))
         found: list[tuple[float, object]] = []
         for box, rows in self.tree.leaves(projected):
@@ -242,7 +252,10 @@ def nearest(
     n_cells = 1
     while n_cells < min(MAX_CELLS, n_rows / cell_rows):
         n_cells *= 2
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toPandas()
+    # Rows below a hash first, so that no task hands on much more than its part of the sample.
+    share = min(1.0, 1.5 * SAMPLE / n_rows)
+    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = chosen.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toPandas()
     axes, values, _ = _cells(project(sample["vector"])[1], n_cells)
     low, high = _boxes(axes, values, directions)
 

@@ -43,6 +43,19 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def use_cache(name: str, clear: Callable[[], None]) -> None:
+    """To be called before a cache of this Python worker is used: empties those of other operators.
+
+    Workers live on from one stage to the next, and so would what all of them have cached.
+    """
+    for other in [c for c in _caches if c != name]:
+        _caches.pop(other)()
+    _caches[name] = clear
+
+
 def packed(df: DataFrame, **keys: str) -> DataFrame:
     """All columns as one, ``row``, with copies of some beside it, so no name can clash."""
     return df.select(

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmine.llm.bloom import split_by_keys
-from trailmine.llm.common import packed, settle
+from trailmine.llm.common import packed, settle, use_cache
 from trailmine.llm.components import components
 
 WORDS = 5
@@ -114,6 +114,7 @@ def _first_pass(docs: DataFrame, words: int) -> DataFrame:
     """Rows of documents, ``_id, n, digest``, and of shingle counts, ``shingle, seen``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        use_cache("shingles", _hashes.clear)
         for batch in batches:
             sets = [shingle_set(t, words) for t in batch["_text"]]
             digests = np.array([digest(s) for s in sets], np.int64)
@@ -145,6 +146,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, words:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        use_cache("shingles", _hashes.clear)
         seen: set[int] = set()
         for batch in batches:
             rows = []
@@ -451,6 +453,7 @@ def _broadcast_if_small(df: DataFrame, n_rows: int) -> DataFrame:
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        use_cache("shingles", _hashes.clear)
         for batch in batches:
             sets = [shingle_set(t, words) for t in batch["_text"]]
             out = batch[["_id"]].copy()

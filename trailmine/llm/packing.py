@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmine.llm.common import buckets_for, running_start, settle
+from trailmine.llm.common import buckets_for, running_start, settle, use_cache
 
 CAPACITY = 2048
 END_ID = 0
@@ -114,6 +114,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 def _encoder(path: str) -> WordEncoder:
+    use_cache("tokens", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]

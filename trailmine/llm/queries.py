@@ -44,8 +44,8 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     rows = mix.rows.join(mix.sources.drop("source"), "source_no")
     return rows.join(mixing.taken_words(mix), "row_id", "left").select(
-        F.col("id").alias("doc_id"), "source", "size", "source_size", "target",
-        F.coalesce("taken", F.lit(0)).alias("taken"),
+        F.col("id").alias("doc_id"), "size", "source_size", "target",
+        F.coalesce("taken", F.lit(0)).alias("taken"), "source",
     )
 
 

@@ -12,8 +12,8 @@ count more.  The score of a document is a logistic function of the sum of its hi
 its number of words, and of its strongest hit, fitted on the labelled documents.  Whole texts are
 read, and nothing but the text enters a score.
 
-The model is fitted on at most ``MAX_TRAINING`` labelled documents and has at most ``MAX_TERMS``
-terms, so it has a bounded size and goes to the executors whole.
+The model is fitted on at most ``MAX_TRAINING`` labelled documents, which bound the number of its
+terms too, so it goes to the executors whole.
 
 Defined results: NULL and empty texts have the score of a text without hits; documents without label,
 with a NULL label or NULL id are not learned from; without labels of both kinds the lexicon is empty
@@ -35,10 +35,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmine.llm.common import settle
+from trailmine.llm.common import settle, use_cache
 
 MAX_TRAINING = 20_000
-MAX_TERMS = 2_000
 THRESHOLD = 0.3
 STEM_LENGTHS = range(4, 9)
 # Logarithm of how much more frequent in toxic documents a term, or a word like one, has to be.
@@ -213,6 +212,7 @@ _lexicons: dict[bytes, Lexicon] = {}
 
 def _lexicon(key: bytes, model: Model) -> Lexicon:
     """One for each model and Python worker, so the cache of words outlives a batch."""
+    use_cache("toxicity", _lexicons.clear)
     if key not in _lexicons:
         _lexicons.clear()
         _lexicons[key] = Lexicon(model)
@@ -330,13 +330,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> M
         .groupBy(F.expr("substring(word, 1, size)").alias("term"))
         .agg(F.max("bad").alias("widest"))
     )
-    words = strong.where("kind = 'word'").orderBy(F.desc("ratio"), "term").limit(MAX_TERMS)
+    words = strong.where("kind = 'word'")
     stems = (
         strong.where("kind = 'stem'")
         .join(widest, "term")
         .where("bad >= 1.5 * widest")
-        .orderBy(F.desc("ratio"), "term")
-        .limit(MAX_TERMS)
     )
     # Of stems that begin with one another, the one that tells most.
     chosen: dict[str, float] = {}
