@@ -19,8 +19,7 @@ from trailmine.llm.queries import WORD_TOKENIZER, toxicity_model
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold."""
     model = toxicity_model(spark, docs, sf_dir)
-    scored = docs.withColumn("_score", toxicity.toxic_score(model, F.col("text")))
-    return scored.where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    return docs.where(toxicity.toxic_score(model, F.col("text")) < toxicity.THRESHOLD)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
