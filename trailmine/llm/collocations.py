@@ -4,9 +4,11 @@ All phrases are counted by a trie over word ids, as in a HAT-trie.  Its leaves a
 for a range of prefixes; a container that grows too large bursts into two of smaller ranges.  Phrases
 come in by thousands, so a container merges them as sorted arrays, where a HAT-trie has a hash table.
 When a task's trie holds too much, whole subtrees, the largest first, leave it as sorted runs.  A run
-is one row for each prefix, all words but the last, with the last words and their counts as lists.
-Runs are merged by prefix partition.  Prefixes that begin with one of the most frequent words, of
-which there are at most ``HOT_WORDS``, are dealt to ``SALTS`` partitions by the last word.
+is one row for each prefix partition, that is for a hash of all words but the last: the prefixes, and
+for each the last words and their counts as lists.  Runs are merged by prefix partition.  Prefixes
+that begin with one of the most frequent words, of which there are at most ``HOT_WORDS``, are dealt to
+``SALTS`` partitions by the last word.  There are more partitions where the table is read in more
+tasks, four for each.
 
 The texts are read level by level: words; pairs of words that are frequent; triples whose pairs are;
 longer phrases whose triples are.  A phrase is never more frequent than a part of it, so nothing that
@@ -24,7 +26,7 @@ Defined results: NULL and empty texts and texts of separators have no words; a N
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -43,8 +45,11 @@ HOT_WORDS = 1_000
 HOT = -1  # where their hashes stand beside the filters
 SALTS = 64
 ID_BITS = 21  # of the number of a word in a task
-ROWS = 20_000  # of a batch handed back
-RUN_SCHEMA = "lang string, prefix string, part int, tails array<string>, times array<bigint>"
+ROWS = 500  # of a batch handed back
+RUN_SCHEMA = (
+    "lang string, part bigint, heads array<string>, tails array<array<string>>, "
+    "times array<array<bigint>>"
+)
 
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 64)], np.uint64)
 # Fixed value: what ends a piece.  Everything is mapped to line ends, tabs to spaces, in bytes.
@@ -68,6 +73,8 @@ class Limits:
     word_bytes: int = 64_000_000
     # Of the filter of a level, a multiple of 32,768.
     filter_bits: int = 1 << 26
+    # Prefix partitions of each language; `collocations` takes more for larger tables.
+    parts: int = 1_024
 
 
 class _Container:
@@ -286,34 +293,40 @@ class _Counter:
         ]
         last, first = ids[-1], ids[0]
         hashes = self.known_hashes()
-        langs = np.array(self.lang_numbers)[last]
-        if length == 1:
-            salted = np.ones(len(last), bool)
-            prefix = langs
-        else:
-            salted = np.isin(hashes[first], self.filters[HOT])
-            new = np.ones(len(last), bool)
-            new[1:] = np.any([x[1:] != x[:-1] for x in ids[:-1]], axis=0)
-            prefix = np.cumsum(new)
-        part = np.where(salted, (hashes[last] >> np.uint64(32)) % np.uint64(SALTS), 0)
-        order = np.lexsort((part, prefix))
-        prefix, part = prefix[order], part[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])
-        starts = np.flatnonzero(new)
+        lang = np.array(self.lang_numbers)[last]
+        salt = hashes[last] >> np.uint64(32)
+        head = np.zeros(len(last), np.int64)
+        if length > 1:
+            hot = np.isin(hashes[first], self.filters[HOT])
+            salt = np.where(hot, salt % np.uint64(SALTS), np.uint64(0))
+            for i, x in enumerate(ids[:-1]):
+                salt = salt + hashes[x] * _FACTORS[i]
+            head[1:] = np.cumsum(np.any([x[1:] != x[:-1] for x in ids[:-1]], axis=0))
+        part = ((salt ^ (salt >> np.uint64(29))) % np.uint64(self.limits.parts)).astype(np.int64)
+        order = np.lexsort((head, part, lang))
+        lang, part, head = lang[order], part[order], head[order]
+        outer = np.ones(len(order), bool)
+        outer[1:] = (lang[1:] != lang[:-1]) | (part[1:] != part[:-1])
+        inner = outer.copy()
+        inner[1:] |= head[1:] != head[:-1]
+        starts = np.flatnonzero(inner)
+        rows = np.flatnonzero(outer)
+        ends = np.append(starts, len(order)).astype(np.int32)
+        row_ends = np.append(np.searchsorted(starts, rows), len(starts)).astype(np.int32)
         words, names = self.words, list(self.by_lang)
         columns = [x[order[starts]].tolist() for x in ids[:-1]]
         heads = [b" ".join([words[i] for i in row]) for row in zip(*columns, strict=True)]
-        offsets = np.append(starts, len(order)).astype(np.int32)
+        tails = pa.ListArray.from_arrays(ends, _strings(words).take(pa.array(last[order])))
+        counts = pa.ListArray.from_arrays(ends, pa.array(times[order]))
         table = pa.table(
             {
-                "lang": pa.array([names[i] for i in langs[order[starts]].tolist()], pa.string()),
-                "prefix": _strings(heads or [b""] * len(starts)),
-                "part": part[starts].astype(np.int32),
-                "tails": pa.ListArray.from_arrays(
-                    offsets, _strings(words).take(pa.array(last[order]))
+                "lang": pa.array([names[i] for i in lang[rows].tolist()], pa.string()),
+                "part": part[rows],
+                "heads": pa.ListArray.from_arrays(
+                    row_ends, _strings(heads or [b""] * len(starts))
                 ),
-                "times": pa.ListArray.from_arrays(offsets, pa.array(times[order])),
+                "tails": pa.ListArray.from_arrays(row_ends, tails),
+                "times": pa.ListArray.from_arrays(row_ends, counts),
             }
         )
         yield from table.to_batches(max_chunksize=ROWS)
@@ -391,12 +404,13 @@ def count_phrases(
 
     runs = docs.select("_lang", "_text").mapInArrow(run, RUN_SCHEMA)
     merged = (
-        runs.repartition("lang", "prefix", "part")
-        .selectExpr("lang", "prefix", "part", "inline(arrays_zip(tails, times)) AS (tail, n)")
-        .groupBy("lang", "prefix", "part", "tail")
+        runs.repartition("lang", "part")
+        .selectExpr("lang", "part", "inline(arrays_zip(heads, tails, times)) AS (head, tails, times)")
+        .selectExpr("lang", "part", "head", "inline(arrays_zip(tails, times)) AS (tail, n)")
+        .groupBy("lang", "part", "head", "tail")
         .agg(F.sum("n").alias("f"))
     )
-    phrase = "IF(prefix = '', tail, concat(prefix, ' ', tail)) AS phrase"
+    phrase = "IF(head = '', tail, concat(head, ' ', tail)) AS phrase"
     return merged.selectExpr("lang", phrase, "f")
 
 
@@ -435,6 +449,7 @@ def collocations(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("_lang"),
         F.col(text_col).cast("string").alias("_text"),
     )
+    limits = replace(limits, parts=max(limits.parts, 4 * given.rdd.getNumPartitions()))
     words = settle(count_phrases(given, (1,), limits=limits), "words")
     totals = settle(words.groupBy("lang").agg(F.sum("f").alias("n")), "word-totals")
     enough = F.col("f") >= min_count
