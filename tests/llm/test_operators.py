@@ -125,6 +125,35 @@ def test_similar_components(spark, docs, rows, monkeypatch, short, chunk, freque
     assert collections.Counter(map(tuple, got.collect())) == components_of([*rows, *more])
 
 
+def test_dense_group_is_not_compared_in_pairs(spark, monkeypatch):
+    """Members of a group are far from each other, but for some that have a near copy."""
+    seen = {}
+    settle = jaccard_join.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "settle", counted)
+    found = []
+    for size in (60, 240):
+        draw = random.Random(size)
+        rows = []
+        for i in range(size):
+            near = [f"b{j}" for j in range(100)]
+            for at in draw.sample(range(100), 2):
+                near[at] = f"n{i}-{at}"
+            rows.append((i, " ".join(near), *(None,) * 6))
+            if i % 10 == 0:
+                rows.append((10_000 + i, " ".join([*near[:97], f"m{i}"]), *(None,) * 6))
+        got = jaccard_join.similar_components(spark.createDataFrame(rows, DOCS))
+        got = got.select("doc_id", "n_shingles", "component_id")
+        assert collections.Counter(map(tuple, got.collect())) == components_of(rows)
+        found.append(seen["cross-pairs"])
+    assert found[0] < 60 * 20 and found[1] < 240 * 20
+
+
 def test_similar_components_of_nothing(docs):
     assert jaccard_join.similar_components(docs.limit(0)).count() == 0
     empty = docs.where("text IS NULL")

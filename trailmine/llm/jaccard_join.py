@@ -17,11 +17,14 @@ The result is exact, up to equal 64-bit hashes of different shingles or sets.
 4. The entry of a long list with the most links against other comparisons is its hub; all entries
    are compared with it.  Links so far give components.
 5. Long lists with several components are read again for pairs across components.  Entries are in
-   blocks by position; the position bounds the overlap that is possible, and a block whose best entry
-   cannot reach the threshold is skipped whole.  Two sets compared with one hub have bounds on their
-   overlap from these two answers and the small differences to the hub; only pairs that they do not
-   decide are compared.  Lists of many entries are cut into chunks, and every two chunks meet in a
-   task of their own.
+   blocks by position; the position bounds the overlap that is possible, a block whose best entry
+   cannot reach the threshold is skipped whole, and entries without any possible partner of another
+   component drop out.  The answers of the others are derived from their hub's: with the difference
+   of each set to the hub, shingles that it lacks or has beside it, the overlap of two sets follows
+   from sizes and the number of differences that they share.  Similar sets, of which at most one is
+   similar to the hub, must share some, so differences are indexed by a prefix of their own, rare ones
+   first, and only pairs that share one there, and whose positions allow enough, are compared.  Index
+   lists of many entries are cut into chunks, and every two chunks meet in a task of their own.
 
 Which shingles count as frequent changes the work alone: any one order gives the same result.
 
@@ -37,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmine.llm.bloom import split_by_keys
@@ -320,18 +323,22 @@ def _worth_comparing(found: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def _hub_pairs(lists: DataFrame, near: DataFrame) -> DataFrame:
-    """Pairs of the hub of each long list with its entries, of those not compared yet."""
+def _hubs(lists: DataFrame, near: DataFrame) -> DataFrame:
+    """``shingle, hub, hub_n`` of each long list."""
     both = near.selectExpr("u AS digest", f"IF({SIMILAR}, 1, -1) AS score").union(
         near.selectExpr("v AS digest", f"IF({SIMILAR}, 1, -1) AS score")
     )
     score = both.groupBy("digest").agg(F.sum("score").alias("score"))
-    hubs = (
-        lists.join(score, "digest")
+    return (
+        lists.join(score, "digest", "left")
         .groupBy("shingle")
         .agg(F.max(F.struct("score", "digest", "n")).alias("hub"))
         .selectExpr("shingle", "hub.digest AS hub", "hub.n AS hub_n")
     )
+
+
+def _hub_pairs(lists: DataFrame, hubs: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs of the hub of each long list with its entries, of those not compared yet."""
     small, large = "least(n, hub_n)", "greatest(n, hub_n)"
     return (
         lists.join(hubs, "shingle")
@@ -342,29 +349,139 @@ def _hub_pairs(lists: DataFrame, near: DataFrame) -> DataFrame:
     )
 
 
-def _centres(near: DataFrame) -> DataFrame:
-    """``digest, centre, with_centre, centre_n``: of the sets that a set was compared with, the one
-    with the most comparisons.  That of a hub is itself."""
-    both = near.selectExpr("u AS digest", "v AS other", "n_v AS other_n", "n_u AS n", "both").union(
-        near.selectExpr("v AS digest", "u AS other", "n_u AS other_n", "n_v AS n", "both")
+def _with_partners(name: np.ndarray, size: np.ndarray, place: np.ndarray,
+                   component: np.ndarray) -> np.ndarray:
+    """Entries of a list that can be similar to one of another component, by their places."""
+    order = np.argsort(place, kind="stable")
+    name, size, place, component = name[order], size[order], place[order], component[order]
+    rest = size - place - 1
+    starts = np.arange(0, len(name), BLOCK)
+    most_rest = np.maximum.reduceat(rest, starts)
+    least_size = np.minimum.reduceat(size, starts)
+    most_size = np.maximum.reduceat(size, starts)
+    kept = np.zeros(len(name), bool)
+    for i in range(len(name)):
+        if kept[i]:
+            continue
+        n, left = int(size[i]), int(rest[i])
+        alive = (
+            ((NUM + DEN) * (1 + np.minimum(left, most_rest)) >= NUM * (n + least_size))
+            & (NUM * n <= DEN * most_size)
+            & (NUM * least_size <= DEN * n)
+        )
+        for block in np.flatnonzero(alive).tolist():
+            cut = slice(block * BLOCK, (block + 1) * BLOCK)
+            fits = _possible(n, left, size[cut], rest[cut]) & (component[cut] != component[i])
+            if fits.any():
+                kept[i] = True
+                kept[cut] |= fits
+                break
+    return name[kept]
+
+
+def _members_of_hubs(lists: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``hub, hub_n, digest``: entries of lists of several components that maybe have a link there.
+
+    ``lists`` has ``component``.  Lists of more than ``LIST_CHUNK`` entries are taken whole.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for run_ in _runs(batches, ["shingle", "shingle", "digest", "n", "at", "component"]):
+            kept = _with_partners(*run_[2:])
+            yield pd.DataFrame({"shingle": np.full(len(kept), run_[0][0]), "digest": kept})
+
+    mixed = settle(
+        lists.groupBy("shingle").agg(
+            F.count(F.lit(1)).alias("length"),
+            F.min("component").alias("low"), F.max("component").alias("high"),
+        ).where("low <> high").select("shingle", "length").join(hubs, "shingle"),
+        "mixed-lists",
+    )
+    entries = lists.join(mixed.select("shingle", "length"), "shingle")
+    ordered = (
+        entries.where(f"length <= {LIST_CHUNK}").drop("length")
+        .repartition("shingle").sortWithinPartitions("shingle")
     )
-    many = settle(both.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("times"), F.max("n").alias("n")), "comparisons")
-    other = both.join(
-        many.selectExpr("digest AS other", "times"), "other"
-    ).selectExpr("digest", "struct(times, other AS centre, both AS with_centre, other_n AS centre_n) AS c")
-    own = many.selectExpr(
-        "digest", "struct(times, digest AS centre, n AS with_centre, n AS centre_n) AS c"
+    kept = ordered.mapInPandas(run, "shingle long, digest long").union(
+        entries.where(f"length > {LIST_CHUNK}").select("shingle", "digest")
     )
-    return other.union(own).groupBy("digest").agg(F.max("c").alias("c")).selectExpr(
-        "digest", "c.centre", "c.with_centre", "c.centre_n"
+    return (
+        kept.join(mixed, "shingle").where("hub <> digest")
+        .select("hub", "hub_n", "digest").distinct()
+    )
+
+
+def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``members`` (stored) with ``n, lacks, has, values``: counts of the hub's shingles that a set
+    lacks and of those that it has beside it, and both together."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = batch[["hub", "hub_n", "digest"]].copy()
+            sizes, lacks, values = [], [], []
+            for a, b in zip(batch["set_hub"], batch["set_own"], strict=True):
+                hub, own = _unpack(a), _unpack(b)
+                apart = np.setxor1d(hub, own, assume_unique=True)
+                sizes.append(len(own))
+                lacks.append((len(apart) + len(hub) - len(own)) // 2)
+                values.append(apart)
+            out["n"] = np.array(sizes, np.int64)
+            out["lacks"] = np.array(lacks, np.int64)
+            out["has"] = np.array([len(v) for v in values], np.int64) - out["lacks"].to_numpy()
+            out["values"] = values
+            yield out
+
+    hub = sets.selectExpr("digest AS hub", "values AS set_hub")
+    own = sets.selectExpr("digest", "values AS set_own")
+    narrow = _broadcast_if_small(members, members.count())
+    return own.join(narrow, "digest").join(hub, "hub").mapInPandas(
+        run, "hub long, hub_n long, digest long, n long, lacks long, has long, values array<long>"
+    )
+
+
+def _difference_lists(apart: DataFrame, label: DataFrame) -> DataFrame:
+    """Index lists of prefixes of differences: ``list, digest, n, left, weight, hub_n, component``.
+
+    Of sets 1 and 2 with ``weight = 5 lacks + 4 has``, similar means that they share at least
+    ``(weight_1 + weight_2 - hub_n) / 9`` differences.  That of a set similar to the hub is at most
+    ``hub_n``, that of any other more, and sets similar to the hub are in one component.  Neither has
+    more than a quarter of its size of differences that the other has not.
+    """
+    known = label.selectExpr("node", "component AS found")
+    named = settle(
+        apart.selectExpr("*", "5 * lacks + 4 * has AS weight", "lacks + has AS n_apart")
+        .join(known.withColumnRenamed("node", "digest"), "digest", "left")
+        .withColumn("component", F.coalesce("found", "digest")).drop("found")
+        .join(known.withColumnRenamed("node", "hub"), "hub", "left")
+        .withColumn("central", F.col("component") == F.coalesce("found", "hub")).drop("found")
+        .withColumn("least", F.expr(
+            "IF(central, weight div 9 + 1, greatest(1L, (weight - hub_n + 8) div 9))"))
+        .withColumn("prefix", F.expr("least(n div 4 + 1, n_apart - least + 1)"))
+        .where("prefix > 0"),
+        "differences",
+    )
+    single = named.selectExpr("hub", "digest", "explode(values) AS value")
+    shared = single.groupBy("hub", "value").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
+    # Differences that no other member has come first and make no list.
+    own = Window.partitionBy("hub", "digest")
+    placed = (
+        single.join(shared, ["hub", "value"])
+        .withColumn("n_shared", F.count(F.lit(1)).over(own))
+        .withColumn("at", F.row_number().over(own.orderBy("seen", "value")))
+    )
+    return placed.join(named.drop("values"), ["hub", "digest"]).where(
+        "n_apart - n_shared + at <= prefix"
+    ).selectExpr(
+        "xxhash64(hub, value) AS list", "digest", "n", "n_shared - at + 1 AS left", "weight",
+        "hub_n", "component",
     )
 
 
 def _cross_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of entries of a list that are of different components and can be similar.
+    """Pairs of entries of a list of differences that are of different components and can be similar.
 
-    In a task for two chunks of a list, pairs are of one entry of each.
+    ``left`` is how many differences a set has from the place on.  In a task for two chunks of a
+    list, pairs are of one entry of each.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -375,44 +492,37 @@ def _cross_pairs(lists: DataFrame) -> DataFrame:
             pairs.clear()
             return out
 
-        columns = ["shingle", "cell", "digest", "n", "at", "component", "chunk", "of", "centre",
-                   "with_centre"]
+        columns = ["list", "cell", "digest", "n", "left", "weight", "hub_n", "component", "chunk",
+                   "of"]
         for run_ in _runs(batches, columns):
-            if (run_[5] == run_[5][0]).all():
+            if (run_[7] == run_[7][0]).all():
                 continue
-            order = np.argsort(run_[4], kind="stable")
-            name, size, place, component, chunk, _, centre, inside = (
-                x[order] for x in run_[2:]
-            )
-            cell, of = int(run_[1][0]), int(run_[7][0])
+            # By what is wanting: 9 times what is left against the own weight.
+            order = np.argsort(run_[5] - 9 * run_[4], kind="stable")
+            name, size, left, weight, hub_n, component, chunk, _ = (x[order] for x in run_[2:])
+            cell, of = int(run_[1][0]), int(run_[9][0])
             within = cell // of == cell % of
-            rest, outside = size - place - 1, size - inside
             starts = np.arange(0, len(name), BLOCK)
-            most_rest = np.maximum.reduceat(rest, starts)
-            least_size = np.minimum.reduceat(size, starts)
-            most_size = np.maximum.reduceat(size, starts)
+            most_left = np.maximum.reduceat(left, starts)
+            least_weight = np.minimum.reduceat(weight, starts)
             for i in range(len(name)):
                 first = i // BLOCK
-                n, left = int(size[i]), int(rest[i])
-                overlap = 1 + np.minimum(left, most_rest[first:])
+                spare = int(hub_n[i]) - int(weight[i])
                 alive = (
-                    ((NUM + DEN) * overlap >= NUM * (n + least_size[first:]))
-                    & (NUM * n <= DEN * most_size[first:])
-                    & (NUM * least_size[first:] <= DEN * n)
+                    9 * np.minimum(left[i], most_left[first:]) >= least_weight[first:] - spare
                 )
                 for block in np.flatnonzero(alive).tolist():
                     a = (first + block) * BLOCK
                     b = min(a + BLOCK, len(name))
                     a = max(a, i + 1)
-                    fits = _possible(n, left, size[a:b], rest[a:b])
-                    fits &= component[a:b] != component[i]
+                    small, large = np.minimum(size[a:b], size[i]), np.maximum(size[a:b], size[i])
+                    fits = (
+                        (9 * np.minimum(left[a:b], left[i]) >= weight[a:b] - spare)
+                        & (NUM * large <= DEN * small)
+                        & (component[a:b] != component[i])
+                    )
                     if not within:
                         fits &= chunk[a:b] != chunk[i]
-                    # Within the centre they share what both do, outside what the smaller rest holds.
-                    most = np.minimum(inside[a:b], inside[i]) + np.minimum(
-                        outside[a:b], outside[i])
-                    fits &= (centre[a:b] != centre[i]) | (
-                        (NUM + DEN) * most >= NUM * (n + size[a:b]))
                     x = int(name[i])
                     for y in name[a:b][fits].tolist():
                         pairs.add((x, y) if x < y else (y, x))
@@ -420,17 +530,17 @@ def _cross_pairs(lists: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    mixed = lists.groupBy("shingle").agg(
+    mixed = lists.groupBy("list").agg(
         F.expr(f"int(ceil(count(1) / {LIST_CHUNK}))").alias("of"),
         F.min("component").alias("low"), F.max("component").alias("high"),
-    ).where("low <> high").select("shingle", "of")
-    dealt = lists.join(mixed, "shingle").selectExpr(
+    ).where("low <> high").select("list", "of")
+    dealt = lists.join(mixed, "list").selectExpr(
         "*", "int(pmod(xxhash64(digest), of)) AS chunk"
     ).selectExpr("*", "explode(sequence(0, of - 1)) AS other").selectExpr(
-        "shingle", "least(chunk, other) * of + greatest(chunk, other) AS cell",
-        "digest", "n", "at", "component", "chunk", "of", "centre", "with_centre",
+        "list", "least(chunk, other) * of + greatest(chunk, other) AS cell",
+        "digest", "n", "left", "weight", "hub_n", "component", "chunk", "of",
     )
-    ordered = dealt.repartition("shingle", "cell").sortWithinPartitions("shingle", "cell")
+    ordered = dealt.repartition("list", "cell").sortWithinPartitions("list", "cell")
     return ordered.mapInPandas(run, "u long, v long").distinct()
 
 
@@ -557,20 +667,19 @@ def similar_components(
     if sets.count() > n_partners:  # rows alike in id and text
         sets = settle(sets.dropDuplicates(["digest"]), "sets")
     near = settle(_overlaps(pairs, sets), "overlaps")
-    hub_pairs = settle(_hub_pairs(long_lists, near), "hub-pairs")
+    hubs = settle(_hubs(long_lists, near), "hubs")
+    hub_pairs = settle(_hub_pairs(long_lists, hubs, near), "hub-pairs")
     to_hubs = settle(_overlaps(hub_pairs, sets), "hub-overlaps")
     near = near.union(to_hubs)
     links = near.where(SIMILAR).select("u", "v")
     label = components(links)
 
-    cross = _cross_pairs(
-        long_lists.join(label.withColumnRenamed("node", "digest"), "digest", "left")
-        .join(_centres(near), "digest", "left")
-        .selectExpr(
-            "shingle", "digest", "n", "at", "coalesce(component, digest) AS component",
-            "coalesce(centre, digest) AS centre", "coalesce(with_centre, n) AS with_centre",
-        )
+    in_lists = long_lists.join(label.withColumnRenamed("node", "digest"), "digest", "left").selectExpr(
+        "shingle", "digest", "n", "at", "coalesce(component, digest) AS component"
     )
+    apart = settle(_members_of_hubs(in_lists, hubs), "hub-members")
+    apart = settle(_differences(apart, sets), "hub-differences")
+    cross = _cross_pairs(settle(_difference_lists(apart, label), "difference-lists"))
     cross = settle(cross.join(near, ["u", "v"], "left_anti"), "cross-pairs")
     if cross.take(1):
         more = _overlaps(cross, sets).where(SIMILAR).select("u", "v")
