@@ -40,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmine.llm.bloom import split_by_keys
@@ -380,7 +380,7 @@ def _with_partners(name: np.ndarray, size: np.ndarray, place: np.ndarray,
 
 
 def _members_of_hubs(lists: DataFrame, hubs: DataFrame) -> DataFrame:
-    """``hub, hub_n, digest``: entries of lists of several components that maybe have a link there.
+    """``hub, digest``: entries of lists of several components that maybe have a link there.
 
     ``lists`` has ``component``.  Lists of more than ``LIST_CHUNK`` entries are taken whole.
     """
@@ -407,73 +407,78 @@ def _members_of_hubs(lists: DataFrame, hubs: DataFrame) -> DataFrame:
     )
     return (
         kept.join(mixed, "shingle").where("hub <> digest")
-        .select("hub", "hub_n", "digest").distinct()
+        .select("hub", "digest").distinct()
     )
 
 
-def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``members`` (stored) with ``n, lacks, has, values``: counts of the hub's shingles that a set
-    lacks and of those that it has beside it, and both together."""
+def _counted(values: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of frequent shingles, 1 for others."""
+    if not len(frequent):
+        return np.ones(len(values), np.int64)
+    at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
+    return np.where(frequent[at] == values, counts[at], 1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[["hub", "hub_n", "digest"]].copy()
-            sizes, lacks, values = [], [], []
-            for a, b in zip(batch["set_hub"], batch["set_own"], strict=True):
-                hub, own = _unpack(a), _unpack(b)
-                apart = np.setxor1d(hub, own, assume_unique=True)
-                sizes.append(len(own))
-                lacks.append((len(apart) + len(hub) - len(own)) // 2)
-                values.append(apart)
-            out["n"] = np.array(sizes, np.int64)
-            out["lacks"] = np.array(lacks, np.int64)
-            out["has"] = np.array([len(v) for v in values], np.int64) - out["lacks"].to_numpy()
-            out["values"] = values
-            yield out
 
-    hub = sets.selectExpr("digest AS hub", "values AS set_hub")
-    own = sets.selectExpr("digest", "values AS set_own")
-    narrow = _broadcast_if_small(members, members.count())
-    return own.join(narrow, "digest").join(hub, "hub").mapInPandas(
-        run, "hub long, hub_n long, digest long, n long, lacks long, has long, values array<long>"
-    )
-
-
-def _difference_lists(apart: DataFrame, label: DataFrame) -> DataFrame:
+def _difference_lists(members: DataFrame, sets: DataFrame, label: DataFrame,
+                      frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
     """Index lists of prefixes of differences: ``list, digest, n, left, weight, hub_n, component``.
 
-    Of sets 1 and 2 with ``weight = 5 lacks + 4 has``, similar means that they share at least
-    ``(weight_1 + weight_2 - hub_n) / 9`` differences.  That of a set similar to the hub is at most
-    ``hub_n``, that of any other more, and sets similar to the hub are in one component.  Neither has
-    more than a quarter of its size of differences that the other has not.
+    ``members`` is stored.  Of a set that lacks ``l`` shingles of its hub and has ``h`` beside it,
+    ``weight = 5 l + 4 h``.  Sets 1 and 2 are similar if they share at least
+    ``(weight_1 + weight_2 - hub_n) / 9`` differences.  The weight of a set similar to the hub is at
+    most ``hub_n``, that of any other more, and sets similar to the hub are in one component.  Neither
+    has more than a quarter of its size of differences that the other has not.
+
+    Prefixes start with what few members have: shingles beside the hub that few documents have, and
+    lacking ones that most of the hub's group have.  Any one order for each hub gives the same result.
     """
+    low = (1 << 8 * (8 - KEPT_BYTES)) - 1
+    kept = frequent & ~low
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows: list[tuple[np.ndarray, ...]] = []
+            given = zip(*[batch[c] for c in (
+                "hub", "digest", "component", "central", "set_hub", "set_own")], strict=True)
+            for name, own_name, component, central, set_hub, set_own in given:
+                hub, own = _unpack(set_hub), _unpack(set_own)
+                apart = np.setxor1d(hub, own, assume_unique=True)
+                lacks = (len(apart) + len(hub) - len(own)) // 2
+                weight = 5 * lacks + 4 * (len(apart) - lacks)
+                least = weight // 9 + 1 if central else max(1, (weight - len(hub) + 8) // 9)
+                prefix = min(len(own) // 4 + 1, len(apart) - least + 1)
+                if prefix <= 0:
+                    continue
+                lacking = hub[np.minimum(np.searchsorted(hub, apart), len(hub) - 1)] == apart
+                seen = _counted(apart, kept, counts)
+                most = _counted(hub, kept, counts).max()
+                order = np.lexsort((apart, np.where(lacking, most - seen, seen)))[:prefix]
+                salt = np.uint64(name & ((1 << 64) - 1))
+                list_ = _mixed(_mixed(apart[order].view(np.uint64)) ^ salt).view(np.int64)
+                same = np.array([[own_name, len(own), weight, len(hub), component]], np.int64)
+                rows.append((list_, len(apart) - np.arange(prefix), same.repeat(prefix, axis=0)))
+            if rows:
+                out = pd.DataFrame(
+                    np.concatenate([r[2] for r in rows]),
+                    columns=["digest", "n", "weight", "hub_n", "component"])
+                out["list"] = np.concatenate([r[0] for r in rows])
+                out["left"] = np.concatenate([r[1] for r in rows])
+                yield out
+
     known = label.selectExpr("node", "component AS found")
     named = settle(
-        apart.selectExpr("*", "5 * lacks + 4 * has AS weight", "lacks + has AS n_apart")
-        .join(known.withColumnRenamed("node", "digest"), "digest", "left")
+        members.join(known.withColumnRenamed("node", "digest"), "digest", "left")
         .withColumn("component", F.coalesce("found", "digest")).drop("found")
         .join(known.withColumnRenamed("node", "hub"), "hub", "left")
-        .withColumn("central", F.col("component") == F.coalesce("found", "hub")).drop("found")
-        .withColumn("least", F.expr(
-            "IF(central, weight div 9 + 1, greatest(1L, (weight - hub_n + 8) div 9))"))
-        .withColumn("prefix", F.expr("least(n div 4 + 1, n_apart - least + 1)"))
-        .where("prefix > 0"),
-        "differences",
-    )
-    single = named.selectExpr("hub", "digest", "explode(values) AS value")
-    shared = single.groupBy("hub", "value").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
-    # Differences that no other member has come first and make no list.
-    own = Window.partitionBy("hub", "digest")
-    placed = (
-        single.join(shared, ["hub", "value"])
-        .withColumn("n_shared", F.count(F.lit(1)).over(own))
-        .withColumn("at", F.row_number().over(own.orderBy("seen", "value")))
+        .withColumn("central", F.col("component") == F.coalesce("found", "hub"))
+        .select("hub", "digest", "component", "central"),
+        "named-members",
     )
-    return placed.join(named.drop("values"), ["hub", "digest"]).where(
-        "n_apart - n_shared + at <= prefix"
-    ).selectExpr(
-        "xxhash64(hub, value) AS list", "digest", "n", "n_shared - at + 1 AS left", "weight",
-        "hub_n", "component",
+    hub = sets.selectExpr("digest AS hub", "values AS set_hub")
+    own = sets.selectExpr("digest", "values AS set_own")
+    narrow = _broadcast_if_small(named, named.count())
+    return own.join(narrow, "digest").join(hub, "hub").mapInPandas(
+        run, "digest long, n long, weight long, hub_n long, component long, list long, left long"
     )
 
 
@@ -678,8 +683,8 @@ def similar_components(
         "shingle", "digest", "n", "at", "coalesce(component, digest) AS component"
     )
     apart = settle(_members_of_hubs(in_lists, hubs), "hub-members")
-    apart = settle(_differences(apart, sets), "hub-differences")
-    cross = _cross_pairs(settle(_difference_lists(apart, label), "difference-lists"))
+    cross = _cross_pairs(settle(
+        _difference_lists(apart, sets, label, frequent, counts), "difference-lists"))
     cross = settle(cross.join(near, ["u", "v"], "left_anti"), "cross-pairs")
     if cross.take(1):
         more = _overlaps(cross, sets).where(SIMILAR).select("u", "v")
