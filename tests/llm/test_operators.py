@@ -653,3 +653,29 @@ def test_toxic_stage_keeps_all_columns(spark, docs, monkeypatch):
     assert left.columns == given.columns
     assert left.count() == given.where("text IS NOT NULL").count()
     assert {r["_score"] for r in left.collect()} == {"kept"}
+
+
+def test_licences_of_other_names_and_negations(spark):
+    right = {
+        "Released under the MIT License": "MIT",
+        "SPDX-License-Identifier: MIT": "MIT",
+        "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0": "Apache-2.0",
+        "This work is licensed under the GNU General Public License, version 3": "GPL-3.0",
+        "Licensed under CC BY-NC 4.0": "CC-BY-NC",
+        "Licensed under CC BY 4.0": "CC-BY",
+        "This project is licensed under the Apache License": None,
+        "This project is licensed under the ISC License": None,
+        "This project is licensed under the Unlicense License": None,
+        "The software is NOT released under the MIT License": None,
+        "This project is not licensed under the MIT License": None,
+        "This work is licensed under the GNU Affero General Public License, version 3": None,
+        "This work is licensed under the GNU General Public License, version 2": None,
+        "Licensed under CC BY-SA 4.0": None,
+        "SPDX-License-Identifier: ISC": None,
+    }
+    docs = spark.createDataFrame(
+        [(i, f"some words before it\n\n{t}\n\nand after", *(None,) * 6) for i, t in enumerate(right)],
+        DOCS)
+    got = {r["doc_id"]: r["family"] for r in licences.licence_notices(docs).collect()}
+    assert [got.get(i) for i in range(len(right))] == list(right.values())

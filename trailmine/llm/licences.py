@@ -8,8 +8,10 @@ trained on, calibrates its probabilities.
 
 A paragraph is a stretch of consecutive lines with words, comment marks left out, so a notice may be
 wrapped in any way.  Places in it that hold enough of the runs of three words of a template are
-candidates; of those that overlap, the one that holds most of its template stands.  The words of the
-place are scored, and it is a notice if the classifier names the family of the template.
+candidates if they have the words by which the template names its family (``NAMES``) and no negation
+that the template has not; of those that overlap, the one that holds most of its template stands.
+The words of the place are scored, and it is a notice if the classifier names the family of the
+template.  The unknown class is trained on templates without their names and with negations too.
 
 Only paragraphs with a word of a set that every confirmed place has a word of are looked at further;
 the set follows from the templates alone.  No statistic of the corpus decides what is looked at: the
@@ -22,6 +24,7 @@ the threshold give no row; the same notice twice gives two rows, also in one par
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -48,6 +51,7 @@ PLAIN = set("a an and any are as at be by for from in is it may not of on or see
 # Usual notices of licence families.
 TEMPLATES = {
     "Apache-2.0": [
+        "SPDX-License-Identifier: Apache-2.0",
         "Licensed under the Apache License, Version 2.0",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file "
         "except in compliance with the License. You may obtain a copy of the License at",
@@ -55,12 +59,14 @@ TEMPLATES = {
         "License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
     ],
     "MIT": [
+        "SPDX-License-Identifier: MIT",
         "Released under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
         "software and associated documentation files, to deal in the Software without restriction",
         "This project is licensed under the MIT License",
     ],
     "GPL-3.0": [
+        "SPDX-License-Identifier: GPL-3.0",
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms "
         "of the GNU General Public License as published by the Free Software Foundation",
@@ -68,29 +74,51 @@ TEMPLATES = {
         "See the GNU General Public License for more details",
     ],
     "LGPL": [
+        "SPDX-License-Identifier: LGPL-3.0",
         "under the terms of the GNU Lesser General Public License as published by the Free "
         "Software Foundation",
     ],
     "CC-BY-NC": [
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
         "Licensed under CC BY-NC 4.0",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 "
         "International License",
     ],
     "CC-BY": [
+        "SPDX-License-Identifier: CC-BY-4.0",
         "Licensed under CC BY 4.0",
         "This work is licensed under a Creative Commons Attribution 4.0 International License",
     ],
     "BSD": [
+        "SPDX-License-Identifier: BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are "
         "permitted provided that the following conditions are met",
         "Use of this source code is governed by a BSD-style license",
     ],
     "MPL-2.0": [
+        "SPDX-License-Identifier: MPL-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     ],
 }
 
 
+# Stretches of words by which a notice names its family.  A place must hold those that
+# its template has.
+NAMES = {
+    "Apache-2.0": ["apache", "version 2 0", "apache 2 0"],
+    "MIT": ["mit"],
+    "GPL-3.0": ["gnu general", "version 3", "gpl 3 0"],
+    "LGPL": ["lesser general", "lgpl"],
+    "CC-BY-NC": ["by nc 4", "attribution noncommercial 4"],
+    "CC-BY": ["by 4 0", "attribution 4 0"],
+    "BSD": ["bsd"],
+    "MPL-2.0": ["mozilla", "v 2 0", "mpl 2 0"],
+}
+# Words that turn a notice into its contrary, and how far before it they do.
+NEGATIONS = ["not", "never", "neither", "nor", "cannot", "isn", "wasn", "aren"]
+BEFORE = 3
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}0-9]+"), lambda w: w != "")
 
@@ -108,15 +136,17 @@ def _features(words: Column) -> Column:
 
 
 def template_table(spark: SparkSession) -> DataFrame:
-    """``template, family, words, grams``: grams are runs of three words."""
+    """``template, family, words, names, grams``: grams are runs of three words, names the words
+    that name the family."""
     rows = [
-        (i, family, text)
+        (i, family, text, sorted({w for n in _template_names(family, text) for w in n.split(" ")}))
         for i, (family, text) in enumerate((f, t) for f, ts in TEMPLATES.items() for t in ts)
     ]
-    table = spark.createDataFrame(rows, "template int, family string, text string")
-    return table.select("template", "family", words_of(F.col("text")).alias("words")).withColumn(
-        "grams", runs(F.col("words"), 3)
-    )
+    table = spark.createDataFrame(
+        rows, "template int, family string, text string, names array<string>")
+    return table.select(
+        "template", "family", words_of(F.col("text")).alias("words"), "names"
+    ).withColumn("grams", runs(F.col("words"), 3))
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -137,6 +167,12 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def _some(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Documents that a hash decides on, about four times ``BACKGROUND`` of them."""
+    share = int(min(1.0, 4 * BACKGROUND / max(1, docs.count())) * 1_000_000) + 1
+    return docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(1_000_000)) < share)
+
+
 @dataclass
 class Classifier:
     """``temperature`` divides logits."""
@@ -148,15 +184,24 @@ class Classifier:
 
 
 def _variants(templates: DataFrame, background: DataFrame) -> DataFrame:
-    """``label, words, part``: templates with words left out, between words of the corpus."""
+    """``label, words, part``: templates with words left out, between words of the corpus.
+
+    The words that name the family stay; the same without them, or with a negation before, is of the
+    unknown class.
+    """
     around = background.select(
         F.pmod(F.xxhash64("words"), F.lit(64)).alias("cell"), F.slice("words", 1, 30).alias("near")
     ).groupBy("cell").agg(F.min("near").alias("near"))
-    copies = templates.select(
-        "family", "words", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy")
+    nameless = F.filter("words", lambda w: ~F.array_contains("names", w))
+    denied = F.concat(F.slice("words", 1, 1), F.array(F.lit("not")), F.expr("slice(words, 2, 999)"))
+    given = templates.select("family", "words", "names").union(
+        templates.where(F.size("names") > 0).select(F.lit(UNKNOWN), nameless, "names")
+    ).union(templates.where(F.size("names") > 0).select(F.lit(UNKNOWN), denied, "names"))
+    copies = given.select(
+        "family", "words", "names", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy")
     ).withColumn("cell", F.pmod(F.xxhash64("words", "copy"), F.lit(64)))
-    left_out = F.filter("words", lambda w, i: F.pmod(
-        F.xxhash64(w, i, F.col("copy")), F.lit(100)) >= F.when(F.col("copy") % 4 == 0, 0).otherwise(12))
+    left_out = F.filter("words", lambda w, i: F.array_contains("names", w) | w.isin("not") | (F.pmod(
+        F.xxhash64(w, i, F.col("copy")), F.lit(100)) >= F.when(F.col("copy") % 4 == 0, 0).otherwise(12)))
     near = F.coalesce("near", F.array().cast("array<string>"))
     cut = (F.pmod(F.xxhash64("copy", "cell"), F.lit(15)) + 1).cast("int")
     joined = copies.join(around, "cell", "left").withColumn("cut", cut).withColumn(
@@ -241,6 +286,25 @@ def _needed_words(templates: list[list[str]], confirmed: float) -> list[str]:
     return sorted(needed)
 
 
+def _meant_in(words: Column, family: str, text: str) -> Callable[[Column], Column]:
+    """Whether a place of a template holds the names that the template has, and no more negations,
+    in it or right before, than the template."""
+    names = _template_names(family, text)
+    allowed = sum(w in NEGATIONS for w in _template_words(text))
+
+    def is_meant(place: Column) -> Column:
+        first = F.greatest(place["first"] - BEFORE, F.lit(0))
+        around = F.slice(words, first + 1, place["last"] + 3 - first)
+        own = F.slice(words, place["first"] + 1, place["last"] - place["first"] + 3)
+        held = F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" "))
+        meant = F.size(F.filter(around, lambda w: w.isin(NEGATIONS))) <= allowed
+        for name in names:
+            meant = meant & held.contains(f" {name} ")
+        return meant
+
+    return is_meant
+
+
 def _places(hits: Column, template: int, family: str, grams: list[str], confirmed: float) -> Column:
     """Where a text holds at least the share ``confirmed`` of the runs of a template.
 
@@ -315,12 +379,9 @@ def licence_notices(
     best template's runs of three words that its place holds.
     """
     spark = docs.sparkSession
-    parts = paragraphs(docs, id_col, text_col)
-    fitted = classifier or train(spark, parts)
-    templates = [
-        (i, family, _template_grams(text))
-        for i, (family, text) in enumerate((f, t) for f, ts in TEMPLATES.items() for t in ts)
-    ]
+    fitted = classifier or train(spark, paragraphs(_some(docs, id_col, text_col), id_col, text_col))
+    texts = [(family, text) for family, ts in TEMPLATES.items() for text in ts]
+    templates = [(i, family, _template_grams(text)) for i, (family, text) in enumerate(texts)]
     needed = F.array(*map(F.lit, _needed_words([t[2] for t in templates], confirmed)))
     known = sorted({g for _, _, grams in templates for g in grams})
     # Written, so that neither words nor places nor scores are computed again for each of their uses.
@@ -342,7 +403,8 @@ def licence_notices(
     )
     found = settle(
         hits.withColumn("places", F.concat(*[
-            _places(F.col("hits"), *template, confirmed) for template in templates
+            F.filter(_places(F.col("hits"), *template, confirmed), _meant_in(F.col("words"), *own))
+            for template, own in zip(templates, texts, strict=True)
         ])).where(F.size("places") > 0).drop("hits"),
         "template-places",
     )
@@ -377,6 +439,16 @@ def licence_notices(
     )
 
 
+def _template_words(text: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+
+
+def _template_names(family: str, text: str) -> list[str]:
+    """The names of the family that a template has."""
+    held = f" {' '.join(_template_words(text))} "
+    return [name for name in NAMES[family] if f" {name} " in held]
+
+
 def _template_grams(text: str) -> list[str]:
-    words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    words = _template_words(text)
     return list(dict.fromkeys(" ".join(words[i : i + 3]) for i in range(max(0, len(words) - 2))))
