@@ -679,3 +679,12 @@ def test_licences_of_other_names_and_negations(spark):
         DOCS)
     got = {r["doc_id"]: r["family"] for r in licences.licence_notices(docs).collect()}
     assert [got.get(i) for i in range(len(right))] == list(right.values())
+
+
+def test_surrogates_beside_a_column_of_the_same_name(spark):
+    docs = spark.createDataFrame(
+        [(1, "write to a.long.name@example.org", 7), (2, "nothing", 8)],
+        "doc_id long, text string, n_entities long")
+    got = pii.replace_entities(docs, "key").orderBy("doc_id").collect()
+    assert [(r["n_entities"], r["_n_entities"]) for r in got] == [(7, 1), (8, 0)]
+    assert "a.long.name" not in got[0]["text"]

@@ -298,14 +298,18 @@ def _mentions(known: Column, secret: bool) -> Column:
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in its text, and ``n_entities``.
 
-    ``key`` is a secret: the same key gives the same surrogates to the same entities.
+    ``key`` is a secret: the same key gives the same surrogates to the same entities.  If ``docs`` has
+    a column ``n_entities``, it stays, and the new one has as many underscores before it as needed.
     """
     names = docs.columns
+    counted = "n_entities"
+    while counted.lower() in {c.lower() for c in names}:
+        counted = f"_{counted}"
     marked = packed(docs, text=text_col).withColumn("_found", F.when(
         F.col("text").rlike(HINT), F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0))
     ))
     has = F.coalesce(F.size("_found"), F.lit(0)) > 0
-    clean = marked.where(~has).select("row.*", F.lit(0).alias("n_entities"))
+    clean = marked.where(~has).select("row.*", F.lit(0).alias(counted))
     known = F.filter(
         F.flatten(F.transform("_found", _entity_parts)),
         lambda p: p["kind"].isin("secret", *NAMES),
@@ -353,5 +357,5 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
         parts, F.transform("_puts", lambda p: p["put"]),
         lambda part, new: F.array(part, F.coalesce(new, F.lit(""))))), "")
     kept = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names]
-    replaced = rows.join(by_row, "_row").select(*kept, F.size("_puts").alias("n_entities"))
+    replaced = rows.join(by_row, "_row").select(*kept, F.size("_puts").alias(counted))
     return clean.unionByName(replaced)
