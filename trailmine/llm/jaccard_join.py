@@ -474,7 +474,8 @@ def _difference_lists(members: DataFrame, sets: DataFrame, label: DataFrame,
         .select("hub", "digest", "component", "central"),
         "named-members",
     )
-    hub = sets.selectExpr("digest AS hub", "values AS set_hub")
+    hub = _sets_of(sets, named.selectExpr("hub AS digest")).selectExpr(
+        "digest AS hub", "values AS set_hub")
     own = sets.selectExpr("digest", "values AS set_own")
     narrow = _broadcast_if_small(named, named.count())
     return own.join(narrow, "digest").join(hub, "hub").mapInPandas(
@@ -566,6 +567,12 @@ def _broadcast_if_small(df: DataFrame, n_rows: int) -> DataFrame:
     return F.broadcast(df) if n_rows <= MAX_BROADCAST else df
 
 
+def _sets_of(sets: DataFrame, names: DataFrame) -> DataFrame:
+    """Of ``sets``, those in the column ``digest`` of ``names``, and few others, without a shuffle."""
+    names = settle(names.distinct(), "wanted-sets")
+    return split_by_keys(sets, "digest", names, names.count())[0]
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         use_cache("shingles", _hashes.clear)
@@ -599,8 +606,9 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield out
 
     first = sets.selectExpr("digest AS u", "values AS set_u")
-    second = sets.selectExpr("digest AS v", "values AS set_v")
-    # Only the second join moves sets.
+    # Only the second join moves sets, and of the second ones only those that it needs.
+    second = _sets_of(sets, pairs.selectExpr("v AS digest")).selectExpr(
+        "digest AS v", "values AS set_v")
     narrow = pairs.select("u", "v")
     joined = first.join(_broadcast_if_small(narrow, pairs.count()), "u").join(second, "v")
     return joined.mapInPandas(run, "u long, v long, n_u long, n_v long, both long")
