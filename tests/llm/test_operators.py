@@ -688,3 +688,17 @@ def test_surrogates_beside_a_column_of_the_same_name(spark):
     got = pii.replace_entities(docs, "key").orderBy("doc_id").collect()
     assert [(r["n_entities"], r["_n_entities"]) for r in got] == [(7, 1), (8, 0)]
     assert "a.long.name" not in got[0]["text"]
+
+
+def test_names_of_many_forms(spark):
+    texts = ["Mr. John Q. Smith came. Smith left.", "Mr. O'Neil and Mr. McDonald.", "Mr. Smith left.",
+             "Mrs. Jane Doe-Miller sang.", "Mme Élise de la Tour et Mme de la Tour.", "Mr. van stays."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(df, "key").collect()}
+    forms = [r"Mr\. (\w+) Q\. (\w+) came\. (\w+) left\.", r"Mr\. (\w+) and Mr\. (\w+)\.",
+             r"Mr\. (\w+) left\.", r"Mrs\. (\w+) (\w+) sang\.",
+             r"Mme (\w+) de la (\w+) et Mme de la (\w+)\.", r"Mr\. van stays\."]
+    names = [re.fullmatch(form, got[i]).groups() for i, form in enumerate(forms)]
+    assert names[0][1] == names[0][2] == names[2][0] and names[4][1] == names[4][2]
+    real = {"John", "Smith", "O", "Neil", "McDonald", "Jane", "Doe", "Miller", "Élise", "Tour"}
+    assert not real & {name for found in names for name in found}

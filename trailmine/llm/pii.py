@@ -8,7 +8,7 @@ script.  Canonical forms are the same entity wherever they are and however they
 share a surrogate, put into the format of each place.
 
 First and last names are entities of their own, last names without regard to gender, so a person is
-the same with and without first name.  In a document that names a person after a form of address, or
+the same with and without first name.  Initials and particles between or before them stay.  In a document that names a person after a form of address, or
 has a secret after its key word, further mentions of these names and values, as whole words, are
 replaced too.
 
@@ -33,7 +33,9 @@ MAX_ROUNDS = 60
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _TITLE_M = "(?:Mr|Herr|Monsieur|M|Sr|Señor|г-н|господин)"
 _TITLE_F = "(?:Mrs|Ms|Miss|Frau|Mme|Madame|Sra|Señora|г-жа|госпожа)"
-_NAME = "\\p{Lu}\\p{Ll}+(?:[ -]\\p{Lu}\\p{Ll}+)?"
+_PARTICLES = "(?:(?:de|la|le|du|des|von|van|der|den|di|da|del|dos|zu) ){0,3}"
+_WORD = "\\p{Lu}(?:['’]\\p{Lu})?\\p{Ll}+(?:['’-]?\\p{Lu}\\p{Ll}+)*"
+_NAME = f"{_PARTICLES}{_WORD}(?: (?:\\p{{Lu}}\\. ){{0,2}}{_PARTICLES}{_WORD})?"
 PATTERNS = {
     "email": "[\\p{L}0-9._%+-]+@[\\p{L}0-9-]+(?:\\.[\\p{L}0-9-]+)+",
     "secret": "(?i:\\b(?:password|passwd|pwd|passwort|contraseña|secret|token|api[_-]?key|access[_-]?key)"
@@ -54,8 +56,8 @@ KEPT = {
     "key": "^(?:AKIA|ASIA|gh[opusr]_|sk-)",
     "iban": "^[A-Z]{2}",
     "phone": "^\\+[0-9]{1,2}(?=[ .(-])",
-    "male": f"^{_TITLE_M}\\.? ",
-    "female": f"^{_TITLE_F}\\.? ",
+    "male": f"^{_TITLE_M}\\.? {_PARTICLES}",
+    "female": f"^{_TITLE_F}\\.? {_PARTICLES}",
 }
 # A text without any of these has no entity.
 HINT = "[@0-9]|[=:]|\\b(?:M|Mr|Mrs|Ms|Miss|Mme|Herr|Frau|Monsieur|Madame|Sra?|Señora?|г-н|г-жа|госп)"
@@ -271,9 +273,11 @@ def _parts(kind: Column, keep: Column, body: Column) -> Column:
     def part(kind_: Column, keep_: Column, body_: Column) -> Column:
         return F.struct(kind_.alias("kind"), keep_.alias("keep"), body_.alias("body"))
 
-    return F.when(named & (F.size(words) == 2), F.array(
+    between = F.concat(F.lit(" "), F.array_join(F.transform(
+        F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.concat(w, F.lit(" "))), ""))
+    return F.when(named & (F.size(words) > 1), F.array(
         part(F.concat(F.lit("first "), kind), keep, F.get(words, F.lit(0))),
-        part(F.lit("last"), F.lit(" "), F.get(words, F.lit(1))),
+        part(F.lit("last"), between, F.element_at(words, -1)),
     )).otherwise(F.array(part(F.when(named, "last").otherwise(kind), keep, body)))
 
 
