@@ -4,8 +4,9 @@ All phrases are counted by a trie over word ids, as in a HAT-trie.  Its leaves a
 for a range of prefixes; a container that grows too large bursts into two of smaller ranges.  Phrases
 come in by thousands, so a container merges them as sorted arrays, where a HAT-trie has a hash table.
 When a task's trie holds too much, whole subtrees, the largest first, leave it as sorted runs.  A run
-is one row for each prefix partition, that is for a hash of all words but the last: the prefixes, and
-for each the last words and their counts as lists.  Runs are merged by prefix partition.  Prefixes
+is one row for each prefix partition, that is for a hash of all words but the last: a list of prefixes,
+and lists of the last words, their counts and the places of their prefixes.  Only phrases become rows,
+after the shuffle; they are summed by prefix partition.  Prefixes
 that begin with one of the most frequent words, of which there are at most ``HOT_WORDS``, are dealt to
 ``SALTS`` partitions by the last word.  There are more partitions where the table is read in more
 tasks, four for each.
@@ -47,8 +48,8 @@ SALTS = 64
 ID_BITS = 21  # of the number of a word in a task
 ROWS = 500  # of a batch handed back
 RUN_SCHEMA = (
-    "lang string, part bigint, heads array<string>, tails array<array<string>>, "
-    "times array<array<bigint>>"
+    "lang string, part bigint, heads array<string>, places array<int>, tails array<string>, "
+    "times array<bigint>"
 )
 
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 64)], np.uint64)
@@ -311,13 +312,13 @@ class _Counter:
         inner[1:] |= head[1:] != head[:-1]
         starts = np.flatnonzero(inner)
         rows = np.flatnonzero(outer)
-        ends = np.append(starts, len(order)).astype(np.int32)
+        ends = np.append(rows, len(order)).astype(np.int32)
         row_ends = np.append(np.searchsorted(starts, rows), len(starts)).astype(np.int32)
+        places = np.cumsum(inner) - 1 - np.repeat(row_ends[:-1], np.diff(ends))
         words, names = self.words, list(self.by_lang)
         columns = [x[order[starts]].tolist() for x in ids[:-1]]
         heads = [b" ".join([words[i] for i in row]) for row in zip(*columns, strict=True)]
-        tails = pa.ListArray.from_arrays(ends, _strings(words).take(pa.array(last[order])))
-        counts = pa.ListArray.from_arrays(ends, pa.array(times[order]))
+        tails = _strings(words).take(pa.array(last[order]))
         table = pa.table(
             {
                 "lang": pa.array([names[i] for i in lang[rows].tolist()], pa.string()),
@@ -325,8 +326,9 @@ class _Counter:
                 "heads": pa.ListArray.from_arrays(
                     row_ends, _strings(heads or [b""] * len(starts))
                 ),
-                "tails": pa.ListArray.from_arrays(row_ends, tails),
-                "times": pa.ListArray.from_arrays(row_ends, counts),
+                "places": pa.ListArray.from_arrays(ends, pa.array(places, pa.int32())),
+                "tails": pa.ListArray.from_arrays(ends, tails),
+                "times": pa.ListArray.from_arrays(ends, pa.array(times[order])),
             }
         )
         yield from table.to_batches(max_chunksize=ROWS)
@@ -405,8 +407,10 @@ def count_phrases(
     runs = docs.select("_lang", "_text").mapInArrow(run, RUN_SCHEMA)
     merged = (
         runs.repartition("lang", "part")
-        .selectExpr("lang", "part", "inline(arrays_zip(heads, tails, times)) AS (head, tails, times)")
-        .selectExpr("lang", "part", "head", "inline(arrays_zip(tails, times)) AS (tail, n)")
+        .selectExpr(
+            "lang", "part", "heads", "inline(arrays_zip(places, tails, times)) AS (place, tail, n)"
+        )
+        .selectExpr("lang", "part", "heads[place] AS head", "tail", "n")
         .groupBy("lang", "part", "head", "tail")
         .agg(F.sum("n").alias("f"))
     )
