@@ -7,10 +7,14 @@ of what is read back is known to the optimizer, which then decides about broadca
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ from pyspark.sql import functions as F
 SPACES = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+T = TypeVar("T")
+
 _own_folder: dict[str, str] = {}
 
 
@@ -46,16 +52,39 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 _caches: dict[str, Callable[[], None]] = {}
 
 
+def _give_back() -> None:
+    """Hands memory that is free, but still with this process, back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # only of some C libraries
+        trim(0)
+
+
 def use_cache(name: str, clear: Callable[[], None]) -> None:
     """To be called before a cache of this Python worker is used: empties those of other operators.
 
-    Workers live on from one stage to the next, and so would what all of them have cached.
+    Workers live on from one stage to the next, and so would what all of them have cached.  To be called
+    in a function of a module: one within another goes to the workers with copies of what it names.
     """
-    for other in [c for c in _caches if c != name]:
+    others = [c for c in _caches if c != name]
+    for other in others:
         _caches.pop(other)()
+    if others:
+        _give_back()
     _caches[name] = clear
 
 
+def gives_back(run: Callable[[Iterator[T]], Iterator[T]]) -> Callable[[Iterator[T]], Iterator[T]]:
+    """For functions of ``mapInPandas``: a worker that waits for its next task keeps no free memory."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[T]) -> Iterator[T]:
+        yield from run(batches)
+        _give_back()
+
+    return wrapped
+
+
 def packed(df: DataFrame, **keys: str) -> DataFrame:
     """All columns as one, ``row``, with copies of some beside it, so no name can clash."""
     return df.select(

@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmine.llm.common import settle, use_cache
+from trailmine.llm.common import gives_back, settle, use_cache
 
 MAX_TRAINING = 20_000
 THRESHOLD = 0.3
@@ -44,7 +44,9 @@ STEM_LENGTHS = range(4, 9)
 LEAST_ODDS = 1.5
 EDIT_FACTOR = 0.3
 WINDOW = 6
-CACHED_WORDS = 500_000
+CACHED_WORDS = 400_000
+# Counts that a task holds before it hands them on.
+HELD_COUNTS = 200_000
 
 # Words of mention, words of address, and quotation marks.
 MENTION = (
@@ -55,6 +57,13 @@ ADDRESS = "you your you're u ur tu te toi vous du dich ihr sie usted tú vosotro
 QUOTES = "\"“”„«»"
 
 _WORD = re.compile(r"\w+")
+# In bytes: letters in lower case, other ASCII outside of words as spaces, all else as it is.
+_TOKENS = bytes(
+    ord(chr(i).lower()) if i < 128 and _WORD.match(chr(i)) else i if i > 127 else 32
+    for i in range(256)
+)
+# Looks as if it were far: no term allows so many edits.
+FAR = 9
 
 
 @dataclass
@@ -78,39 +87,53 @@ class Terms:
     def __init__(self, terms: dict[str, float], begins: bool) -> None:
         self.begins = begins
         self.trie: dict = {}
+        # The nodes on the way to each term.
+        self.paths: dict[str, list[int]] = {}
         for term in terms:
-            node = self.trie
+            node, path = self.trie, []
             for letter in term:
                 node = node.setdefault(letter, {})
+                path.append(id(node))
             node[""] = term
+            self.paths[term] = path
         self.longest = max(map(len, terms), default=0) + 2
         # Within k edits, one of k + 1 parts of a term is unchanged, moved by at most k places.
-        self.parts: dict[tuple[int, int], set[str]] = {}
+        parts: dict[tuple[int, int], dict[str, set[str]]] = {}
         for term in terms:
             k = edits_allowed(len(term))
             for i in range(k + 1):
                 a, b = len(term) * i // (k + 1), len(term) * (i + 1) // (k + 1)
                 for move in range(-k, k + 1):
                     if a + move >= 0:
-                        self.parts.setdefault((a + move, b - a), set()).add(term[a:b])
+                        known = parts.setdefault((a + move, b + move), {})
+                        known.setdefault(term[a:b], set()).add(term)
+        self.parts = [(a, b, known) for (a, b), known in sorted(parts.items())]
 
     def within(self, word: str) -> tuple[int, str] | None:
         """The nearest term within the edits it allows: distance and term.
 
         The state of the automaton after some letters of a term is the row of distances between
         those letters and each beginning of the word; a row without a value in reach is dead.  The
-        last distance is that of the whole word, the least that of the nearest beginning.
+        last distance is that of the whole word, the least that of the nearest beginning.  Only ways
+        to terms of which the word has a part are walked, and of a row only what is in reach.
         """
         if self.begins:
             word = word[: self.longest]
         if not 3 <= len(word) <= self.longest:
             return None
-        if not any(word[a : a + n] in known for (a, n), known in self.parts.items()):
+        wanted: set[int] = set()
+        for a, b, known in self.parts:
+            terms = known.get(word[a:b])
+            if terms is not None:
+                for term in terms:
+                    wanted.update(self.paths[term])
+        if not wanted:
             return None
         best: tuple[int, str] | None = None
         most = 2
+        size = len(word)
 
-        def walk(node: dict, row: list[int]) -> None:
+        def walk(node: dict, row: list[int], depth: int) -> None:
             nonlocal best
             for letter, child in node.items():
                 if letter == "":
@@ -118,36 +141,66 @@ class Terms:
                     if found[0] <= edits_allowed(len(child)) and (best is None or found < best):
                         best = found
                     continue
-                new = [row[0] + 1]
-                for i, other in enumerate(word, 1):
-                    new.append(
-                        min(new[-1] + 1, row[i] + 1, row[i - 1] + (other != letter))
-                    )
-                if min(new) <= most:
-                    walk(child, new)
-
-        walk(self.trie, list(range(len(word) + 1)))
+                if id(child) not in wanted:
+                    continue
+                new = [FAR] * (size + 1)
+                new[0] = least = depth
+                left = depth if depth <= most + 1 else FAR
+                for i in range(max(1, depth - most), min(size, depth + most) + 1):
+                    here = row[i - 1] if word[i - 1] == letter else row[i - 1] + 1
+                    if row[i] + 1 < here:
+                        here = row[i] + 1
+                    if left + 1 < here:
+                        here = left + 1
+                    new[i] = left = here
+                    if here < least:
+                        least = here
+                if least <= most:
+                    walk(child, new, depth + 1)
+
+        walk(self.trie, list(range(size + 1)), 1)
         return best
 
 
 class Lexicon:
-    """The tries of a model's words and stems, and a cache of what words of texts match."""
+    """The tries of a model's words and stems, and a cache of what tokens of texts match.
+
+    A token is a stretch of word letters and of anything outside ASCII; it has no word, one or more.
+    """
 
     def __init__(self, model: Model) -> None:
         self.model = model
         self.words = Terms(model.words, begins=False)
         self.stems = Terms(model.stems, begins=True)
         self.stem_lengths = sorted({len(s) for s in model.stems})
-        self.seen: dict[str, tuple[str, int, float] | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        # Tokens without a hit, tokens that are not one word with their number, and words that match.
+        self.clear: set[bytes] = set()
+        self.counts: dict[bytes, int] = {}
+        self.found: dict[str, tuple[str, int, float]] = {}
 
     def match(self, word: str) -> tuple[str, int, float] | None:
         """Term, edits and weight, or None.  ``word`` is in lower case."""
-        if word in self.seen:
-            return self.seen[word]
-        found = self._match(word)
-        if len(self.seen) >= CACHED_WORDS:
-            self.seen.clear()
-        self.seen[word] = found
+        found = self.found.get(word)
+        if found is None:
+            found = self._match(word)
+            if found is not None:
+                if len(self.found) >= CACHED_WORDS:
+                    self.found.clear()
+                self.found[word] = found
+        return found
+
+    def _matches(self, token: bytes) -> dict[str, tuple[str, int, float]]:
+        """The words of a token that match."""
+        word = token.decode("utf-8", "surrogatepass")
+        words = [word] if token.isascii() else _WORD.findall(word.lower())
+        if len(words) != 1:
+            self.counts[token] = len(words)
+        found = {w: hit for w in words if (hit := self.match(w)) is not None}
+        if not found:
+            self.clear.add(token)
         return found
 
     def _match(self, word: str) -> tuple[str, int, float] | None:
@@ -172,18 +225,25 @@ class Lexicon:
         """``start, end, term, edits, weight`` of each hit, weighed by its context; all words."""
         if not text:
             return [], 0
+        if len(self.clear) + len(self.counts) >= CACHED_WORDS:
+            self._forget()
+        # The small form of a sigma depends on the letters around it.
+        data = (text.lower() if "\u03a3" in text else text).encode("utf-8", "surrogatepass")
+        tokens = data.translate(_TOKENS).split()
+        distinct = set(tokens)
+        known: dict[str, tuple[str, int, float]] = {}
+        for token in distinct - self.clear:
+            known.update(self._matches(token))
+        n_words = len(tokens)
+        if len(data) > len(text) and not distinct.isdisjoint(self.counts):
+            n_words += sum(self.counts[t] - 1 for t in tokens if t in self.counts)
+        if not known:
+            return [], n_words
         low = text.lower()
-        words = _WORD.findall(low)
-        match, seen = self.match, self.seen
-        for word in set(words):
-            if (seen[word] if word in seen else match(word)) is not None:
-                break
-        else:
-            return [], len(words)
         spans = list(_WORD.finditer(low))
         out = []
         for i, span in enumerate(spans):
-            found = match(span.group())
+            found = known.get(span.group())
             if found is None:
                 continue
             first, last = max(0, i - WINDOW), min(len(spans), i + WINDOW + 1)
@@ -197,7 +257,7 @@ class Lexicon:
             elif not around.isdisjoint(ADDRESS):
                 weight *= 1.25
             out.append((span.start(), span.end(), found[0], found[1], weight))
-        return out, len(words)
+        return out, n_words
 
 
 def features(hits: list[tuple[int, int, str, int, float]], n_words: int) -> tuple[float, ...]:
@@ -210,9 +270,13 @@ def features(hits: list[tuple[int, int, str, int, float]], n_words: int) -> tupl
 _lexicons: dict[bytes, Lexicon] = {}
 
 
+def _use_lexicons() -> None:
+    use_cache("toxicity", _lexicons.clear)
+
+
 def _lexicon(key: bytes, model: Model) -> Lexicon:
     """One for each model and Python worker, so the cache of words outlives a batch."""
-    use_cache("toxicity", _lexicons.clear)
+    _use_lexicons()
     if key not in _lexicons:
         _lexicons.clear()
         _lexicons[key] = Lexicon(model)
@@ -243,12 +307,24 @@ def _term_counts(rows: DataFrame) -> DataFrame:
     """``kind, term, bad, good, bad2, good2``: toxic and other documents that have a word, or a
     beginning of words, once and twice.  Kind "doc" counts documents."""
 
-    names = ["kind", "term", "times", "toxic", "n"]
-
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
+        _use_lexicons()
+        counts: dict[tuple[str, int, int], Counter] = {}
+
+        def handed_on() -> Iterator[pd.DataFrame]:
+            for (kind, times, toxic), held in counts.items():
+                while held:
+                    some = [held.popitem() for _ in range(min(len(held), 50_000))]
+                    yield pd.DataFrame(some, columns=["term", "n"]).assign(
+                        kind=kind, times=times, toxic=toxic)
+            counts.clear()
+
+        def count(kind: str, times: int, toxic: int, terms: Iterable[str]) -> None:
+            counts.setdefault((kind, times, toxic), Counter()).update(terms)
+
         for batch in batches:
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+            for text, toxic in zip(batch["text"], batch["toxic"].tolist(), strict=True):
                 words = Counter(_WORD.findall((text or "").lower()))
                 begins: Counter = Counter()
                 for w, n in words.items():
@@ -256,14 +332,13 @@ def _term_counts(rows: DataFrame) -> DataFrame:
                         if len(w) < size:
                             break
                         begins[w[:size]] += n
-                toxic = int(toxic)
-                counts["doc", "", 1, toxic] += 1
+                count("doc", 1, toxic, [""])
                 for kind, found in (("word", words), ("stem", begins)):
-                    counts.update((kind, term, 1, toxic) for term in found)
-                    counts.update((kind, term, 2, toxic) for term, n in found.items() if n > 1)
-        rows = [(*key, n) for key, n in counts.items()]
-        for at in range(0, len(rows), 50_000):
-            yield pd.DataFrame(rows[at : at + 50_000], columns=names)
+                    count(kind, 1, toxic, found.keys())
+                    count(kind, 2, toxic, [term for term, n in found.items() if n > 1])
+                if sum(map(len, counts.values())) >= HELD_COUNTS:
+                    yield from handed_on()
+        yield from handed_on()
 
     found = rows.mapInPandas(run, "kind string, term string, times int, toxic int, n long")
     return found.groupBy("kind", "term").agg(*[
@@ -277,6 +352,7 @@ def _without_near_copies(rows: DataFrame) -> DataFrame:
 
     @F.pandas_udf(T.LongType())
     def sketch(texts: pd.Series) -> pd.Series:
+        _use_lexicons()
         out = []
         for text in texts:
             words = (text or "").encode("utf-8", "replace").lower().split()
@@ -358,6 +434,7 @@ def _clean_words(counts: DataFrame, model: Model) -> frozenset[str]:
     """
     key = _key(model)
 
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = _lexicon(key, model)
         for batch in batches:
