@@ -44,12 +44,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmine.llm.bloom import split_by_keys
-from trailmine.llm.common import packed, settle, use_cache
+from trailmine.llm.common import gives_back, packed, settle, use_cache
 from trailmine.llm.components import components
 
 WORDS = 5
 MAX_FREQUENT = 1 << 18
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
+# Sets that a task has at once beside those of a batch that it counts, and pairs that it holds.
+SETS_AT_ONCE = 1_000
+HELD_PAIRS = 100_000
 BLOCK = 64
 LIST_CHUNK = 20_000
 SHORT = 8
@@ -81,6 +84,10 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def _use_hashes() -> None:
+    use_cache("shingles", _hashes.clear)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -113,25 +120,45 @@ def needed(n: int | np.ndarray) -> int | np.ndarray:
     return -(-NUM * n // DEN)
 
 
+def repeated(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The values that several of the sets have, sorted, and how many have each.
+
+    Beside the sets one array of all values is held, and what is found.
+    """
+    values = np.concatenate([np.empty(0, np.int64), *sets])
+    values.sort()
+    same = np.zeros(len(values) + 1, bool)
+    np.equal(values[1:], values[:-1], out=same[1:-1])
+    # Ends of stretches of equal values: where "same as before" changes.
+    first = np.flatnonzero(~same[:-1] & same[1:])
+    last = np.flatnonzero(same[:-1] & ~same[1:])
+    return values[first], last - first + 1
+
+
 def _first_pass(docs: DataFrame, words: int) -> DataFrame:
     """Rows of documents, ``_id, n, digest``, and of shingle counts, ``shingle, seen``."""
 
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        use_cache("shingles", _hashes.clear)
+        _use_hashes()
         for batch in batches:
-            sets = [shingle_set(t, words) for t in batch["_text"]]
-            digests = np.array([digest(s) for s in sets], np.int64)
+            # Of equal sets, one.
+            sets: dict[int, np.ndarray] = {}
+            sizes, digests = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            for i, text in enumerate(batch["_text"]):
+                values = shingle_set(text, words)
+                sizes[i], digests[i] = len(values), digest(values)
+                sets.setdefault(int(digests[i]), values)
             out = batch[["_id"]].copy()
-            out["n"] = np.array([len(s) for s in sets], np.int64)
+            out["n"] = sizes
             out["digest"] = digests
             out["shingle"] = pd.array([None] * len(out), "Int64")
             out["seen"] = pd.array([None] * len(out), "Int64")
             yield out
-            _, at = np.unique(digests, return_index=True)
-            found, seen = np.unique(np.concatenate([sets[i] for i in at]), return_counts=True)
-            often = seen > 1
-            if often.any():
-                more = pd.DataFrame({"shingle": found[often], "seen": seen[often]})
+            found, seen = repeated(list(sets.values()))
+            del sets
+            if len(found):
+                more = pd.DataFrame({"shingle": found, "seen": seen})
                 more["_id"] = None
                 more["n"] = pd.array([None] * len(more), "Int64")
                 more["digest"] = pd.array([None] * len(more), "Int64")
@@ -148,8 +175,9 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, words:
     shingles of a prefix are not in it.
     """
 
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        use_cache("shingles", _hashes.clear)
+        _use_hashes()
         seen: set[int] = set()
         for batch in batches:
             rows = []
@@ -173,8 +201,9 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, words:
                     rest = values[is_frequent]
                     order = np.lexsort((rest, counts[at[is_frequent]]))
                     prefix = np.concatenate([prefix, rest[order][: wanted - len(prefix)]])
-                rows.append((name, n, n_others, prefix))
-            if len(seen) > 1_000_000:
+                # A copy, so that the array it is a part of can go.
+                rows.append((name, n, n_others, prefix.copy()))
+            if len(seen) > 200_000:
                 seen.clear()
             yield pd.DataFrame(rows, columns=["digest", "n", "n_others", "prefix"])
 
@@ -204,6 +233,7 @@ def _runs(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[list[
 def _shared(lists: DataFrame) -> DataFrame:
     """Entries of lists that have at least two.  Looks at neighbours only and holds one batch."""
 
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: pd.DataFrame | None = None
         last_shared = False
@@ -236,6 +266,7 @@ def _near_pairs(lists: DataFrame) -> DataFrame:
     """``u, v, short, long``: in how many short lists a pair is, and whether it is to be compared
     for a long one.  Rows with ``u = v`` tell how many long lists ``u`` is in."""
 
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
         chosen: set[tuple[int, int]] = set()
@@ -274,7 +305,7 @@ def _near_pairs(lists: DataFrame) -> DataFrame:
                         if (NUM + DEN) * overlap >= total and name[i] != name[j]:
                             a, b = name[j], name[i]
                             chosen.add((a, b) if a < b else (b, a))
-            if len(counts) + len(chosen) + len(in_long) > 300_000:
+            if len(counts) + len(chosen) + len(in_long) > HELD_PAIRS:
                 yield flush()
         yield flush()
 
@@ -385,6 +416,7 @@ def _members_of_hubs(lists: DataFrame, hubs: DataFrame) -> DataFrame:
     ``lists`` has ``component``.  Lists of more than ``LIST_CHUNK`` entries are taken whole.
     """
 
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for run_ in _runs(batches, ["shingle", "shingle", "digest", "n", "at", "component"]):
             kept = _with_partners(*run_[2:])
@@ -435,6 +467,7 @@ def _difference_lists(members: DataFrame, sets: DataFrame, label: DataFrame,
     low = (1 << 8 * (8 - KEPT_BYTES)) - 1
     kept = frequent & ~low
 
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: list[tuple[np.ndarray, ...]] = []
@@ -490,6 +523,7 @@ def _cross_pairs(lists: DataFrame) -> DataFrame:
     list, pairs are of one entry of each.
     """
 
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs: set[tuple[int, int]] = set()
 
@@ -532,7 +566,7 @@ def _cross_pairs(lists: DataFrame) -> DataFrame:
                     x = int(name[i])
                     for y in name[a:b][fits].tolist():
                         pairs.add((x, y) if x < y else (y, x))
-                if len(pairs) > 200_000:
+                if len(pairs) > HELD_PAIRS:
                     yield flush()
         yield flush()
 
@@ -574,14 +608,17 @@ def _sets_of(sets: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        use_cache("shingles", _hashes.clear)
+        _use_hashes()
         for batch in batches:
-            sets = [shingle_set(t, words) for t in batch["_text"]]
-            out = batch[["_id"]].copy()
-            out["digest"] = np.array([digest(s) for s in sets], np.int64)
-            out["values"] = [_pack(s) for s in sets]
-            yield out
+            for at in range(0, len(batch), SETS_AT_ONCE):
+                some = batch.iloc[at : at + SETS_AT_ONCE]
+                sets = [shingle_set(t, words) for t in some["_text"]]
+                out = some[["_id"]].copy()
+                out["digest"] = np.array([digest(s) for s in sets], np.int64)
+                out["values"] = [_pack(s) for s in sets]
+                yield out
 
     kind = docs.schema["_id"].dataType.simpleString()
     return docs.mapInPandas(run, f"_id {kind}, digest long, values binary")
@@ -590,6 +627,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``u, v, n_u, n_v, both``: sizes and overlap of pairs of whole sets.  ``pairs`` is stored."""
 
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch[["u", "v"]].copy()
