@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmine.llm.common import buckets_for, running_start, settle, use_cache
+from trailmine.llm.common import buckets_for, gives_back, running_start, settle, use_cache
 
 CAPACITY = 2048
 END_ID = 0
@@ -150,6 +150,7 @@ def token_pieces(
     end = np.array([end_id], "<u4").tobytes()
     step = 4 * capacity
 
+    @gives_back
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(tokenizer)
         for batch in batches:
