@@ -154,6 +154,50 @@ def test_dense_group_is_not_compared_in_pairs(spark, monkeypatch):
     assert found[0] < 60 * 20 and found[1] < 240 * 20
 
 
+def differences_of(spark, name, hub, sets):
+    """Stored differences of sets to a hub, each of which is in the index list of every difference."""
+    schema = ("hub long, digest long, n long, weight long, hub_n long, component long, apart binary, "
+              "lists array<long>")
+    rows = []
+    for i, own in enumerate(sets):
+        apart = sorted(hub ^ own)
+        weight = 5 * len(hub - own) + 4 * len(own - hub)
+        packed = jaccard_join._pack(np.array(apart, np.int64) << 16)
+        rows.append((7, i, len(own), weight, len(hub), i, packed, apart))
+    return jaccard_join.settle(spark.createDataFrame(rows, schema), name)
+
+
+@pytest.mark.parametrize("chunk", [2_000, 16])
+def test_links_of_a_list_are_fewer_than_its_entries(spark, monkeypatch, chunk):
+    """All pairs share differences enough to be looked at; few or all of them are similar."""
+    monkeypatch.setattr(jaccard_join, "DIFFERENCE_CHUNK", chunk)
+    hub = frozenset(range(1000, 1200))
+    far = [hub - set(range(1000, 1005)) | {i * 100 + j for j in range(3000, 3040)} for i in range(60)]
+    near = [s - {min(s - hub)} | {900_000 + i} for i, s in enumerate(far[:20])]
+    alike = [hub - set(range(1000, 1040)) | set(range(2000, 2010)) | {i} for i in range(60)]
+    for name, sets in (("far", far + near), ("alike", alike)):
+        found = jaccard_join._cross_links(differences_of(spark, name, hub, sets)).collect()
+        similar = {
+            (i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j])
+            if 100 * len(a & b) >= 80 * len(a | b)
+        }
+        links = {(min(r), max(r)) for r in found}
+        assert links <= similar
+        ids = list(range(len(sets)))
+        for found_pairs in (links, similar):
+            low = list(ids)
+            for _ in ids:
+                for i, j in found_pairs:
+                    low[i] = low[j] = min(low[i], low[j])
+            if found_pairs is links:
+                got = low
+        assert got == low
+        if chunk > len(sets):
+            # Each list that all are in gives one link less than it has entries, at most.
+            assert len(links) < len(sets)
+        assert len(found) < 0.7 * len(sets) * (len(sets) - 1) / 2
+
+
 def test_similar_components_of_nothing(docs):
     assert jaccard_join.similar_components(docs.limit(0)).count() == 0
     empty = docs.where("text IS NULL")

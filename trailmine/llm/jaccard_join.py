@@ -23,8 +23,10 @@ The result is exact, up to equal 64-bit hashes of different shingles or sets.
    of each set to the hub, shingles that it lacks or has beside it, the overlap of two sets follows
    from sizes and the number of differences that they share.  Similar sets, of which at most one is
    similar to the hub, must share some, so differences are indexed by a prefix of their own, rare ones
-   first, and only pairs that share one there, and whose positions allow enough, are compared.  Index
-   lists of many entries are cut into chunks, and every two chunks meet in a task of their own.
+   first, and only pairs that share one there, and whose positions allow enough, are compared.  Entries
+   bring their differences along, so the task that finds a pair also compares it and returns links
+   alone, at most one for each entry.  Index lists of many entries are cut into chunks, and every two
+   chunks meet in a task of their own.
 
 Which shingles count as frequent changes the work alone: any one order gives the same result.
 
@@ -55,6 +57,8 @@ SETS_AT_ONCE = 1_000
 HELD_PAIRS = 100_000
 BLOCK = 64
 LIST_CHUNK = 20_000
+# Entries of an index list of differences, which are whole sets of them, that a task has of a chunk.
+DIFFERENCE_CHUNK = 2_000
 SHORT = 8
 # Index entries keep 48 bits of a shingle and 16 of its position in one number.
 PLACE_BITS = 16
@@ -451,16 +455,17 @@ def _counted(values: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np
     return np.where(frequent[at] == values, counts[at], 1)
 
 
-def _difference_lists(members: DataFrame, sets: DataFrame, label: DataFrame,
-                      frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """Index lists of prefixes of differences: ``list, digest, n, left, weight, hub_n, component``.
+def _differences(members: DataFrame, sets: DataFrame, label: DataFrame,
+                 frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """``hub, digest, n, weight, hub_n, component, apart, lists``: differences of sets to their hubs.
 
     ``members`` is stored.  Of a set that lacks ``l`` shingles of its hub and has ``h`` beside it,
-    ``weight = 5 l + 4 h``.  Sets 1 and 2 are similar if they share at least
+    ``weight = 5 l + 4 h``.  Sets 1 and 2 are similar if and only if they share at least
     ``(weight_1 + weight_2 - hub_n) / 9`` differences.  The weight of a set similar to the hub is at
     most ``hub_n``, that of any other more, and sets similar to the hub are in one component.  Neither
     has more than a quarter of its size of differences that the other has not.
 
+    ``apart`` has all differences, ``lists`` names the index lists of a prefix of them, in order.
     Prefixes start with what few members have: shingles beside the hub that few documents have, and
     lacking ones that most of the hub's group have.  Any one order for each hub gives the same result.
     """
@@ -470,7 +475,7 @@ def _difference_lists(members: DataFrame, sets: DataFrame, label: DataFrame,
     @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows: list[tuple[np.ndarray, ...]] = []
+            rows = []
             given = zip(*[batch[c] for c in (
                 "hub", "digest", "component", "central", "set_hub", "set_own")], strict=True)
             for name, own_name, component, central, set_hub, set_own in given:
@@ -488,15 +493,10 @@ def _difference_lists(members: DataFrame, sets: DataFrame, label: DataFrame,
                 order = np.lexsort((apart, np.where(lacking, most - seen, seen)))[:prefix]
                 salt = np.uint64(name & ((1 << 64) - 1))
                 list_ = _mixed(_mixed(apart[order].view(np.uint64)) ^ salt).view(np.int64)
-                same = np.array([[own_name, len(own), weight, len(hub), component]], np.int64)
-                rows.append((list_, len(apart) - np.arange(prefix), same.repeat(prefix, axis=0)))
-            if rows:
-                out = pd.DataFrame(
-                    np.concatenate([r[2] for r in rows]),
-                    columns=["digest", "n", "weight", "hub_n", "component"])
-                out["list"] = np.concatenate([r[0] for r in rows])
-                out["left"] = np.concatenate([r[1] for r in rows])
-                yield out
+                rows.append((name, own_name, len(own), weight, len(hub), component, _pack(apart),
+                             list_))
+            yield pd.DataFrame(rows, columns=[
+                "hub", "digest", "n", "weight", "hub_n", "component", "apart", "lists"])
 
     known = label.selectExpr("node", "component AS found")
     named = settle(
@@ -512,36 +512,38 @@ def _difference_lists(members: DataFrame, sets: DataFrame, label: DataFrame,
     own = sets.selectExpr("digest", "values AS set_own")
     narrow = _broadcast_if_small(named, named.count())
     return own.join(narrow, "digest").join(hub, "hub").mapInPandas(
-        run, "digest long, n long, weight long, hub_n long, component long, list long, left long"
+        run, "hub long, digest long, n long, weight long, hub_n long, component long, apart binary, "
+        "lists array<long>"
     )
 
 
-def _cross_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of entries of a list of differences that are of different components and can be similar.
+def _cross_links(differences: DataFrame) -> DataFrame:
+    """Links of similar sets of different components that share a difference of their prefixes.
 
-    ``left`` is how many differences a set has from the place on.  In a task for two chunks of a
-    list, pairs are of one entry of each.
+    ``differences`` is stored.  Of each index list, links suffice that join what the list joins, so
+    there are fewer than entries.  In a task for two chunks of a list, pairs are of one entry of each.
     """
 
     @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs: set[tuple[int, int]] = set()
-
-        def flush() -> pd.DataFrame:
-            out = pd.DataFrame(list(pairs), columns=["u", "v"]).astype("int64")
-            pairs.clear()
-            return out
-
         columns = ["list", "cell", "digest", "n", "left", "weight", "hub_n", "component", "chunk",
-                   "of"]
+                   "of", "apart"]
         for run_ in _runs(batches, columns):
             if (run_[7] == run_[7][0]).all():
                 continue
             # By what is wanting: 9 times what is left against the own weight.
             order = np.argsort(run_[5] - 9 * run_[4], kind="stable")
-            name, size, left, weight, hub_n, component, chunk, _ = (x[order] for x in run_[2:])
+            name, size, left, weight, hub_n, component, chunk, _, apart = (
+                x[order] for x in run_[2:]
+            )
             cell, of = int(run_[1][0]), int(run_[9][0])
             within = cell // of == cell % of
+            # All differences, one entry's after another's, as numbers from 0.
+            ends = np.cumsum([len(x) // KEPT_BYTES for x in apart])
+            begins = np.concatenate([[0], ends[:-1]])
+            found, number = np.unique(_unpack(b"".join(apart)), return_inverse=True)
+            is_own = np.zeros(len(found), bool)
+            links = []
             starts = np.arange(0, len(name), BLOCK)
             most_left = np.maximum.reduceat(left, starts)
             least_weight = np.minimum.reduceat(weight, starts)
@@ -551,6 +553,8 @@ def _cross_pairs(lists: DataFrame) -> DataFrame:
                 alive = (
                     9 * np.minimum(left[i], most_left[first:]) >= least_weight[first:] - spare
                 )
+                own = number[begins[i] : ends[i]]
+                is_own[own] = True
                 for block in np.flatnonzero(alive).tolist():
                     a = (first + block) * BLOCK
                     b = min(a + BLOCK, len(name))
@@ -563,24 +567,35 @@ def _cross_pairs(lists: DataFrame) -> DataFrame:
                     )
                     if not within:
                         fits &= chunk[a:b] != chunk[i]
-                    x = int(name[i])
-                    for y in name[a:b][fits].tolist():
-                        pairs.add((x, y) if x < y else (y, x))
-                if len(pairs) > HELD_PAIRS:
-                    yield flush()
-        yield flush()
-
-    mixed = lists.groupBy("list").agg(
-        F.expr(f"int(ceil(count(1) / {LIST_CHUNK}))").alias("of"),
+                    if not fits.any():
+                        continue
+                    # Every entry has a difference, so no part of the sum is empty.
+                    both = np.add.reduceat(
+                        is_own[number[begins[a] : ends[b - 1]]], begins[a:b] - begins[a],
+                        dtype=np.int64,
+                    )
+                    for j in (a + np.flatnonzero(fits & (9 * both >= weight[a:b] - spare))).tolist():
+                        if component[j] != component[i]:
+                            links.append((name[i], name[j]))
+                            component[component == component[j]] = component[i]
+                is_own[own] = False
+            yield pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+    entries = differences.selectExpr(
+        "hub", "digest", "component", "length(apart) AS n_bytes", "posexplode(lists) AS (at, list)"
+    )
+    mixed = entries.groupBy("list").agg(
+        F.expr(f"int(ceil(count(1) / {min(LIST_CHUNK, DIFFERENCE_CHUNK)}))").alias("of"),
         F.min("component").alias("low"), F.max("component").alias("high"),
     ).where("low <> high").select("list", "of")
-    dealt = lists.join(mixed, "list").selectExpr(
+    dealt = entries.join(mixed, "list").selectExpr(
         "*", "int(pmod(xxhash64(digest), of)) AS chunk"
     ).selectExpr("*", "explode(sequence(0, of - 1)) AS other").selectExpr(
-        "list", "least(chunk, other) * of + greatest(chunk, other) AS cell",
-        "digest", "n", "left", "weight", "hub_n", "component", "chunk", "of",
+        "list", "least(chunk, other) * of + greatest(chunk, other) AS cell", "chunk", "of",
+        "hub", "digest", f"n_bytes div {KEPT_BYTES} - at AS left",
     )
-    ordered = dealt.repartition("list", "cell").sortWithinPartitions("list", "cell")
+    whole = dealt.join(differences.drop("lists"), ["hub", "digest"])
+    ordered = whole.repartition("list", "cell").sortWithinPartitions("list", "cell")
     return ordered.mapInPandas(run, "u long, v long").distinct()
 
 
@@ -668,10 +683,12 @@ def similar_components(
         .agg(F.sum("seen").alias("seen"))
         .orderBy(F.desc("seen"), "shingle")
         .limit(MAX_FREQUENT)  # the order of shingles alone depends on it
-        .toPandas()
-        .sort_values("shingle")
+        .toArrow()  # columns, as rows of Python would take many times the driver's memory
+        .sort_by("shingle")
     )
-    frequent, counts = top["shingle"].to_numpy("int64"), top["seen"].to_numpy("int64")
+    # Copies, which need no table behind them.
+    frequent, counts = (top[c].to_numpy().astype("int64") for c in ("shingle", "seen"))
+    del top
 
     prefixes = _prefixes(given, frequent, counts, words).dropDuplicates(["digest"])
     prefixes = settle(prefixes, "prefixes")
@@ -729,11 +746,9 @@ def similar_components(
         "shingle", "digest", "n", "at", "coalesce(component, digest) AS component"
     )
     apart = settle(_members_of_hubs(in_lists, hubs), "hub-members")
-    cross = _cross_pairs(settle(
-        _difference_lists(apart, sets, label, frequent, counts), "difference-lists"))
-    cross = settle(cross.join(near, ["u", "v"], "left_anti"), "cross-pairs")
-    if cross.take(1):
-        more = _overlaps(cross, sets).where(SIMILAR).select("u", "v")
+    differences = settle(_differences(apart, sets, label, frequent, counts), "differences")
+    more = settle(_cross_links(differences), "cross-pairs")
+    if more.take(1):
         label = components(more.union(
             label.selectExpr("node AS u", "component AS v").where("u <> v")
         ))
