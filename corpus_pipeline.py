@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmine.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
-from trailmine.llm.common import settle
+from trailmine.llm.common import give_back, settle
 from trailmine.llm.queries import WORD_TOKENIZER, toxicity_model
 
 
@@ -63,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        give_back()  # what the stage held in the driver
     return STAGES[-1][1](spark, docs, sf_dir)

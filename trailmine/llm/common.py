@@ -52,7 +52,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 _caches: dict[str, Callable[[], None]] = {}
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Hands memory that is free, but still with this process, back to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -70,7 +70,7 @@ def use_cache(name: str, clear: Callable[[], None]) -> None:
     for other in others:
         _caches.pop(other)()
     if others:
-        _give_back()
+        give_back()
     _caches[name] = clear
 
 
@@ -80,7 +80,7 @@ def gives_back(run: Callable[[Iterator[T]], Iterator[T]]) -> Callable[[Iterator[
     @functools.wraps(run)
     def wrapped(batches: Iterator[T]) -> Iterator[T]:
         yield from run(batches)
-        _give_back()
+        give_back()
 
     return wrapped
 
