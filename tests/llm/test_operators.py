@@ -270,6 +270,28 @@ def test_packing(spark, docs, rows):
     assert packing.pack_documents(docs.limit(0), path).count() == 0
 
 
+def test_encoder_keeps_parts_of_words_alone():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    draw = random.Random(3)
+    stems = [f"{a}{b}en" for a in ("tion", "über", "He", "élan") for b in "abcdefghij"]
+    marks = [".", ",", "!!", "...", "'s", "7", "42", '("']
+    texts = [
+        " ".join(draw.choice(stems) + draw.choice(marks) + draw.choice(stems) for _ in range(50))
+        for _ in range(60)
+    ]
+    odd = ["", " \t", "a\u00a0b c", "don't<|endoftext|>x y", "ﬁn İΣς Ab", "x\x1cy z", "µm ª1", "a\r\nb\x0bc", "é e\u0301"]
+    odd += [" ".join(pair) for pair in zip(odd, reversed(odd), strict=True)]
+    for given in (texts, odd, odd + texts):
+        for text, data in zip(given, encoder.encode(given), strict=True):
+            assert np.frombuffer(data, "<u4").tolist() == plain.encode(
+                text, add_special_tokens=False).ids
+    held = sum(len(c) for c in vars(encoder).values() if isinstance(c, dict))
+    assert held < 150  # of 2,700 words
+
+
 def test_plan_uses_up_every_histogram():
     draw = np.random.default_rng(1)
     for size in (0, 1, 30, 5_000):

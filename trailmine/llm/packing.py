@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, compress
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -32,18 +32,19 @@ CAPACITY = 2048
 END_ID = 0
 WIDTH = 4
 PARTS = 3
-CACHED_WORDS = 800_000
+CACHED_PARTS = 800_000
 GROUP_CHARS = 2_000_000
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 class WordEncoder:
-    """Token ids of texts, as little-endian bytes, with a cache of words and of their parts.
+    """Token ids of texts, as little-endian bytes, with a cache of parts of words and of odd words.
 
     The tokenizer drops white space and never joins tokens across it, so a text's ids are those of
     its words, one after another.  Plain words, of printable ASCII and Latin-1 letters, are cut as the
-    tokenizer itself cuts them, and unknown parts are encoded together, with spaces between; each
-    part ends with a token that ends a word.  All other words go to the tokenizer as they are.  A
+    tokenizer itself cuts them, all of a text at once, as no part holds white space.  Unknown parts
+    are encoded together, with spaces between; each part ends with a token that ends a word.  All
+    other words are odd: they go to the tokenizer as they are, and are marked by a space ahead.  The
     cache starts anew when it is full.
     """
 
@@ -62,51 +63,52 @@ class WordEncoder:
         # Words that may hold a special token are not plain.
         added = self.tokenizer.get_added_tokens_decoder().values()
         first = "".join(re.escape(t.content[0]) for t in added)
-        self.plain = re.compile(
-            (f"(?!.*[{first}])" if first else "") + "[\\x21-\\x7eÀ-ÖØ-öø-ÿ]+", re.DOTALL
-        ).fullmatch
-        self.words: dict[bytes, bytes] = {}
+        self.odd = re.compile(
+            "[^\\x09-\\x0d\\x20-\\x7eÀ-ÖØ-öø-ÿ]" + (f"|[{first}]" if first else "")
+        ).search
         self.parts: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> np.ndarray:
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
         return np.array(found.ids, "<u4")
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.words) + len(words) > CACHED_WORDS:
-            self.words.clear()
-        if len(self.parts) > CACHED_WORDS:
-            self.parts.clear()
-        texts = [word.decode("utf-8") for word in words]
-        is_plain = list(map(self.plain, texts))
-        for word, text, plain in zip(words, texts, is_plain, strict=True):
-            if not plain:
-                self.words[word] = self._encode(text).tobytes()
-        cut = [self.PARTS.findall(t.lower()) for t, plain in zip(texts, is_plain, strict=True) if plain]
-        unknown = list(set(chain.from_iterable(cut)) - self.parts.keys())
-        if unknown:
-            ids = self._encode(" ".join(unknown))
+    def _cut(self, text: str) -> list[str]:
+        if self.odd(text) is None:
+            return self.PARTS.findall(text.lower())
+        # Of bytes, split() takes the six characters of ASCII white space alone.
+        words = text.encode("utf-8", "replace").split()
+        out: list[str] = []
+        for is_odd, some in groupby([w.decode("utf-8") for w in words], lambda w: bool(self.odd(w))):
+            if is_odd:
+                out.extend(" " + word for word in some)
+            else:
+                out.extend(self.PARTS.findall(" ".join(some).lower()))
+        return out
+
+    def _learn(self, unknown: list[str]) -> None:
+        for word in unknown:
+            if word[0] == " ":
+                self.parts[word] = self._encode(word[1:]).tobytes()
+        plain = [part for part in unknown if part[0] != " "]
+        if plain:
+            ids = self._encode(" ".join(plain))
             stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(stops) != len(unknown):
+            if len(stops) != len(plain):
                 raise ValueError("the tokenizer does not cut words as expected")
             data = ids.tobytes()
             self.parts.update(
-                (p, data[a:b])
-                for p, a, b in zip(unknown, [0, *stops[:-1]], stops, strict=True)
+                (p, data[a:b]) for p, a, b in zip(plain, [0, *stops[:-1]], stops, strict=True)
             )
-        known = self.parts.__getitem__
-        joined = [known(c[0]) if len(c) == 1 else b"".join(map(known, c)) for c in cut]
-        self.words.update(zip(compress(words, is_plain), joined, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # Of bytes, split() takes the six characters of ASCII white space alone.
-        cut = [text.encode("utf-8", "replace").split() for text in texts]
-        words = set().union(*cut)
-        unknown = [w for w in words if w not in self.words]
-        if len(unknown) + len(self.words) > CACHED_WORDS:
-            unknown = list(words)
+        cut = [self._cut(text) for text in texts]
+        parts = set().union(*cut)
+        unknown = [p for p in parts if p not in self.parts]
+        if len(unknown) + len(self.parts) > CACHED_PARTS:
+            self.parts.clear()
+            unknown = list(parts)
         self._learn(unknown)
-        known = self.words.__getitem__
+        known = self.parts.__getitem__
         return [b"".join(map(known, c)) for c in cut]
 
 
