@@ -198,6 +198,29 @@ def test_links_of_a_list_are_fewer_than_its_entries(spark, monkeypatch, chunk):
         assert len(found) < 0.7 * len(sets) * (len(sets) - 1) / 2
 
 
+@pytest.mark.parametrize("chunk, most", [(2_000, 1 << 23), (8, 1 << 23), (2_000, 4_000)])
+def test_differences_go_to_a_task_once(spark, monkeypatch, chunk, most):
+    """Entries share many index lists; a task has each of them with its differences one time."""
+    monkeypatch.setattr(jaccard_join, "DIFFERENCE_CHUNK", chunk)
+    monkeypatch.setattr(jaccard_join, "DIFFERENCE_BYTES", most, raising=False)
+    hub = frozenset(range(1000, 1200))
+    sets = [hub - set(range(1000, 1040)) | set(range(2000, 2010)) | {i} for i in range(30)]
+    differences = differences_of(spark, "once", hub, sets)
+    n_chunks = max(-(-30 // chunk), -(-30 * 51 * jaccard_join.KEPT_BYTES // most))
+    read = spark.sparkContext.accumulator(0)
+    runs = jaccard_join._runs
+
+    def counted(batches, columns):
+        for run in runs(batches, columns):
+            read.add(len(run[0]))
+            yield run
+
+    monkeypatch.setattr(jaccard_join, "_runs", counted)
+    links = jaccard_join._cross_links(differences).collect()
+    assert 29 <= len(links)
+    assert 0 < read.value <= 30 * n_chunks
+
+
 def test_similar_components_of_nothing(docs):
     assert jaccard_join.similar_components(docs.limit(0)).count() == 0
     empty = docs.where("text IS NULL")

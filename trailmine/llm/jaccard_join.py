@@ -23,10 +23,10 @@ The result is exact, up to equal 64-bit hashes of different shingles or sets.
    of each set to the hub, shingles that it lacks or has beside it, the overlap of two sets follows
    from sizes and the number of differences that they share.  Similar sets, of which at most one is
    similar to the hub, must share some, so differences are indexed by a prefix of their own, rare ones
-   first, and only pairs that share one there, and whose positions allow enough, are compared.  Entries
-   bring their differences along, so the task that finds a pair also compares it and returns links
-   alone, at most one for each entry.  Index lists of many entries are cut into chunks, and every two
-   chunks meet in a task of their own.
+   first, and only pairs that share one there, and whose positions allow enough, are compared.  A
+   task gets the entries of one hub with all their differences, each once, finds the pairs, compares
+   them and returns links alone, fewer than entries.  Hubs of many entries are cut into chunks, and
+   two chunks meet in a task of their own if they have entries of different components in one list.
 
 Which shingles count as frequent changes the work alone: any one order gives the same result.
 
@@ -57,8 +57,9 @@ SETS_AT_ONCE = 1_000
 HELD_PAIRS = 100_000
 BLOCK = 64
 LIST_CHUNK = 20_000
-# Entries of an index list of differences, which are whole sets of them, that a task has of a chunk.
+# Entries of a hub, each with all of its differences, that are in a chunk, and bytes of these.
 DIFFERENCE_CHUNK = 2_000
+DIFFERENCE_BYTES = 1 << 23
 SHORT = 8
 # Index entries keep 48 bits of a shingle and 16 of its position in one number.
 PLACE_BITS = 16
@@ -517,85 +518,106 @@ def _differences(members: DataFrame, sets: DataFrame, label: DataFrame,
     )
 
 
+def _ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all stretches, one after another."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(begins - before, lengths) + np.arange(int(lengths.sum()))
+
+
+def _links_within(name: np.ndarray, size: np.ndarray, weight: np.ndarray, hub_n: np.ndarray,
+                  component: np.ndarray, chunk: np.ndarray, across: bool, apart: np.ndarray,
+                  lists: np.ndarray) -> list[tuple[int, int]]:
+    """Links of entries of one hub, of two chunks if ``across``.  ``component`` is changed.
+
+    Each pair that shares an index list is compared at most once.
+    """
+    # All differences, one entry's after another's, as numbers from 0.
+    lengths = np.array([len(x) // KEPT_BYTES for x in apart])
+    begins = np.cumsum(lengths) - lengths
+    found, number = np.unique(_unpack(b"".join(apart)), return_inverse=True)
+    is_own = np.zeros(len(found), bool)
+    # Places in lists, also one entry's after another's, and where they are when sorted by list.
+    n_places = np.array([len(x) for x in lists])
+    first = np.cumsum(n_places) - n_places
+    entry = np.repeat(np.arange(len(name)), n_places)
+    left = lengths[entry] - _ranges(np.zeros_like(first), n_places)
+    _, list_ = np.unique(np.concatenate(list(lists)), return_inverse=True)
+    order = np.argsort(list_, kind="stable")
+    at = np.empty_like(order)
+    at[order] = np.arange(len(order))
+    end = np.cumsum(np.bincount(list_))[list_]
+    entry_at, left_at = entry[order], left[order]
+    links = []
+    for i in range(len(name)):
+        own = slice(first[i], first[i] + n_places[i])
+        behind = end[own] - at[own] - 1
+        places = _ranges(at[own] + 1, behind)
+        j = entry_at[places]
+        spare = int(hub_n[i]) - int(weight[i])
+        small, large = np.minimum(size[j], size[i]), np.maximum(size[j], size[i])
+        fits = (
+            (9 * np.minimum(left_at[places], np.repeat(left[own], behind)) >= weight[j] - spare)
+            & (NUM * large <= DEN * small)
+            & (component[j] != component[i])
+        )
+        if across:
+            fits &= chunk[j] != chunk[i]
+        j = np.unique(j[fits])
+        if not len(j):
+            continue
+        mine = number[begins[i] : begins[i] + lengths[i]]
+        is_own[mine] = True
+        # Every entry has a difference, so no part of the sum is empty.
+        both = np.add.reduceat(
+            is_own[number[_ranges(begins[j], lengths[j])]], np.cumsum(lengths[j]) - lengths[j],
+            dtype=np.int64,
+        )
+        is_own[mine] = False
+        for other in j[9 * both >= weight[j] - spare].tolist():
+            if component[other] != component[i]:
+                links.append((name[i], name[other]))
+                component[component == component[other]] = component[i]
+    return links
+
+
 def _cross_links(differences: DataFrame) -> DataFrame:
     """Links of similar sets of different components that share a difference of their prefixes.
 
-    ``differences`` is stored.  Of each index list, links suffice that join what the list joins, so
-    there are fewer than entries.  In a task for two chunks of a list, pairs are of one entry of each.
+    ``differences`` is stored.  Of each cell, links suffice that join what the cell joins, so there
+    are fewer than entries.  A cell is a chunk of a hub's entries, or two of them: then pairs are of
+    one entry of each.  It gets an entry once, however many index lists it has there, and only if one
+    of them has an entry of another component.
     """
 
     @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["list", "cell", "digest", "n", "left", "weight", "hub_n", "component", "chunk",
-                   "of", "apart"]
-        for run_ in _runs(batches, columns):
-            if (run_[7] == run_[7][0]).all():
-                continue
-            # By what is wanting: 9 times what is left against the own weight.
-            order = np.argsort(run_[5] - 9 * run_[4], kind="stable")
-            name, size, left, weight, hub_n, component, chunk, _, apart = (
-                x[order] for x in run_[2:]
-            )
-            cell, of = int(run_[1][0]), int(run_[9][0])
-            within = cell // of == cell % of
-            # All differences, one entry's after another's, as numbers from 0.
-            ends = np.cumsum([len(x) // KEPT_BYTES for x in apart])
-            begins = np.concatenate([[0], ends[:-1]])
-            found, number = np.unique(_unpack(b"".join(apart)), return_inverse=True)
-            is_own = np.zeros(len(found), bool)
-            links = []
-            starts = np.arange(0, len(name), BLOCK)
-            most_left = np.maximum.reduceat(left, starts)
-            least_weight = np.minimum.reduceat(weight, starts)
-            for i in range(len(name)):
-                first = i // BLOCK
-                spare = int(hub_n[i]) - int(weight[i])
-                alive = (
-                    9 * np.minimum(left[i], most_left[first:]) >= least_weight[first:] - spare
-                )
-                own = number[begins[i] : ends[i]]
-                is_own[own] = True
-                for block in np.flatnonzero(alive).tolist():
-                    a = (first + block) * BLOCK
-                    b = min(a + BLOCK, len(name))
-                    a = max(a, i + 1)
-                    small, large = np.minimum(size[a:b], size[i]), np.maximum(size[a:b], size[i])
-                    fits = (
-                        (9 * np.minimum(left[a:b], left[i]) >= weight[a:b] - spare)
-                        & (NUM * large <= DEN * small)
-                        & (component[a:b] != component[i])
-                    )
-                    if not within:
-                        fits &= chunk[a:b] != chunk[i]
-                    if not fits.any():
-                        continue
-                    # Every entry has a difference, so no part of the sum is empty.
-                    both = np.add.reduceat(
-                        is_own[number[begins[a] : ends[b - 1]]], begins[a:b] - begins[a],
-                        dtype=np.int64,
-                    )
-                    for j in (a + np.flatnonzero(fits & (9 * both >= weight[a:b] - spare))).tolist():
-                        if component[j] != component[i]:
-                            links.append((name[i], name[j]))
-                            component[component == component[j]] = component[i]
-                is_own[own] = False
+        columns = ["hub", "cell", "of", "digest", "n", "weight", "hub_n", "component", "chunk",
+                   "apart", "lists"]
+        for _, cell, of, *entries, apart, lists in _runs(batches, columns):
+            across = cell[0] // of[0] != cell[0] % of[0]
+            links = _links_within(*entries, across, apart, lists)
             yield pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
-    entries = differences.selectExpr(
-        "hub", "digest", "component", "length(apart) AS n_bytes", "posexplode(lists) AS (at, list)"
+    narrow = differences.selectExpr("hub", "digest", "component", "length(apart) AS n_bytes", "lists")
+    most = min(LIST_CHUNK, DIFFERENCE_CHUNK)
+    chunks = narrow.groupBy("hub").agg(F.expr(
+        f"bigint(ceil(greatest(count(1) / {most}, sum(n_bytes) / {DIFFERENCE_BYTES})))").alias("of"))
+    entries = narrow.join(chunks, "hub").selectExpr(
+        "hub", "digest", "component", "of", "pmod(xxhash64(digest), of) AS chunk",
+        "explode(lists) AS list",
     )
-    mixed = entries.groupBy("list").agg(
-        F.expr(f"int(ceil(count(1) / {min(LIST_CHUNK, DIFFERENCE_CHUNK)}))").alias("of"),
-        F.min("component").alias("low"), F.max("component").alias("high"),
-    ).where("low <> high").select("list", "of")
-    dealt = entries.join(mixed, "list").selectExpr(
-        "*", "int(pmod(xxhash64(digest), of)) AS chunk"
-    ).selectExpr("*", "explode(sequence(0, of - 1)) AS other").selectExpr(
-        "list", "least(chunk, other) * of + greatest(chunk, other) AS cell", "chunk", "of",
-        "hub", "digest", f"n_bytes div {KEPT_BYTES} - at AS left",
+    spread = entries.groupBy("hub", "list", F.col("chunk").alias("other")).agg(
+        F.min("component").alias("low"), F.max("component").alias("high"))
+    # By lists and chunks, without the differences themselves.
+    wanted = settle(
+        entries.join(spread, ["hub", "list"]).where("low <> component OR high <> component")
+        .selectExpr("hub", "digest", "chunk", "of",
+                    "least(chunk, other) * of + greatest(chunk, other) AS cell")
+        .distinct(),
+        "cells",
     )
-    whole = dealt.join(differences.drop("lists"), ["hub", "digest"])
-    ordered = whole.repartition("list", "cell").sortWithinPartitions("list", "cell")
+    whole = differences.join(wanted, ["hub", "digest"])
+    ordered = whole.repartition("hub", "cell").sortWithinPartitions("hub", "cell")
     return ordered.mapInPandas(run, "u long, v long").distinct()
 
 
