@@ -267,9 +267,12 @@ def _possible(n1: int, rest1: int, n2: np.ndarray, rest2: np.ndarray) -> np.ndar
     return (NUM * large <= DEN * small) & ((NUM + DEN) * overlap >= NUM * (n1 + n2))
 
 
-def _near_pairs(lists: DataFrame) -> DataFrame:
+def _near_pairs(lists: DataFrame, many: DataFrame) -> DataFrame:
     """``u, v, short, long``: in how many short lists a pair is, and whether it is to be compared
-    for a long one.  Rows with ``u = v`` tell how many long lists ``u`` is in."""
+    for a long one.  Rows with ``u = v`` tell how many long lists ``u`` is in.
+
+    ``many`` has the ``length`` of each list of more than ``LIST_CHUNK`` entries, maybe of others.
+    """
 
     @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -314,11 +317,12 @@ def _near_pairs(lists: DataFrame) -> DataFrame:
                 yield flush()
         yield flush()
 
-    length = lists.groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("length"), F.min(F.struct("n", "digest", "at")).alias("head")
-    )
     chunks = f"int(ceil(length / {LIST_CHUNK}))"
-    long_ = settle(length.where(f"length > {LIST_CHUNK}"), "long-lists")
+    long_ = settle(
+        lists.join(many.where(f"length > {LIST_CHUNK}"), "shingle").groupBy("shingle", "length")
+        .agg(F.min(F.struct("n", "digest", "at")).alias("head")),
+        "list-heads",
+    )
     salted = lists.join(long_, "shingle", "left").selectExpr(
         "shingle", f"int(coalesce(pmod(xxhash64(digest), {chunks}), 0)) AS salt",
         "digest", "n", "at",
@@ -733,9 +737,11 @@ def similar_components(
             f"int(entry & {low}) AS at"),
         "index-lists",
     )
-    found = settle(_near_pairs(lists), "near-pairs")
+    length = lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("length"))
+    # Stored, so that lists need no shuffle where few are long.
+    many = settle(length.where(f"length > {min(SHORT, LIST_CHUNK)}"), "many-entries")
+    found = settle(_near_pairs(lists, many), "near-pairs")
     pairs = settle(_worth_comparing(found, sizes.select("digest", "n")), "pairs")
-    many = lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("length"))
     long_lists = settle(
         lists.join(many.where(f"length > {SHORT}").select("shingle"), "shingle"), "long-lists"
     )
