@@ -1,6 +1,7 @@
 """Operators on small tables: plain Python versions of the same rules, and odd input."""
 
 import collections
+import itertools
 import json
 import random
 import re
@@ -221,6 +222,114 @@ def test_differences_go_to_a_task_once(spark, monkeypatch, chunk, most):
     assert 0 < read.value <= 30 * n_chunks
 
 
+def hashed_early(phrase_of, n):
+    """The first phrases of five words whose shingle is among the first twentieth of all."""
+    found = []
+    for i in itertools.count():
+        phrase = phrase_of(i)
+        if jaccard_join.shingle_set(phrase)[0] < -(1 << 63) + (1 << 64) // 20:
+            found.append(phrase)
+            if len(found) == n:
+                return found
+
+
+def test_phrases_by_chance_cost_no_sets(spark, monkeypatch):
+    """Long texts that share a phrase and nothing else are neither stored nor held against a hub."""
+    monkeypatch.setattr(jaccard_join, "MAX_FREQUENT", 1)
+    seen = {}
+    settle = jaccard_join.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "settle", counted)
+    draw = random.Random(3)
+    phrases = hashed_early(lambda i: " ".join(f"p{i}x{j}" for j in range(5)), 6)
+    rows = []
+    for i in range(60):
+        words = [f"w{i}x{j}" for j in range(draw.randint(200, 260))]
+        for phrase in draw.sample(phrases, 2):
+            words += phrase.split() + [f"v{i}x{phrase[:4]}"]
+        rows.append((i, " ".join(words), *(None,) * 6))
+    near = rows[7][1].split()
+    rows.append((1000, " ".join([*near[:100], "other", *near[101:]]), *(None,) * 6))
+    got = jaccard_join.similar_components(spark.createDataFrame(rows, DOCS))
+    got = got.select("doc_id", "n_shingles", "component_id")
+    assert collections.Counter(map(tuple, got.collect())) == components_of(rows)
+    assert seen["long-lists"] >= 60  # phrases make lists of more than SHORT entries
+    assert seen["differences"] <= 6
+    assert seen["sets"] <= 12
+
+
+@pytest.mark.parametrize("short, frequent", [(2, 1), (2, 40), (8, 1)])
+def test_similar_sets_at_the_threshold(spark, monkeypatch, short, frequent):
+    """Parts of a text at a similarity of just 0.8, with groups and chance phrases in long lists."""
+    monkeypatch.setattr(jaccard_join, "SHORT", short)
+    monkeypatch.setattr(jaccard_join, "MAX_FREQUENT", frequent)
+    draw = random.Random(11)
+    phrases = hashed_early(lambda i: " ".join(f"q{i}x{j}" for j in range(5)), 4)
+    texts = []
+    for i in range(24):
+        words = [f"t{i}x{j}" for j in range(draw.randint(44, 84))]
+        for phrase in draw.sample(phrases, 2):
+            at = draw.randrange(len(words))
+            words[at:at] = phrase.split()
+        n = len(words) - 4
+        texts.append(words)
+        for cut in (n - n * 80 // 100, n - n * 80 // 100 + 1, 3):  # at, below and above the threshold
+            texts.append(words[cut:])
+            texts.append(words[:-cut])
+            if draw.random() < 0.3:
+                texts.append([*words[:9], f"n{i}x{cut}", *words[10:]])
+    rows = [(i, " ".join(x), *(None,) * 6) for i, x in enumerate(texts)]
+    got = jaccard_join.similar_components(spark.createDataFrame(rows, DOCS))
+    got = got.select("doc_id", "n_shingles", "component_id")
+    assert collections.Counter(map(tuple, got.collect())) == components_of(rows)
+
+
+def test_bounds_of_lists_drop_no_similar_pair():
+    """Entries, and pairs by their overlaps with a hub, against overlaps counted one by one."""
+    draw = random.Random(17)
+    for _ in range(60):
+        pool = [draw.randrange(-(1 << 63), 1 << 63) for _ in range(400)]
+        base = [frozenset(draw.sample(pool, 60)) for _ in range(3)]
+        sets = list(base)
+        for _ in range(20):
+            own = set(draw.choice(base))
+            own -= set(draw.sample(sorted(own), draw.randint(0, 12)))
+            sets.append(frozenset(own | set(draw.sample(pool, draw.randint(0, 6)))))
+        prefix = [sorted(s)[: len(s) - jaccard_join.needed(len(s)) + 1] for s in sets]
+        rest = np.full((len(sets), len(jaccard_join.MARKS)), -1, np.int64)
+        for i, s in enumerate(sets):
+            for k, mark in enumerate(jaccard_join._MARKS.tolist()):
+                before = sum(x < mark for x in s)
+                if before <= len(prefix[i]):
+                    rest[i, k] = len(s) - before
+        size = np.array([len(s) for s in sets])
+        shared = np.array([
+            max(len(set(p) & set(q)) for j, q in enumerate(prefix) if j != i)
+            for i, p in enumerate(prefix)])
+        similar = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets)
+                   if i != j and 100 * len(a & b) >= 80 * len(a | b)}
+        kept = jaccard_join._may_be_similar(size, shared, rest)
+        assert kept[sorted({i for i, _ in similar})].all()
+
+        # One list of all that have a shingle in their prefix; its hub is the first of them.
+        value = prefix[0][draw.randrange(len(prefix[0]))]
+        ids = [i for i, p in enumerate(prefix) if value in p]
+        both = np.array([len(sets[0] & sets[i]) if draw.random() < 0.8 else -1 for i in ids])
+        component = np.array([draw.randrange(3) for _ in ids])
+        place = np.array([prefix[i].index(value) for i in ids])
+        name = np.array(ids)
+        got = set(jaccard_join._with_partners(name, size[name], place, component, both).tolist())
+        of = dict(zip(ids, component.tolist(), strict=True))
+        first = {(i, j) for i, j in similar if i in of and j in of
+                 and min(set(prefix[i]) & set(prefix[j])) == value}
+        assert {i for i, j in first if of[i] != of[j]} <= got
+
+
 def test_similar_components_of_nothing(docs):
     assert jaccard_join.similar_components(docs.limit(0)).count() == 0
     empty = docs.where("text IS NULL")

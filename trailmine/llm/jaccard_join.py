@@ -12,14 +12,16 @@ The result is exact, up to equal 64-bit hashes of different shingles or sets.
    the shingles behind the prefixes that bounds their overlap, and few pairs are left.  In longer
    lists, read in order of size, each entry is compared with the leader of its stretch and with its
    predecessor, so a group of near copies costs comparisons in proportion to its entries, not to its
-   pairs.  Comparing means intersecting the whole sets.  A list of more than ``LIST_CHUNK`` entries
+   pairs.  Before any set is stored, the number of shared lists and the shingles behind fixed marks
+   of the order bound the overlap: pairs, and entries of long lists, that have a phrase in common by
+   chance drop out.  Comparing means intersecting the whole sets.  A list of more than ``LIST_CHUNK`` entries
    is dealt to several tasks, each with the first leader.
 4. The entry of a long list with the most links against other comparisons is its hub; all entries
    are compared with it.  Links so far give components.
 5. Long lists with several components are read again for pairs across components.  Entries are in
    blocks by position; the position bounds the overlap that is possible, a block whose best entry
    cannot reach the threshold is skipped whole, and entries without any possible partner of another
-   component drop out.  The answers of the others are derived from their hub's: with the difference
+   component drop out, by places and by the overlaps with the hub.  The answers of the others are derived from their hub's: with the difference
    of each set to the hub, shingles that it lacks or has beside it, the overlap of two sets follows
    from sizes and the number of differences that they share.  Similar sets, of which at most one is
    similar to the hub, must share some, so differences are indexed by a prefix of their own, rare ones
@@ -63,6 +65,8 @@ DIFFERENCE_BYTES = 1 << 23
 SHORT = 8
 # Index entries keep 48 bits of a shingle and 16 of its position in one number.
 PLACE_BITS = 16
+# Shares of all hash values, up to which the shingles of a set that are not frequent are counted.
+MARKS = (0.125, 0.15, 0.175, 0.2, 0.25, 0.35, 0.5, 0.75)
 # Similar means NUM * union <= DEN * intersection.
 NUM, DEN = 80, 100
 # Up to so many narrow rows, of 16 bytes, a table is broadcast; else both sides are shuffled.
@@ -71,6 +75,7 @@ MAX_BROADCAST = 2_000_000
 KEPT_BYTES = 6
 SIMILAR = f"{NUM + DEN} * both >= {NUM} * (n_u + n_v)"
 
+_MARKS = np.array([int(x * 1000) * (1 << 64) // 1000 - (1 << 63) for x in MARKS], np.int64)
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 64)], np.uint64)
 
 
@@ -174,10 +179,11 @@ def _first_pass(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, words: int) -> DataFrame:
-    """``digest, n, n_others, prefix`` of each document of at least four shingles.
+    """``digest, n, n_others, prefix, rest`` of each document of at least four shingles.
 
     Smaller sets are similar to equal sets alone.  ``frequent`` is sorted; the first ``n_others``
-    shingles of a prefix are not in it.
+    shingles of a prefix are not in it.  ``rest`` has the number of shingles behind each mark, of
+    ``MARKS`` and the end of those that are not frequent, as far as the prefix has all before it.
     """
 
     @gives_back
@@ -200,19 +206,23 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, words:
                 is_frequent = (
                     frequent[at] == values if len(frequent) else np.zeros(n, bool)
                 )
-                prefix = values[~is_frequent][:wanted]
+                others = values[~is_frequent]
+                before = np.append(np.searchsorted(others, _MARKS), len(others))
+                rest_behind = (n - before[before <= wanted]).astype(np.int32)
+                prefix = others[:wanted]
                 n_others = len(prefix)
                 if len(prefix) < wanted:
                     rest = values[is_frequent]
                     order = np.lexsort((rest, counts[at[is_frequent]]))
                     prefix = np.concatenate([prefix, rest[order][: wanted - len(prefix)]])
                 # A copy, so that the array it is a part of can go.
-                rows.append((name, n, n_others, prefix.copy()))
+                rows.append((name, n, n_others, prefix.copy(), rest_behind))
             if len(seen) > 200_000:
                 seen.clear()
-            yield pd.DataFrame(rows, columns=["digest", "n", "n_others", "prefix"])
+            yield pd.DataFrame(rows, columns=["digest", "n", "n_others", "prefix", "rest"])
 
-    return docs.mapInPandas(run, "digest long, n long, n_others int, prefix array<long>")
+    return docs.mapInPandas(
+        run, "digest long, n long, n_others int, prefix array<long>, rest array<int>")
 
 
 def _runs(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[list[np.ndarray]]:
@@ -268,8 +278,8 @@ def _possible(n1: int, rest1: int, n2: np.ndarray, rest2: np.ndarray) -> np.ndar
 
 
 def _near_pairs(lists: DataFrame, many: DataFrame) -> DataFrame:
-    """``u, v, short, long``: in how many short lists a pair is, and whether it is to be compared
-    for a long one.  Rows with ``u = v`` tell how many long lists ``u`` is in.
+    """``u, v, short``: in how many short lists a pair is, maybe 0 if it is to be compared for a long
+    one.
 
     ``many`` has the ``length`` of each list of more than ``LIST_CHUNK`` entries, maybe of others.
     """
@@ -278,16 +288,13 @@ def _near_pairs(lists: DataFrame, many: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
         chosen: set[tuple[int, int]] = set()
-        in_long: Counter = Counter()
 
         def flush() -> pd.DataFrame:
-            rows = [(u, v, n, 0) for (u, v), n in counts.items()]
-            rows += [(u, v, 0, 1) for u, v in chosen]
-            rows += [(u, u, 0, n) for u, n in in_long.items()]
+            rows = [(u, v, n) for (u, v), n in counts.items()]
+            rows += [(u, v, 0) for u, v in chosen]
             counts.clear()
             chosen.clear()
-            in_long.clear()
-            return pd.DataFrame(rows, columns=["u", "v", "short", "long"]).astype("int64")
+            return pd.DataFrame(rows, columns=["u", "v", "short"]).astype("int64")
 
         columns = ["shingle", "salt", "digest", "n", "at"]
         for _, _, digests, sizes, places in _runs(batches, columns):
@@ -301,7 +308,6 @@ def _near_pairs(lists: DataFrame, many: DataFrame) -> DataFrame:
                             counts[(a, b) if a < b else (b, a)] += 1
             else:
                 rest = (sizes - places - 1).tolist()
-                in_long.update(name)
                 lead = 0
                 for i in range(1, len(name)):
                     if NUM * size[i] > DEN * size[lead]:
@@ -313,7 +319,7 @@ def _near_pairs(lists: DataFrame, many: DataFrame) -> DataFrame:
                         if (NUM + DEN) * overlap >= total and name[i] != name[j]:
                             a, b = name[j], name[i]
                             chosen.add((a, b) if a < b else (b, a))
-            if len(counts) + len(chosen) + len(in_long) > HELD_PAIRS:
+            if len(counts) + len(chosen) > HELD_PAIRS:
                 yield flush()
         yield flush()
 
@@ -335,31 +341,99 @@ def _near_pairs(lists: DataFrame, many: DataFrame) -> DataFrame:
     ordered = salted.repartition("shingle", "salt").sortWithinPartitions(
         "shingle", "salt", "n", "digest"
     )
-    found = ordered.mapInPandas(run, "u long, v long, short long, long long")
-    return found.groupBy("u", "v").agg(F.sum("short").alias("short"), F.sum("long").alias("long"))
+    found = ordered.mapInPandas(run, "u long, v long, short long")
+    return found.groupBy("u", "v").agg(F.sum("short").alias("short"))
 
 
-def _worth_comparing(found: DataFrame, sizes: DataFrame) -> DataFrame:
+def _known_sets(found: DataFrame, long_lists: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """``digest, n, rest, behind, n_long, short`` of the sets in pairs or long lists.
+
+    ``n_long`` is the number of long lists that a set is in, ``short`` the most short ones that it
+    shares with any one set.
+    """
+    counts = long_lists.selectExpr("digest", "1L AS n_long", "0L AS short").union(
+        found.selectExpr("u", "0L", "short")
+    ).union(found.selectExpr("v", "0L", "short")).groupBy("digest").agg(
+        F.sum("n_long").alias("n_long"), F.max("short").alias("short"))
+    return prefixes.select("digest", "n", "rest").join(counts, "digest").selectExpr(
+        "digest", "n", "rest", f"({NUM} * n + {DEN - 1}) div {DEN} - 1 AS behind", "n_long", "short"
+    )
+
+
+def _worth_comparing(found: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs of `_near_pairs` that can be similar.
 
     Up to the last shingle of the prefix that ends first, two sets share what their prefixes share;
-    behind it at most the rest of that set.
+    behind it at most the rest of that set.  The same holds for each mark that both prefixes reach,
+    behind which it is at most the smaller rest.
+    """
+    a = known.selectExpr(
+        "digest AS u", "n AS n_u", "n_long AS long_u", "behind AS behind_u", "rest AS rest_u")
+    b = known.selectExpr(
+        "digest AS v", "n AS n_v", "n_long AS long_v", "behind AS behind_v", "rest AS rest_v")
+    # The shorter array is filled up with NULL; array_min and least pass over it.
+    marks = "zip_with(rest_u, rest_v, (a, b) -> IF(a IS NULL OR b IS NULL, NULL, least(a, b)))"
+    behind = f"least(greatest(behind_u, behind_v), bigint(array_min({marks})))"
+    return (
+        found.join(a, "u").join(b, "v")
+        .where(f"{NUM + DEN} * (short + least(long_u, long_v) + {behind}) >= {NUM} * (n_u + n_v)")
+        .select("u", "v")
+    )
+
+
+def _may_be_similar(size: np.ndarray, shared: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Which entries of a list can be similar to any of it, themselves included.
+
+    ``shared`` bounds what each shares with another up to a mark that both reach; ``rest`` has a column
+    for each mark, and -1 where it is not reached.  For each mark that an entry reaches there must be
+    an entry that does not reach it, or one with which the overlap can suffice.
+    """
+    order = np.argsort(size, kind="stable")
+    ascending = size[order]
+    kept = np.ones(len(size), bool)
+    least, most = needed(size), DEN * size // NUM
+    for left in rest.T:
+        reached = left >= 0
+        if not reached.any():
+            break  # nor is any mark behind it
+        score = np.where(reached, (NUM + DEN) * left - NUM * size, np.iinfo(np.int64).min)
+        best = np.maximum.accumulate(score[order])
+        # Of entries up to the largest size with which what is left of this one can suffice.
+        largest = np.minimum(most, (NUM + DEN) * (left + shared) // NUM - size)
+        upto = np.searchsorted(ascending, largest, "right")
+        fits = (upto > 0) & (best[upto - 1] >= NUM * size - (NUM + DEN) * shared)
+        free = np.sort(size[~reached])
+        fits |= np.searchsorted(free, most, "right") > np.searchsorted(free, least, "left")
+        kept &= fits | ~reached
+    return kept
+
+
+def _likely_entries(long_lists: DataFrame, known: DataFrame) -> DataFrame:
+    """``shingle, digest, n, at``: entries of long lists that can be similar to others there.
+
+    Texts that have a phrase in common by chance drop out here, before their sets are stored, compared
+    or held against a hub.  Lists of more than ``LIST_CHUNK`` entries are taken whole.
     """
-    in_long = found.where("u = v").selectExpr("u AS digest", "long AS n_long")
-    known = settle(
-        sizes.join(in_long, "digest", "left").selectExpr(
-            "digest", "n", "coalesce(n_long, 0L) AS n_long",
-            f"({NUM} * n + {DEN - 1}) div {DEN} - 1 AS behind",
-        ),
-        "list-sizes",
+
+    @gives_back
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["shingle", "shingle", "digest", "n", "at", "shared", "rest"]
+        for shingle, _, name, size, at, shared, given in _runs(batches, columns):
+            rest = np.full((len(name), len(MARKS) + 1), -1, np.int64)
+            reached = np.array([len(x) for x in given])
+            rest[np.arange(rest.shape[1]) < reached[:, None]] = np.concatenate(list(given))
+            kept = _may_be_similar(size, shared, rest)
+            if kept.sum() > 1:
+                yield pd.DataFrame({
+                    "shingle": shingle[kept], "digest": name[kept], "n": size[kept], "at": at[kept]})
+
+    told = known.selectExpr("digest", "n_long + short AS shared", "rest")
+    ordered = (
+        long_lists.where(f"length <= {LIST_CHUNK}").join(told, "digest")
+        .repartition("shingle").sortWithinPartitions("shingle")
     )
-    a = known.selectExpr("digest AS u", "n AS n_u", "n_long AS long_u", "behind AS behind_u")
-    b = known.selectExpr("digest AS v", "n AS n_v", "n_long AS long_v", "behind AS behind_v")
-    most = "short + least(long_u, long_v) + greatest(behind_u, behind_v)"
-    pairs = found.where("u <> v")
-    return pairs.where("long > 0").select("u", "v").union(
-        pairs.where("long = 0").join(a, "u").join(b, "v")
-        .where(f"{NUM + DEN} * ({most}) >= {NUM} * (n_u + n_v)").select("u", "v")
+    return ordered.mapInPandas(run, "shingle long, digest long, n long, at int").union(
+        long_lists.where(f"length > {LIST_CHUNK}").select("shingle", "digest", "n", "at")
     )
 
 
@@ -389,29 +463,40 @@ def _hub_pairs(lists: DataFrame, hubs: DataFrame, near: DataFrame) -> DataFrame:
     )
 
 
-def _with_partners(name: np.ndarray, size: np.ndarray, place: np.ndarray,
-                   component: np.ndarray) -> np.ndarray:
-    """Entries of a list that can be similar to one of another component, by their places."""
+def _with_partners(name: np.ndarray, size: np.ndarray, place: np.ndarray, component: np.ndarray,
+                   both: np.ndarray) -> np.ndarray:
+    """Entries of a list that can be similar to one of another component, by their places.
+
+    ``both`` is the overlap with the list's hub, -1 where it is not known.  Two sets share at most the
+    smaller one of these, and of what they have beside the hub again at most the smaller.
+    """
     order = np.argsort(place, kind="stable")
-    name, size, place, component = name[order], size[order], place[order], component[order]
+    name, size, place, component, both = (
+        x[order] for x in (name, size, place, component, both))
     rest = size - place - 1
     starts = np.arange(0, len(name), BLOCK)
     most_rest = np.maximum.reduceat(rest, starts)
     least_size = np.minimum.reduceat(size, starts)
     most_size = np.maximum.reduceat(size, starts)
+    low = np.minimum.reduceat(component, starts)
+    high = np.maximum.reduceat(component, starts)
     kept = np.zeros(len(name), bool)
     for i in range(len(name)):
         if kept[i]:
             continue
-        n, left = int(size[i]), int(rest[i])
+        n, left, hub = int(size[i]), int(rest[i]), int(both[i])
         alive = (
             ((NUM + DEN) * (1 + np.minimum(left, most_rest)) >= NUM * (n + least_size))
             & (NUM * n <= DEN * most_size)
             & (NUM * least_size <= DEN * n)
+            & ((low != component[i]) | (high != component[i]))
         )
         for block in np.flatnonzero(alive).tolist():
             cut = slice(block * BLOCK, (block + 1) * BLOCK)
             fits = _possible(n, left, size[cut], rest[cut]) & (component[cut] != component[i])
+            if hub >= 0:
+                most = np.minimum(hub, both[cut]) + np.minimum(n - hub, size[cut] - both[cut])
+                fits &= (both[cut] < 0) | ((NUM + DEN) * most >= NUM * (n + size[cut]))
             if fits.any():
                 kept[i] = True
                 kept[cut] |= fits
@@ -419,15 +504,17 @@ def _with_partners(name: np.ndarray, size: np.ndarray, place: np.ndarray,
     return name[kept]
 
 
-def _members_of_hubs(lists: DataFrame, hubs: DataFrame) -> DataFrame:
+def _members_of_hubs(lists: DataFrame, hubs: DataFrame, near: DataFrame) -> DataFrame:
     """``hub, digest``: entries of lists of several components that maybe have a link there.
 
-    ``lists`` has ``component``.  Lists of more than ``LIST_CHUNK`` entries are taken whole.
+    ``lists`` has ``component``, ``near`` the overlaps that are known.  Lists of more than
+    ``LIST_CHUNK`` entries are taken whole.
     """
 
     @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for run_ in _runs(batches, ["shingle", "shingle", "digest", "n", "at", "component"]):
+        columns = ["shingle", "shingle", "digest", "n", "at", "component", "both"]
+        for run_ in _runs(batches, columns):
             kept = _with_partners(*run_[2:])
             yield pd.DataFrame({"shingle": np.full(len(kept), run_[0][0]), "digest": kept})
 
@@ -438,9 +525,13 @@ def _members_of_hubs(lists: DataFrame, hubs: DataFrame) -> DataFrame:
         ).where("low <> high").select("shingle", "length").join(hubs, "shingle"),
         "mixed-lists",
     )
-    entries = lists.join(mixed.select("shingle", "length"), "shingle")
+    entries = lists.join(mixed.select("shingle", "length", "hub"), "shingle")
+    answers = near.selectExpr("u", "v", "both AS answer")
     ordered = (
         entries.where(f"length <= {LIST_CHUNK}").drop("length")
+        .withColumns({"u": F.least("hub", "digest"), "v": F.greatest("hub", "digest")})
+        .join(answers, ["u", "v"], "left")
+        .withColumn("both", F.expr("IF(u = v, n, coalesce(answer, -1L))")).drop("u", "v", "answer")
         .repartition("shingle").sortWithinPartitions("shingle")
     )
     kept = ordered.mapInPandas(run, "shingle long, digest long").union(
@@ -741,10 +832,10 @@ def similar_components(
     # Stored, so that lists need no shuffle where few are long.
     many = settle(length.where(f"length > {min(SHORT, LIST_CHUNK)}"), "many-entries")
     found = settle(_near_pairs(lists, many), "near-pairs")
-    pairs = settle(_worth_comparing(found, sizes.select("digest", "n")), "pairs")
-    long_lists = settle(
-        lists.join(many.where(f"length > {SHORT}").select("shingle"), "shingle"), "long-lists"
-    )
+    long_lists = settle(lists.join(many.where(f"length > {SHORT}"), "shingle"), "long-lists")
+    known = settle(_known_sets(found, long_lists, prefixes), "known-sets")
+    pairs = settle(_worth_comparing(found, known), "pairs")
+    long_lists = settle(_likely_entries(long_lists, known), "likely-entries")
     wanted = (
         pairs.select(F.col("u").alias("digest")).union(pairs.select("v"))
         .union(long_lists.select("digest")).distinct()
@@ -752,11 +843,11 @@ def similar_components(
     partners = settle(sizes.join(wanted, "digest").select("digest", "_id"), "partners")
     n_partners = partners.count()
     texts, _ = split_by_keys(given, "_id", partners, n_partners)
-    known = partners.select(F.col("digest").alias("_digest"), F.col("_id").alias("_lowest"))
+    lowest = partners.select(F.col("digest").alias("_digest"), F.col("_id").alias("_lowest"))
     # The lowest id is NULL where no row of a class has one.
     own = (F.col("digest") == F.col("_digest")) & F.col("_id").eqNullSafe(F.col("_lowest"))
     sets = settle(
-        _sets(texts, words).join(_broadcast_if_small(known, n_partners), own)
+        _sets(texts, words).join(_broadcast_if_small(lowest, n_partners), own)
         .select("digest", "values"),
         "sets",
     )
@@ -773,7 +864,7 @@ def similar_components(
     in_lists = long_lists.join(label.withColumnRenamed("node", "digest"), "digest", "left").selectExpr(
         "shingle", "digest", "n", "at", "coalesce(component, digest) AS component"
     )
-    apart = settle(_members_of_hubs(in_lists, hubs), "hub-members")
+    apart = settle(_members_of_hubs(in_lists, hubs, near), "hub-members")
     differences = settle(_differences(apart, sets, label, frequent, counts), "differences")
     more = settle(_cross_links(differences), "cross-pairs")
     if more.take(1):
