@@ -346,17 +346,15 @@ def _near_pairs(lists: DataFrame, many: DataFrame) -> DataFrame:
 
 
 def _known_sets(found: DataFrame, long_lists: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """``digest, n, rest, behind, n_long, short`` of the sets in pairs or long lists.
+    """``digest, n, rest, behind, n_long`` of the sets in pairs or long lists.
 
-    ``n_long`` is the number of long lists that a set is in, ``short`` the most short ones that it
-    shares with any one set.
+    ``n_long`` is the number of long lists that a set is in.
     """
-    counts = long_lists.selectExpr("digest", "1L AS n_long", "0L AS short").union(
-        found.selectExpr("u", "0L", "short")
-    ).union(found.selectExpr("v", "0L", "short")).groupBy("digest").agg(
-        F.sum("n_long").alias("n_long"), F.max("short").alias("short"))
+    counts = long_lists.selectExpr("digest", "1L AS n_long").union(
+        found.selectExpr("u", "0L")
+    ).union(found.selectExpr("v", "0L")).groupBy("digest").agg(F.sum("n_long").alias("n_long"))
     return prefixes.select("digest", "n", "rest").join(counts, "digest").selectExpr(
-        "digest", "n", "rest", f"({NUM} * n + {DEN - 1}) div {DEN} - 1 AS behind", "n_long", "short"
+        "digest", "n", "rest", f"({NUM} * n + {DEN - 1}) div {DEN} - 1 AS behind", "n_long"
     )
 
 
@@ -411,8 +409,9 @@ def _may_be_similar(size: np.ndarray, shared: np.ndarray, rest: np.ndarray) -> n
 def _likely_entries(long_lists: DataFrame, known: DataFrame) -> DataFrame:
     """``shingle, digest, n, at``: entries of long lists that can be similar to others there.
 
-    Texts that have a phrase in common by chance drop out here, before their sets are stored, compared
-    or held against a hub.  Lists of more than ``LIST_CHUNK`` entries are taken whole.
+    Pairs that share a short list are decided by `_worth_comparing` and a comparison, so here two sets
+    share long lists alone.  Texts that have a phrase in common by chance drop out, before their sets
+    are stored or held against a hub.  Lists of more than ``LIST_CHUNK`` entries are taken whole.
     """
 
     @gives_back
@@ -427,7 +426,7 @@ def _likely_entries(long_lists: DataFrame, known: DataFrame) -> DataFrame:
                 yield pd.DataFrame({
                     "shingle": shingle[kept], "digest": name[kept], "n": size[kept], "at": at[kept]})
 
-    told = known.selectExpr("digest", "n_long + short AS shared", "rest")
+    told = known.selectExpr("digest", "n_long AS shared", "rest")
     ordered = (
         long_lists.where(f"length <= {LIST_CHUNK}").join(told, "digest")
         .repartition("shingle").sortWithinPartitions("shingle")
